@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import views as v
@@ -30,6 +30,10 @@ def over(name: str, view: Query, op: Callable[[DataFrame], DataFrame]) -> None:
     QUERIES[name] = lambda spark, sf_dir: op(view(spark, sf_dir))
 
 
+def _whole(vector: str, scale: int) -> Column:
+    return F.transform(vector, lambda x: F.round(x * scale).cast("bigint"))
+
+
 def _vec_text(df: DataFrame, *cols: str) -> DataFrame:
     for c in cols:
         df = df.withColumn(c, vector_text(F.col(c)))
@@ -225,9 +229,7 @@ def samples_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = plans.samples_base_dense(s, v.N)
     for kind in plans.BASE_KINDS:  # whole numbers print alike in both engines
         scale = 100_000 if kind.startswith("group") else 1
-        rows = rows.withColumn(
-            kind, vector_text(F.transform(kind, lambda x, m=scale: F.round(x * m).cast("bigint")))
-        )
+        rows = rows.withColumn(kind, vector_text(_whole(kind, scale)))
     return rows
 
 
