@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -62,9 +63,12 @@ def compare(spark: SparkSession, con: duckdb.DuckDBPyConnection, sf_dir: str, na
 def main() -> None:
     from railflow.session import local_session
 
+    hot_rows = os.environ.get("HOT_ROWS")  # a low bound makes every key hot
     sf = sys.argv[1] if len(sys.argv) > 1 else "sf0.001"
     names = sys.argv[2:] or list(QUERIES)
     spark, sf_dir = local_session(8), f"{ROOT}/{sf}"
+    if hot_rows:
+        spark.conf.set("railflow.skew.minRows", hot_rows)
     con = connect(sf_dir)
     bad = 0
     for name in names:

@@ -55,28 +55,26 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
             "event_id",
             "user_id id",
             "cast(date_trunc('second', ts) as timestamp_ntz) ts",
+            "cast(cast(ts as date) as timestamp_ntz) midnight",
             "cast(get_json_object(props,'$.k') as int) k",
             "cast(event_id%10 as int) r",
-        )
-        .selectExpr(
-            "*",
-            "cast(id%25 as int) home",
-            "cast((id*7+3)%25 as int) work",
-            "case cast(id%3 as int) when 0 then 8 when 1 then 4 else 0 end share",
-            "cast(date_trunc('day', ts) as timestamp_ntz) midnight",
+            "cast(user_id%25 as int) home",
+            "cast((user_id*7+3)%25 as int) work",
+            "case cast(user_id%3 as int) when 0 then 8 when 1 then 4 else 0 end share",
         )
         .selectExpr("*", "case when r<share and r%2=0 then 1 when r<share then 2 else 0 end dir")
+        # a generator is computed once per row; plain columns would be repeated in every filter using them
         .selectExpr(
             "event_id",
             "id",
-            "case dir when 1 then home when 2 then work else k%25 end os",
-            "case dir when 1 then work when 2 then home else (k+cast(event_id%23 as int)+1)%25 end ds",
-            "case dir when 1 then midnight + make_dt_interval(0,0,0,8*3600+event_id%1200)"
-            " when 2 then midnight + make_dt_interval(0,0,0,18*3600+event_id%1200) else ts end ot",
+            "inline(array(struct("
+            "case dir when 1 then home when 2 then work else k%25 end os,"
+            "case dir when 1 then work when 2 then home else (k+cast(event_id%23 as int)+1)%25 end ds,"
+            "case dir when 1 then timestampadd(SECOND, 8*3600+event_id%1200, midnight)"
+            " when 2 then timestampadd(SECOND, 18*3600+event_id%1200, midnight) else ts end ot)))",
         )
         .selectExpr(
-            "*",
-            "ot + make_dt_interval(0,0,0,300+120*(abs(os div 5-ds div 5)+abs(os%5-ds%5))+event_id%60) dt",
+            "*", "timestampadd(SECOND, 300+120*(abs(os div 5-ds div 5)+abs(os%5-ds%5))+event_id%60, ot) dt"
         )
     )
 
@@ -149,7 +147,7 @@ def ap(spark: SparkSession, sf_dir: str) -> DataFrame:
         .filter("(event_id+i+1)%3<>0")
         .selectExpr(
             "concat('ap', id) ap_id",
-            "ot + make_dt_interval(0,0,0,60+120*i) ts",
+            "timestampadd(SECOND, 60+120*i, ot) ts",
             "station",
             "cast(event_id%4*10 as int) stay",
         )

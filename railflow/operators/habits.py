@@ -10,75 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from railflow.functions.profile import profile_udf
 from railflow.functions.time import seconds_of_day, trip_day
 from railflow.skew import hot_keys, salted_join
 
 BANDWIDTH = 1800
-DIGITS = 15  # densities are compared after rounding, so the summation order does not matter
-DAY_SECONDS = 86_400
-DIRECT_LIMIT = 2_000  # distinct times up to which the direct sum beats the transform
-
-PROFILE = "array<struct<t:int,w:bigint,density:double,dist:bigint>>"
-
-
-def _density(t: np.ndarray, w: np.ndarray, bandwidth: float) -> np.ndarray:
-    """Weighted Gaussian kernel density at each distinct time."""
-    scale = np.sqrt(2 * np.pi) * w.sum() * bandwidth
-    if len(t) <= DIRECT_LIMIT:
-        gap = (t[:, None] - t[None, :]) / bandwidth
-        return np.exp(-0.5 * gap * gap) @ w / scale
-    day = np.zeros(DAY_SECONDS)
-    day[t] = w
-    lag = np.arange(2 * DAY_SECONDS, dtype=np.float64)
-    lag = np.minimum(lag, 2 * DAY_SECONDS - lag) / bandwidth
-    spectrum = np.fft.rfft(day, 2 * DAY_SECONDS) * np.fft.rfft(np.exp(-0.5 * lag * lag))
-    return np.fft.irfft(spectrum, 2 * DAY_SECONDS)[t] / scale
-
-
-def _denser_before(t: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Distance back to the last earlier time of higher density, -1 where there is none.
-
-    Range maxima over 1, 2, 4, ... times let every position skip whole blocks that are not denser.
-    """
-    blocks, width = [d], 1
-    while 2 * width <= len(d):
-        top = blocks[-1].copy()
-        top[width:] = np.maximum(top[width:], blocks[-1][:-width])
-        blocks.append(top)
-        width *= 2
-    at = np.arange(len(d)) - 1
-    for level in range(len(blocks) - 1, -1, -1):
-        skip = (at >= 0) & (blocks[level][at] <= d)
-        at = np.where(skip, at - (1 << level), at)
-    return np.where(at >= 0, t - t[np.maximum(at, 0)], -1)
-
-
-def _denser_gap(t: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Distance to the nearest denser time on either side; the whole range for the densest."""
-    left = _denser_before(t, d)
-    right = _denser_before(-t[::-1], d[::-1])[::-1]
-    none = np.iinfo(np.int64).max
-    near = np.minimum(np.where(left < 0, none, left), np.where(right < 0, none, right))
-    return np.where(near == none, t[-1] - t[0], near)
-
-
-def _profile_udf(bandwidth: float):
-    @F.pandas_udf(PROFILE)
-    def profile(times: pd.Series) -> pd.Series:
-        def one(rows):
-            t = np.fromiter((r["t"] for r in rows), np.int64, len(rows))
-            w = np.fromiter((r["w"] for r in rows), np.int64, len(rows))
-            d = np.round(_density(t, w, bandwidth), DIGITS)
-            return list(zip(t.tolist(), w.tolist(), d.tolist(), _denser_gap(t, d).tolist()))
-
-        return times.map(one)
-
-    return profile
 
 
 def time_profiles(
@@ -98,14 +37,19 @@ def time_profiles(
         .groupBy("id", "t")
         .agg(F.count(F.lit(1)).alias("w"), days.alias("_days"))
     )
-    per_id = per_time.groupBy("id").agg(
+    # a fixed partition count: the rows are few but each costs a density pass, so they must not be merged
+    parts = int(trips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per_id = per_time.repartition(parts, "id").groupBy("id").agg(
         F.expr("sum(w) div 2").alias("n"),
         size(merge("_days")).cast("int").alias("n_days"),
         F.sort_array(F.collect_list(F.struct("t", "w"))).alias("times"),
     )
-    return per_id.filter(F.col("n_days") > min_days).select(
-        "id", "n", "n_days", _profile_udf(bandwidth)("times").alias("profile")
+    active = per_id.filter(F.col("n_days") > min_days).select(
+        "id", "n", "n_days", F.col("times.t").alias("t"), F.col("times.w").alias("w")
     )
+    scored = active.withColumn("_p", profile_udf(bandwidth)("t", "w"))
+    zipped = F.arrays_zip("t", "w", F.col("_p.density").alias("density"), F.col("_p.dist").alias("dist"))
+    return scored.select("id", "n", "n_days", zipped.alias("profile"))
 
 
 def profile_rows(profiles: DataFrame) -> DataFrame:
