@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from railflow.functions.time import epoch_seconds, seconds_between, time_text
 from railflow.skew import hot_keys, is_hot, neighbour, running_sum, salted_join
+from railflow.staging import stage
 
 PAD_SECONDS = 300
 BUCKET_SECONDS = 3600
@@ -203,10 +204,11 @@ def _records_until(ap: DataFrame, hot: Sequence[int]) -> DataFrame:
     )
     earlier = Window.partitionBy("ap_id").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
     following = Window.partitionBy("ap_id").orderBy("minute")
-    counted = per_minute.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    counted = per_minute.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn(
+        "until", F.coalesce(F.lead("minute").over(following) - 1, F.col("minute"))
+    )
     # fill the minutes up to the next one with records
-    gap_end = F.coalesce(F.lead("minute").over(following) - 1, F.col("minute"))
-    filled = counted.withColumn("at", F.explode(F.sequence(F.col("minute"), gap_end)))
+    filled = counted.withColumn("at", F.explode(F.sequence("minute", "until")))
     none = F.array().cast("array<struct<s:bigint,n:bigint>>")
     own = F.col("at") == F.col("minute")
     return filled.select(
@@ -227,7 +229,7 @@ def sparse_windows(
     """
     if not hot:
         return trips
-    running = _records_until(ap, hot)
+    running = stage(_records_until(ap, hot), "records_until")
     # one row per busy device, at most MAX_KEYS
     ends = F.broadcast(
         running.groupBy("ap_id").agg(F.min("minute").alias("_lo"), F.max("minute").alias("_hi"))
