@@ -268,6 +268,11 @@ from last s left join base_last f on f.event_id=s.event_id group by s.id, s.even
 oracle("samples_ext", f"""select {HEAD}, f.feature, f.station, f.value from last_x s join (select * from f_crowd_last_x union all select * from f_td_wd_last_x
 union all select * from f_td_we_last_x union all select * from f_origin_last_x union all select * from f_tsd_wd_last_x
 union all select * from f_tsd_we_last_x union all select * from f_visits_last_x) f on f.event_id=s.event_id""")
+oracle("samples_ext_dense", f"""select {HEAD}, {', '.join(_dense(k, 100000 if k == 'crowd' else 1) for k in ('crowd', 'td_wd', 'td_we', 'origin', 'tsd_wd', 'tsd_we', 'visits'))}
+from last_x s left join (select * from f_crowd_last_x union all select * from f_td_wd_last_x
+union all select * from f_td_we_last_x union all select * from f_origin_last_x union all select * from f_tsd_wd_last_x
+union all select * from f_tsd_we_last_x union all select * from f_visits_last_x) f on f.event_id=s.event_id
+group by s.id, s.event_id, s.os, s.target, s.ot, s.idx""")
 _NUMBERED = "(select id, row_number() over (order by id)-1 traveller from (select distinct id from many))"
 oracle("multi_samples", f"select s.id, s.event_id, s.os, s.target, s.idx, n.traveller from multi s join {_NUMBERED} n on n.id=s.id")
 oracle("samples_multi", f"""select {HEAD}, {FLAGS}, f.feature, f.station, f.value, n.traveller from multi s join base_multi f on f.event_id=s.event_id

@@ -30,6 +30,9 @@ def over(name: str, view: Query, op: Callable[[DataFrame], DataFrame]) -> None:
     QUERIES[name] = lambda spark, sf_dir: op(view(spark, sf_dir))
 
 
+stored_trips, stored_ap = v.stored(v.trips), v.stored(v.ap)
+
+
 def _whole(vector: str, scale: int) -> Column:
     return F.transform(vector, lambda x: F.round(x * scale).cast("bigint"))
 
@@ -143,7 +146,7 @@ def centres(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = v.trips(spark, sf_dir)
+    t = stored_trips(spark, sf_dir)
     return habits.label_trips(t, habits.habit_travellers(t), hot_keys(t, "id"))
 
 
@@ -152,7 +155,7 @@ def trip_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labelled(spark, sf_dir).filter("label is not null").select("event_id", "id", "label")
 
 
-over("habit_pairs", v.trips, lambda t: habits.habit_pairs(t).filter("dominant").select("id", "os", "ds", "cnt"))
+over("habit_pairs", stored_trips, lambda t: habits.habit_pairs(t).filter("dominant").select("id", "os", "ds", "cnt"))
 
 
 @query
@@ -160,24 +163,24 @@ def habit_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return habits.habit_clusters(habits.cluster_counts(_labelled(spark, sf_dir)))
 
 
-over("traveller_habits", v.trips, lambda t: habits.habit_pairs(t).filter("habit").select("id", "os", "ds"))
+over("traveller_habits", stored_trips, lambda t: habits.habit_pairs(t).filter("habit").select("id", "os", "ds"))
 
 
 @query
 def last_irregular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.last_irregular_samples(v.trips(spark, sf_dir)).rows.select("id", "event_id", "os", "target", "idx")
+    return plans.last_irregular_samples(stored_trips(spark, sf_dir)).rows.select("id", "event_id", "os", "target", "idx")
 
 
 @query
 def all_irregular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = v.trips(spark, sf_dir)
+    t = stored_trips(spark, sf_dir)
     hot = hot_keys(t, "id")
     return habits.all_irregular(t, habits.habit_pairs(t, hot), hot).select("id", "event_id", "os", "ds")
 
 
 def _feature(kind: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return plans.last_irregular_samples(v.trips(spark, sf_dir)).personal(kind)
+        return plans.last_irregular_samples(stored_trips(spark, sf_dir)).personal(kind)
 
     QUERIES[f"feat_{kind}"] = run
 
@@ -188,18 +191,18 @@ for _kind in ("period", "origin", "visits"):
 
 @query
 def feat_group_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = plans.last_irregular_samples(v.trips(spark, sf_dir))
+    s = plans.last_irregular_samples(stored_trips(spark, sf_dir))
     return features.group_day_feature(s.rows, flows.od_share(s.trips))
 
 
 @query
 def feat_group_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = plans.last_irregular_samples(v.trips(spark, sf_dir))
+    s = plans.last_irregular_samples(stored_trips(spark, sf_dir))
     return features.group_hour_feature(s.rows, flows.od_hour_share(s.trips))
 
 
 def _day_samples(spark: SparkSession, sf_dir: str) -> plans.SampleSet:
-    return plans.last_irregular_samples(trips.within_day(v.trips(spark, sf_dir)))
+    return plans.last_irregular_samples(trips.within_day(stored_trips(spark, sf_dir)))
 
 
 @query
@@ -214,18 +217,18 @@ def feat_tsd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def feat_crowd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    crowd = features.crowd_table(flows.od_slot_share(v.trips(spark, sf_dir)))
+    crowd = features.crowd_table(flows.od_slot_share(stored_trips(spark, sf_dir)))
     return features.crowd_feature(_day_samples(spark, sf_dir).rows, crowd)
 
 
 @query
 def samples_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.samples_base(plans.last_irregular_samples(v.trips(spark, sf_dir)))
+    return plans.samples_base(plans.last_irregular_samples(stored_trips(spark, sf_dir)))
 
 
 @query
 def samples_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = plans.last_irregular_samples(v.trips(spark, sf_dir))
+    s = plans.last_irregular_samples(stored_trips(spark, sf_dir))
     rows = plans.samples_base_dense(s, v.N)
     for kind in plans.BASE_KINDS:  # whole numbers print alike in both engines
         scale = 100_000 if kind.startswith("group") else 1
@@ -233,32 +236,40 @@ def samples_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
-over("samples_ext", v.trips, plans.samples_ext)
+over("samples_ext", stored_trips, plans.samples_ext)
+
+
+@query
+def samples_ext_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = plans.samples_ext_dense(stored_trips(spark, sf_dir), v.N)
+    for kind in plans.EXTENDED_KINDS:
+        rows = rows.withColumn(kind, vector_text(_whole(kind, 100_000 if kind == "crowd" else 1)))
+    return rows
 
 
 @query
 def multi_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = plans.multi_samples(v.trips(spark, sf_dir))
+    s = plans.multi_samples(stored_trips(spark, sf_dir))
     return s.rows.join(features.traveller_number(s.drawn), "id").select(
         "id", "event_id", "os", "target", "idx", "traveller"
     )
 
 
-over("samples_multi", v.trips, lambda t: plans.samples_multi(plans.multi_samples(t)))
+over("samples_multi", stored_trips, lambda t: plans.samples_multi(plans.multi_samples(t)))
 
 
 @query
 def target_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows.target_dist(plans.last_irregular_samples(v.trips(spark, sf_dir)).rows)
+    return flows.target_dist(plans.last_irregular_samples(stored_trips(spark, sf_dir)).rows)
 
 
 # ---- baselines
 def _markov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.markov_ranks(plans.last_irregular_samples(v.trips(spark, sf_dir)), v.N)
+    return plans.markov_ranks(plans.last_irregular_samples(stored_trips(spark, sf_dir)), v.N)
 
 
 def _empirical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.empirical_ranks(plans.last_irregular_samples(v.trips(spark, sf_dir)), v.N)
+    return plans.empirical_ranks(plans.last_irregular_samples(stored_trips(spark, sf_dir)), v.N)
 
 
 @query
@@ -278,7 +289,7 @@ def accuracy_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def top_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = plans.last_irregular_samples(v.trips(spark, sf_dir))
+    s = plans.last_irregular_samples(stored_trips(spark, sf_dir))
     return predict.top_stations(s.personal("visits"), 3).select("id", "event_id", "station", "rank")
 
 
@@ -293,7 +304,7 @@ def path_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routes.ap_segments(v.ap(spark, sf_dir), v.od_interval(spark, sf_dir))
+    return routes.ap_segments(stored_ap(spark, sf_dir), v.od_interval(spark, sf_dir))
 
 
 def _set_text(df: DataFrame) -> DataFrame:
@@ -320,7 +331,7 @@ def subset_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def route_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return route_plans.route_ratio_job(v.ap(spark, sf_dir), v.od_interval(spark, sf_dir), v.paths(spark, sf_dir))
+    return route_plans.route_ratio_job(stored_ap(spark, sf_dir), v.od_interval(spark, sf_dir), v.paths(spark, sf_dir))
 
 
 over("matched_cards", v.idmap, routes.matched_cards)
@@ -350,20 +361,21 @@ def trip_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def path_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_od = routes.paths_by_od(v.paths(spark, sf_dir))
-    matched = routes.path_match(routes.trip_traces(_own(spark, sf_dir), v.ap(spark, sf_dir), by_od))
+    ap = stored_ap(spark, sf_dir)
+    matched = routes.path_match(routes.trip_traces(_own(spark, sf_dir), ap, by_od, routes.busy_devices(ap)))
     return matched.select("event_id", "id", "os", "ds", "path_no", "transfers")
 
 
 @query
 def personal_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route_plans.personal_routes_job(
-        v.trips(spark, sf_dir), v.ap(spark, sf_dir), v.idmap(spark, sf_dir), v.paths(spark, sf_dir)
+        stored_trips(spark, sf_dir), stored_ap(spark, sf_dir), v.idmap(spark, sf_dir), v.paths(spark, sf_dir)
     ).withColumn("ratio", F.round("ratio", 9))
 
 
 def _od_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route_plans.od_matches(
-        v.trips(spark, sf_dir), v.ap(spark, sf_dir), v.idmap(spark, sf_dir), v.paths(spark, sf_dir),
+        stored_trips(spark, sf_dir), stored_ap(spark, sf_dir), v.idmap(spark, sf_dir), v.paths(spark, sf_dir),
         v.transfer_stations(spark, sf_dir),
     )
 
@@ -376,7 +388,7 @@ def path_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def path_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route_plans.path_shares_job(
-        v.trips(spark, sf_dir), v.ap(spark, sf_dir), v.idmap(spark, sf_dir), v.paths(spark, sf_dir),
+        stored_trips(spark, sf_dir), stored_ap(spark, sf_dir), v.idmap(spark, sf_dir), v.paths(spark, sf_dir),
         v.transfer_stations(spark, sf_dir),
     )
 
@@ -385,6 +397,6 @@ def path_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def matched_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = v.paths(spark, sf_dir).filter("path_no = 2").select("os", "ds")  # ODs with a choice
     return route_plans.matched_traces_job(
-        v.trips(spark, sf_dir), v.ap(spark, sf_dir), v.idmap(spark, sf_dir), v.paths(spark, sf_dir),
+        stored_trips(spark, sf_dir), stored_ap(spark, sf_dir), v.idmap(spark, sf_dir), v.paths(spark, sf_dir),
         v.transfer_stations(spark, sf_dir), chosen,
     )

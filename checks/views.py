@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from railflow.staging import stage
+
 N = 25  # stations in the derived network
 NAMED = "concat('S', lpad(cast({0} as string), 2, '0'))"
 
@@ -168,6 +170,11 @@ def observed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored(view: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The view written once, for jobs that read it several times."""
+    return lambda spark, sf_dir: stage(view(spark, sf_dir), view.__name__)
+
+
 VIEWS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (stations, transfer_stations, sites, taps, trips, named_trips, paths, od_interval, idmap, ap, observed_paths)

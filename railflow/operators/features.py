@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from railflow.functions.time import HOLIDAYS, is_holiday, is_weekday, period_of_day, two_hour_slot
 from railflow.functions.vectors import dense
-from railflow.skew import hot_keys, running_sum, salted_join
+from railflow.skew import global_index, hot_keys, running_sum, salted_join
 
 KEY = ("id", "event_id")
 
@@ -138,13 +138,16 @@ def sample_header(samples: DataFrame, holidays: Iterable[int] = HOLIDAYS) -> Dat
     )
 
 
+def share_vectors(shares: DataFrame, keys: Sequence[str], name: str, n_stations: int, value: str = "ratio") -> DataFrame:
+    """One row per origin group with its shares as a vector (the table has at most one row per station pair and group)."""
+    entries = F.collect_list(F.struct(F.col("ds").alias("station"), F.col(value).alias("value")))
+    return shares.groupBy(*keys).agg(dense(entries, n_stations).alias(name))
+
+
 def dense_samples(header: DataFrame, cells: DataFrame, kinds: Sequence[str], n_stations: int) -> DataFrame:
-    """One row per sample with a vector of ``n_stations`` values per feature kind."""
+    """Add a vector of ``n_stations`` values per personal feature kind to each sample."""
     grouped = cells.groupBy(*KEY).agg(
-        *[
-            F.collect_list(F.when(F.col("feature") == k, F.struct("station", "value"))).alias(k)
-            for k in kinds
-        ]
+        *[F.collect_list(F.when(F.col("feature") == k, F.struct("station", "value"))).alias(k) for k in kinds]
     )
     joined = header.join(grouped, list(KEY), "left")
     return joined.select(*header.columns, *[dense(F.col(k), n_stations).alias(k) for k in kinds])
@@ -152,8 +155,6 @@ def dense_samples(header: DataFrame, cells: DataFrame, kinds: Sequence[str], n_s
 
 def traveller_number(samples: DataFrame) -> DataFrame:
     """Travellers of the samples, numbered from 0 in id order."""
-    from railflow.skew import global_index
-
     return global_index(samples.select("id").distinct(), ["id"], "traveller").select("id", "traveller")
 
 

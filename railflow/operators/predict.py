@@ -37,11 +37,24 @@ def top_stations(cells: DataFrame, k: int) -> DataFrame:
     return cells.filter(F.col("value") > 0).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def markov_cells(samples: DataFrame, period: DataFrame, group_day: DataFrame) -> DataFrame:
-    """The traveller's own counts of the period, or the group shares where there are none."""
-    without = samples.join(period.select(*KEY).distinct(), list(KEY), "left_anti").select(*KEY)
-    fallback = group_day.join(without, list(KEY), "left_semi")
-    return period.unionByName(fallback)
+def origin_ranks(shares: DataFrame, n_stations: int) -> DataFrame:
+    """Rank of every target by the group share of its origin: one row per station pair."""
+    targets = F.explode(F.sequence(F.lit(0), F.lit(n_stations - 1))).alias("target")
+    grid = shares.select("os").distinct().select("os", targets)
+    listed = grid.join(shares.select("os", F.col("ds").alias("target"), "ratio"), ["os", "target"], "left")
+    w = Window.partitionBy("os").orderBy(F.desc(F.coalesce("ratio", F.lit(0.0))), F.desc("target"))
+    return listed.select("os", "target", F.row_number().over(w).cast("bigint").alias("rank"))
+
+
+def markov_ranks(samples: DataFrame, period: DataFrame, by_origin: DataFrame, n_stations: int) -> DataFrame:
+    """Ranks by the traveller's own counts of the period; where there are none, by the group shares.
+
+    The group ranking depends on origin and target only, so it is looked up, not spread per sample.
+    """
+    known = period.select(*KEY).distinct()
+    own = target_ranks(samples.join(known, list(KEY), "left_semi"), period, n_stations)
+    rest = samples.join(known, list(KEY), "left_anti").join(by_origin, ["os", "target"])
+    return own.unionByName(rest.select(*KEY, "target", "rank"))
 
 
 def hit_tally(ranks: DataFrame, k: int) -> DataFrame:

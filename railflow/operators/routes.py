@@ -254,8 +254,18 @@ def sparse_windows(
     return trips.filter(~is_hot(hot, "ap_id")).unionByName(fits.select(*trips.columns))
 
 
+def busy_devices(ap: DataFrame) -> list[int]:
+    """Devices with so many records that their traces must not be put together blindly."""
+    return hot_keys(ap, "ap_id", fraction=0.02)
+
+
 def trip_traces(
-    trips: DataFrame, ap: DataFrame, by_od: DataFrame, pad: int = PAD_SECONDS, bucket: int = BUCKET_SECONDS
+    trips: DataFrame,
+    ap: DataFrame,
+    by_od: DataFrame,
+    busy: Sequence[int],
+    pad: int = PAD_SECONDS,
+    bucket: int = BUCKET_SECONDS,
 ) -> DataFrame:
     """Trips with their device trace in time order and the valid paths of their OD.
 
@@ -265,7 +275,7 @@ def trip_traces(
     keyed = trips.select("event_id", "id", "ap_id", "os", "ds", "ot", "dt").join(
         by_od.select("os", "ds", "longest"), ["os", "ds"]
     )
-    kept = sparse_windows(keyed, ap, "longest", hot_keys(ap, "ap_id", fraction=0.02), pad)
+    kept = sparse_windows(keyed, ap, "longest", busy, pad)
     traces = (
         trip_ap(kept, ap, pad, bucket)
         .groupBy("event_id", "id", "os", "ds", "ot", "dt", "longest")

@@ -78,7 +78,7 @@ def nearest_station(stations: DataFrame, cell_m: float | None = None) -> DataFra
     height = math.radians(box["north"] - box["south"]) * metres
     width = math.radians(box["east"] - box["west"]) * metres * shrink
     span = max(height, width, 1.0)
-    cell = cell_m or max(1.0, span / math.sqrt(box["n"]) / 2)
+    cell = cell_m or max(1.0, span / math.sqrt(box["n"]))
 
     around = F.explode(F.expr("flatten(transform(sequence(-1, 1), y -> transform(sequence(-1, 1), x -> struct(y as dy, x as dx))))"))
     open_spots = spots.filter("names = 1").select(F.col("first").alias("name"), "lat", "lon")

@@ -14,10 +14,14 @@ def route_ratio_job(ap: DataFrame, od_interval: DataFrame, paths: DataFrame) ->
     return routes.route_ratio(stage(routes.ap_segments(ap, od_interval), "segments"), paths)
 
 
+FEW_CARDS = 1_000_000
+
+
 def _matched(trips: DataFrame, ap: DataFrame, cards: DataFrame, paths: DataFrame) -> DataFrame:
-    devices = cards.select("ap_id").distinct()
-    records = salted_join(ap, devices, ["ap_id"], hot_keys(ap, "ap_id"), "left_semi")
-    return routes.path_match(routes.trip_traces(trips, records, routes.paths_by_od(paths)))
+    busy = routes.busy_devices(ap)
+    if cards.count() <= FEW_CARDS:  # small enough to drop other devices' records before the shuffle
+        ap = salted_join(ap, cards.select("ap_id").distinct(), ["ap_id"], busy, "left_semi")
+    return routes.path_match(routes.trip_traces(trips, ap, routes.paths_by_od(paths), busy))
 
 
 def personal_matches(

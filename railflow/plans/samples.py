@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from railflow.functions.time import HOLIDAYS, is_weekday, peak_flags, quarter_of_day
+from railflow.functions.time import HOLIDAYS, is_weekday, peak_flags, quarter_of_day, two_hour_slot
 from railflow.operators import features as feat
-from railflow.operators import flows, habits
-from railflow.operators.predict import markov_cells, target_ranks
-from railflow.operators.trips import locate, within_day
+from railflow.operators import flows, habits, predict
+from railflow.operators.trips import within_day
 from railflow.skew import hot_keys
 from railflow.staging import stage
 
-BASE_KINDS = ("group_day", "group_hour", "period", "origin", "visits")
-EXTENDED_KINDS = ("crowd", "td_wd", "td_we", "origin", "tsd_wd", "tsd_we", "visits")
+PERSONAL = ("period", "origin", "visits")
+BASE_KINDS = ("group_day", "group_hour", *PERSONAL)
+PERSONAL_EXTENDED = ("td_wd", "td_we", "origin", "tsd_wd", "tsd_we", "visits")
+EXTENDED_KINDS = ("crowd", *PERSONAL_EXTENDED)
 
 
 class SampleSet:
@@ -28,9 +30,9 @@ class SampleSet:
         self.cells = stage(feat.history_cells(trips, drawn, hot, per_traveller), "cells")
         self.drawn = drawn
 
-    @property
+    @cached_property
     def rows(self) -> DataFrame:
-        return feat.history_length(self.drawn, self.cells)
+        return stage(feat.history_length(self.drawn, self.cells), "rows")
 
     def personal(self, *kinds: str) -> DataFrame:
         return feat.personal_features(self.drawn, self.cells, kinds)
@@ -52,11 +54,16 @@ def multi_samples(
     return SampleSet(trips, drawn, hot, per_traveller)
 
 
+def _shares(trips: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All-day and hourly shares as stages: their real size decides how samples are joined to them."""
+    return stage(flows.od_share(trips), "od_share"), stage(flows.od_hour_share(trips), "od_hour_share")
+
+
 def base_cells(s: SampleSet) -> DataFrame:
     """The five feature kinds of ``BASE_KINDS``, long."""
-    rows = stage(s.rows, "rows")
-    day = feat.group_day_feature(rows, stage(flows.od_share(s.trips), "od_share"))
-    hour = feat.group_hour_feature(rows, stage(flows.od_hour_share(s.trips), "od_hour_share"))
+    share, hour_share = _shares(s.trips)
+    day = feat.group_day_feature(s.rows, share)
+    hour = feat.group_hour_feature(s.rows, hour_share)
     return day.unionByName(hour).unionByName(s.personal("period", "origin", "visits"))
 
 
@@ -66,33 +73,54 @@ def samples_base(s: SampleSet, holidays: Iterable[int] = HOLIDAYS) -> DataFrame:
 
 
 def samples_base_dense(s: SampleSet, n_stations: int, holidays: Iterable[int] = HOLIDAYS) -> DataFrame:
-    return feat.dense_samples(feat.sample_header(s.rows, holidays), base_cells(s), BASE_KINDS, n_stations)
+    """One row per sample with five vectors; group vectors are joined whole, one per origin."""
+    share, hour_share = _shares(s.trips)
+    header = feat.sample_header(s.rows, holidays).join(
+        s.rows.select(*feat.KEY, F.hour("ot").alias("hour")), list(feat.KEY)
+    )
+    grouped = (
+        header.join(feat.share_vectors(share, ["os"], "group_day", n_stations), "os")
+        .join(feat.share_vectors(hour_share, ["hour", "os"], "group_hour", n_stations), ["hour", "os"])
+        .drop("hour")
+    )
+    return feat.dense_samples(grouped, s.personal(*PERSONAL), PERSONAL, n_stations)
 
 
 def extended_samples(trips: DataFrame, **habit_options) -> tuple[SampleSet, DataFrame]:
-    """Samples over within-day trips, and their seven-kind cells.
+    """Samples over within-day trips, and the crowd flow table.
 
     The crowd flow counts all trips; history and habits leave out cross-day trips.
     """
     s = last_irregular_samples(within_day(trips), **habit_options)
-    crowd = stage(feat.crowd_table(flows.od_slot_share(trips)), "crowd")
-    cells = feat.crowd_feature(stage(s.rows, "rows"), crowd).unionByName(
-        s.personal("td_wd", "td_we", "origin", "tsd_wd", "tsd_we", "visits")
-    )
-    return s, cells
+    return s, stage(feat.crowd_table(flows.od_slot_share(trips)), "crowd")
+
+
+def _extended_header(s: SampleSet) -> DataFrame:
+    return feat.sample_header(s.rows).select(*feat.KEY, "os", "target", "st", "idx")
 
 
 def samples_ext(trips: DataFrame, **habit_options) -> DataFrame:
     """Extended samples, one row per non-zero feature value."""
-    s, cells = extended_samples(trips, **habit_options)
-    header = feat.sample_header(s.rows).select(*feat.KEY, "os", "target", "st", "idx")
-    return header.join(cells, list(feat.KEY))
+    s, crowd = extended_samples(trips, **habit_options)
+    cells = feat.crowd_feature(s.rows, crowd).unionByName(s.personal(*PERSONAL_EXTENDED))
+    return _extended_header(s).join(cells, list(feat.KEY))
 
 
 def samples_ext_dense(trips: DataFrame, n_stations: int, **habit_options) -> DataFrame:
-    s, cells = extended_samples(trips, **habit_options)
-    header = feat.sample_header(s.rows).select(*feat.KEY, "os", "target", "st", "idx")
-    return feat.dense_samples(header, cells, EXTENDED_KINDS, n_stations)
+    """One row per sample with seven vectors; the crowd vector is zero when no day came before."""
+    s, crowd = extended_samples(trips, **habit_options)
+    key = ["day", "slot", "os"]
+    vectors = feat.share_vectors(crowd, key, "crowd", n_stations, "value")
+    day = s.rows.select(*feat.KEY, F.dayofmonth("ot").alias("day"), two_hour_slot(F.col("ot")).alias("slot"))
+    zeros = F.array_repeat(F.lit(0.0), n_stations)
+    header = (
+        _extended_header(s)
+        .join(day, list(feat.KEY))
+        .join(vectors, key, "left")
+        .withColumn("crowd", F.coalesce("crowd", zeros))
+        .drop("day", "slot")
+    )
+    return feat.dense_samples(header, s.personal(*PERSONAL_EXTENDED), PERSONAL_EXTENDED, n_stations)
 
 
 def samples_multi(s: SampleSet) -> DataFrame:
@@ -101,36 +129,47 @@ def samples_multi(s: SampleSet) -> DataFrame:
 
 
 def markov_ranks(s: SampleSet, n_stations: int) -> DataFrame:
-    rows = stage(s.rows, "rows")
-    day = feat.group_day_feature(rows, stage(flows.od_share(s.trips), "od_share"))
-    return target_ranks(rows, markov_cells(rows, s.personal("period"), day), n_stations)
+    by_origin = stage(predict.origin_ranks(flows.od_share(s.trips), n_stations), "origin_ranks")
+    return predict.markov_ranks(s.rows, s.personal("period"), by_origin, n_stations)
 
 
 def empirical_ranks(s: SampleSet, n_stations: int) -> DataFrame:
-    return target_ranks(s.rows, s.personal("visits"), n_stations)
+    return predict.target_ranks(s.rows, s.personal("visits"), n_stations)
 
 
 def sequence_samples(trips: DataFrame, stations: DataFrame, k: int) -> DataFrame:
-    """The k trips before every trip from the busiest origin, then that trip, with positions."""
+    """The k trips before every trip from the busiest origin, then that trip, with positions.
+
+    Only codes and times go through the shuffle; the positions, a dictionary of the network's
+    stations, are looked up on the samples alone.
+    """
     top = flows.top_origin(trips).select("os").scalar()
-    morning, evening, normal = peak_flags(F.col("ot"))
-    placed = (
-        locate(trips, stations)
-        .withColumn("mp", morning)
-        .withColumn("ep", evening)
-        .withColumn("normal", normal)
-        .withColumn("weekend", (~is_weekday(F.col("ot"))).cast("int"))
-    )
-    step = ["o_lon", "o_lat", "d_lon", "d_lat", "mp", "ep", "normal", "weekend"]
-    found = feat.previous_trips(placed, k, F.col("os") == top, step)
-    return found.select(
+    found = feat.previous_trips(trips.select("id", "event_id", "ot", "os", "ds"), k, F.col("os") == top, ["ot", "os", "ds"])
+    at = F.map_from_entries(F.collect_list(F.struct("station", F.struct("lon", "lat"))))
+    positions = stations.agg(at.alias("at")).scalar()
+    located = found.withColumn("_at", positions)
+
+    def place(code: Column, prefix: str) -> list[Column]:
+        spot = F.try_element_at("_at", code)
+        return [spot["lon"].alias(f"{prefix}_lon"), spot["lat"].alias(f"{prefix}_lat")]
+
+    def step(p: Column) -> Column:
+        morning, evening, normal = peak_flags(p["ot"])
+        return F.struct(
+            *place(p["os"], "o"),
+            *place(p["ds"], "d"),
+            morning.alias("mp"),
+            evening.alias("ep"),
+            normal.alias("normal"),
+            (~is_weekday(p["ot"])).cast("int").alias("weekend"),
+        )
+
+    return located.select(
         *feat.KEY,
-        "prefix",
-        "o_lon",
-        "o_lat",
+        F.transform("prefix", step).alias("prefix"),
+        *place(F.col("os"), "o"),
         F.dayofweek("ot").alias("day_of_week"),
         quarter_of_day(F.col("ot")).alias("quarter"),
-        "d_lon",
-        "d_lat",
+        *place(F.col("ds"), "d"),
         F.lit(k).alias("k"),
     )

@@ -30,12 +30,14 @@ def test_ranks_match_sorting_the_dense_vector(spark):
 
 
 def test_group_shares_step_in_when_the_period_is_empty(spark):
-    s = spark.createDataFrame([(1, 1, 3), (1, 2, 3)], "id int, event_id int, target int")
-    cell = "id int, event_id int, feature string, station int, value double"
-    period = spark.createDataFrame([(1, 1, "period", 3, 2.0)], cell)
-    group = spark.createDataFrame([(1, 1, "group_day", 5, 0.9), (1, 2, "group_day", 3, 0.9)], cell)
-    kept = predict.markov_cells(s, period, group).collect()
-    assert sorted((r["event_id"], r["feature"]) for r in kept) == [(1, "period"), (2, "group_day")]
+    s = spark.createDataFrame([(1, 1, 7, 3), (1, 2, 7, 3)], "id int, event_id int, os int, target int")
+    period = spark.createDataFrame([(1, 1, "period", 3, 2.0)], "id int, event_id int, feature string, station int, value double")
+    share = spark.createDataFrame([(7, 5, 0.6), (7, 9, 0.3), (7, 2, 0.1)], "os int, ds int, ratio double")
+    by_origin = predict.origin_ranks(share, N)
+    order = [r["target"] for r in by_origin.orderBy("rank").collect()]
+    assert order == [5, 9, 2, 11, 10, 8, 7, 6, 4, 3, 1, 0]
+    got = {r["event_id"]: r["rank"] for r in predict.markov_ranks(s, period, by_origin, N).collect()}
+    assert got == {1: 1, 2: 10}
 
 
 def test_merge_with_a_missing_flag(spark):
