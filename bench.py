@@ -9,6 +9,7 @@ import time
 
 from checks.queries import QUERIES
 from railflow.session import local_session
+from railflow.staging import drop_stages
 
 HEADLINE = (
     "od_share od_hour_share station_mobility od_avg_time rank_dist tap_pairs trip_index prediction_table "
@@ -30,6 +31,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        drop_stages(spark)
         print(f"{name}: {times[name]}", file=sys.stderr, flush=True)
     print(
         json.dumps(

@@ -13,8 +13,15 @@ N = 25  # stations in the derived network
 NAMED = "concat('S', lpad(cast({0} as string), 2, '0'))"
 
 
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,8 +178,19 @@ def observed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored(view: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The view written once, for jobs that read it several times."""
-    return lambda spark, sf_dir: stage(view(spark, sf_dir), view.__name__)
+    """The view written once, for jobs that read it several times.
+
+    Only a table of fewer splits than cores, as in the small test data, is spread out first.
+    """
+
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = view(spark, sf_dir)
+        cores = spark.sparkContext.defaultParallelism
+        if table(spark, sf_dir, "events").rdd.getNumPartitions() < cores:
+            rows = rows.repartition(cores)
+        return stage(rows, view.__name__)
+
+    return read
 
 
 VIEWS: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -15,6 +15,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("RAILFLOW_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
