@@ -37,9 +37,11 @@ def time_profiles(
         .groupBy("id", "t")
         .agg(F.count(F.lit(1)).alias("w"), days.alias("_days"))
     )
-    # a fixed partition count: the rows are few but each costs a density pass, so they must not be merged
+    # rows are short but each costs a density pass: keep small shuffles from being merged below the cores
     parts = int(trips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    per_id = per_time.repartition(parts, "id").groupBy("id").agg(
+    if parts <= 4 * trips.sparkSession.sparkContext.defaultParallelism:
+        per_time = per_time.repartition(parts, "id")
+    per_id = per_time.groupBy("id").agg(
         F.expr("sum(w) div 2").alias("n"),
         size(merge("_days")).cast("int").alias("n_days"),
         F.sort_array(F.collect_list(F.struct("t", "w"))).alias("times"),
