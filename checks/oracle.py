@@ -122,13 +122,13 @@ HEAD = """s.id, s.event_id, s.os, s.target, cast(hour(s.ot)//2 as int) st, s.idx
 FLAGS = f"""cast({WEEKDAY.format('s.ot')} as int) weekday, cast(day(s.ot) in (7,8,9) as int) holiday"""
 
 CTES["ap_prev"] = """select *, lag(station) over w p_station, lag(ts) over w p_ts, lag(stay) over w p_stay from ap
-window w as (partition by ap_id order by ts, station)"""
+window w as (partition by ap_id order by ts, station, stay)"""
 CTES["ap_break"] = """select a.*, case when p_ts is null then 0 when a.station=p_station then 1 when i.sec is null then 0
 when abs(datediff('second',p_ts,ts)-p_stay) > i.sec + case when i.sec<1800 then 600 when i.sec<3600 then 1200 else 1800 end then 1
 when i.sec>900 and abs(datediff('second',p_ts,ts)-p_stay) < 0.6*i.sec then 1 else 0 end brk
 from ap_prev a left join od_interval i on i.os=a.p_station and i.ds=a.station"""
-CTES["ap_seg"] = "select *, sum(brk) over (partition by ap_id order by ts, station rows unbounded preceding) seg from ap_break"
-CTES["segments"] = """select ap_id, arg_min(station, (ts, station)) os, arg_max(station, (ts, station)) ds, list_sort(list(distinct station)) stations,
+CTES["ap_seg"] = "select *, sum(brk) over (partition by ap_id order by ts, station, stay rows unbounded preceding) seg from ap_break"
+CTES["segments"] = """select ap_id, arg_min(station, (ts, station, stay)) os, arg_max(station, (ts, station, stay)) ds, list_sort(list(distinct station)) stations,
 min(ts) as start, count(*) n_rows from ap_seg group by ap_id, seg having count(*)>=2"""
 CTES["sampled"] = """select s.*, p.shortest from segments s join (select os, ds, cast(min(len(st)) as int) shortest from paths group by all) p
 on p.os=s.os and p.ds=s.ds where len(s.stations)-2 >= 0.5*(p.shortest-2)"""
@@ -140,7 +140,7 @@ CTES["own"] = "select t.*, c.ap_id from trips t join cards c on c.id=t.id"
 CTES["freq"] = "select id, os, ds, count(*) cnt from own group by all having count(*)>3"
 CTES["near_ap"] = """select o.event_id, o.id, o.os, o.ds, o.ot, o.dt, o.ap_id, a.ts, a.station, a.stay from own o join ap a on a.ap_id=o.ap_id
 and a.ts > o.ot - interval 300 second and a.ts < o.dt + interval 300 second"""
-CTES["traces"] = """select event_id, id, os, ds, ot, dt, list(station order by ts, station) tr,
+CTES["traces"] = """select event_id, id, os, ds, ot, dt, list(station order by ts, station, stay) tr,
 list(strftime(ts,'%Y-%m-%d %H:%M:%S')||','||station||','||stay order by ts, station, stay) recs from near_ap group by all"""
 CTES["matched"] = """select t.*, p.path_no, p.transfers from traces t join paths p on p.os=t.os and p.ds=t.ds
 where list_filter(p.st, lambda x: list_contains(t.tr, x)) = t.tr qualify count(*) over (partition by t.event_id)=1"""

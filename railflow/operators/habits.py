@@ -18,6 +18,7 @@ from railflow.functions.time import seconds_of_day, trip_day
 from railflow.skew import hot_keys, salted_join
 
 BANDWIDTH = 1800
+PAIR = ("id", "os", "ds")
 
 
 def time_profiles(
@@ -157,6 +158,11 @@ def traveller_pairs(counts: DataFrame, min_trips: int = 5) -> DataFrame:
     return pairs.withColumn("dominant", dominant).withColumn("habit", F.col("dominant") | F.col("cluster_habit"))
 
 
+def hot_pairs(trips: DataFrame, hot: Sequence[int]) -> list[int]:
+    """Hot (traveller, pair) keys; there are none without hot travellers."""
+    return hot_keys(trips, *PAIR) if hot else []
+
+
 def last_irregular(pairs: DataFrame) -> DataFrame:
     """The latest trip outside the habits of each traveller; none when every trip is habitual."""
     latest = F.max(F.struct("last", "os", "ds")).alias("m")
@@ -171,7 +177,7 @@ def last_irregular(pairs: DataFrame) -> DataFrame:
 def all_irregular(trips: DataFrame, pairs: DataFrame, hot: Sequence[int]) -> DataFrame:
     """Every trip outside the habits of its (active) traveller."""
     odd = pairs.filter(~F.col("habit")).select("id", "os", "ds")
-    return salted_join(trips, odd, ["id", "os", "ds"], hot, "left_semi", hot_on=["id"])
+    return salted_join(trips, odd, PAIR, hot_pairs(trips, hot), "left_semi")
 
 
 def sampled_irregular(
@@ -194,7 +200,7 @@ def sampled_irregular(
         .filter(F.col("n_odd") > min_irregular)
         .select("id", "os", "ds", "any_habit")
     )
-    odd = salted_join(trips, often, ["id", "os", "ds"], hot, hot_on=["id"])
+    odd = salted_join(trips, often, PAIR, hot_pairs(trips, hot))
     latest = Window.partitionBy("id").orderBy(F.desc("ot"), F.desc("event_id"))
     # row_number with a small bound is cut to that bound inside every map task before the shuffle
     newest = odd.withColumn("rn", F.row_number().over(latest)).filter(F.col("rn") <= per_traveller)

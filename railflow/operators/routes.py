@@ -18,7 +18,7 @@ from railflow.staging import stage
 
 PAD_SECONDS = 300
 BUCKET_SECONDS = 3600
-AP_ORDER = ("ts", "station")
+AP_ORDER = ("ts", "station", "stay")
 
 
 # ---- paths -------------------------------------------------------------------------------
@@ -86,7 +86,10 @@ def ap_segments(ap: DataFrame, od_interval: DataFrame, min_rows: int = 2) -> Dat
             (gap > odi + tolerance) | ((odi > 900) & (gap < odi * 0.6)), F.lit(False)
         ))
     )
-    numbered = running_sum(timed, "ap_id", order, breaks.cast("bigint"), hot, "seg")
+    marked = timed.select("ap_id", *order, breaks.cast("bigint").alias("_break"))
+    if hot:  # the slices' sums are a second pass over the breaks
+        marked = stage(marked, "breaks")
+    numbered = running_sum(marked, "ap_id", order, F.col("_break"), hot, "seg")
     at = F.struct(*order)
     return (
         numbered.groupBy("ap_id", "seg")
@@ -279,7 +282,7 @@ def trip_traces(
     traces = (
         trip_ap(kept, ap, pad, bucket)
         .groupBy("event_id", "id", "os", "ds", "ot", "dt", "longest")
-        .agg(F.sort_array(F.collect_list(F.struct(*AP_ORDER, "stay"))).alias("trace"))
+        .agg(F.sort_array(F.collect_list(F.struct(*AP_ORDER))).alias("trace"))
         .filter(F.size("trace") <= F.col("longest"))
     )
     return traces.drop("longest").join(by_od.select("os", "ds", "paths"), ["os", "ds"])

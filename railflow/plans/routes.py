@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from railflow.operators import routes
+from railflow.operators.habits import PAIR, hot_pairs
 from railflow.skew import hot_keys, salted_join
 from railflow.staging import stage
 
@@ -32,7 +33,8 @@ def personal_matches(
     cards = stage(routes.matched_cards(idmap, min_score), "cards")
     own = routes.card_trips(trips, cards, hot)
     often = routes.frequent_od(own, min_trips).select("id", "os", "ds")
-    return _matched(salted_join(own, often, ["id", "os", "ds"], hot, "left_semi", hot_on=["id"]), ap, cards, paths)
+    kept = salted_join(own, often, PAIR, hot_pairs(trips, hot), "left_semi")
+    return _matched(kept, ap, cards, paths)
 
 
 def personal_routes_job(

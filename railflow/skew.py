@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from railflow.functions.time import epoch_seconds
+from railflow.staging import stage
 
 MIN_ROWS = 5_000_000  # keys below this fit a task comfortably; conf railflow.skew.minRows
 MAX_KEYS = 1_000  # a key outside the largest thousand holds under 0.1 % of the rows
@@ -46,21 +47,18 @@ def salted_join(
     on: Sequence[str],
     hot: Sequence[int],
     how: str = "inner",
-    hot_on: Sequence[str] | None = None,
 ) -> DataFrame:
     """Equi join that spreads the rows of hot keys of ``big`` over many tasks.
 
-    ``how`` may be inner, left, left_semi or left_anti. ``hot_on`` names the columns the hot
-    list was built from when they are only a part of ``on``.
+    ``how`` may be inner, left, left_semi or left_anti; ``hot`` comes from ``hot_keys(big, *on)``.
     """
     on = list(on)
     if not hot:
         return big.join(small, on, how)
     salts = max(8, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    key = list(hot_on or on)
     spread = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
-    left = big.withColumn("_salt", F.when(is_hot(hot, *key), spread).otherwise(F.lit(0)))
-    copies = F.when(is_hot(hot, *key), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    left = big.withColumn("_salt", F.when(is_hot(hot, *on), spread).otherwise(F.lit(0)))
+    copies = F.when(is_hot(hot, *on), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = small.withColumn("_salt", F.explode(copies))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
@@ -127,8 +125,6 @@ def global_index(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     Rows are range partitioned and sorted, written once, then shifted by the sizes of the
     earlier partitions (one row per partition).
     """
-    from railflow.staging import stage
-
     placed = stage(
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
