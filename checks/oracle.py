@@ -227,6 +227,8 @@ cast(dayofweek(ot)+1 as int) weekday_no, cast(month(ot) as int) as month, cast(h
 cast((day(ot)-1)*48+hour(ot)*2+minute(ot)//30 as int) half_hour, cast(hour(ot)//2 as int) slot, cast({WEEKDAY.format('ot')} as int) weekday,
 cast(day(ot) in (7,8,9) as int) holiday, cast(hour(ot) in (7,8,9) as int) morning_peak, cast(hour(ot) in (17,18,19) as int) evening_peak,
 cast(hour(ot) not in (7,8,9,17,18,19) as int) normal_hour, cast({DAY} as int) trip_day from trips""")
+oracle("clock_fields", """select event_id, strftime(ot,'%Y-%m-%d %H:%M:%S') as text, cast(epoch(ot) as bigint)-8*3600 as epoch,
+strftime(ot,'%Y-%m-%d %H:%M:%S') back from trips""")
 oracle("within_day", "select * from day_trips")
 oracle("active_travellers", "select * from act")
 oracle("frequent_travellers", "select event_id, id from trips qualify count(*) over (partition by id)>10")

@@ -104,6 +104,7 @@ def station_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 over("time_parts", v.trips, trips.time_parts)
+over("clock_fields", v.trips, trips.clock_fields)
 over("within_day", v.trips, trips.within_day)
 over("active_travellers", v.trips, trips.active_travellers)
 over("frequent_travellers", v.trips, lambda t: trips.frequent_travellers(t).select("event_id", "id"))

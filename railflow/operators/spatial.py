@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from railflow.functions.geo import EARTH_RADIUS_KM, haversine_m, min_max
 from railflow.staging import stage
 
+GROWTH = 4
+FULL_CELL = 64
 SAFE = 0.99  # covers the curvature lost when an east-west span is measured on a flat grid
 
 
@@ -47,8 +49,9 @@ def nearest_station(stations: DataFrame, cell_m: float | None = None) -> DataFra
 
     Points meet only the points of their own and the eight surrounding grid cells. A match
     closer than one cell width is final, since anything outside those cells is farther. The
-    others try again on a grid twice as wide. They have no neighbour within the last width, so
-    only a bounded number of them fits into one wider cell and the rounds stay linear in size.
+    others try again on a grid ``GROWTH`` times as wide. They have no neighbour within the last
+    width, so only a bounded number of them fits into one wider cell. The first grid is fine
+    enough for ``FULL_CELL`` points a cell, however clustered they are. Work stays linear.
     Stations sharing one position are settled first, by name. Ties go to the smaller name.
     The grid is flat: networks spanning the date line or a pole are not supported.
     """
@@ -78,7 +81,14 @@ def nearest_station(stations: DataFrame, cell_m: float | None = None) -> DataFra
     height = math.radians(box["north"] - box["south"]) * metres
     width = math.radians(box["east"] - box["west"]) * metres * shrink
     span = max(height, width, 1.0)
+
+    def fullest(width: float) -> int:
+        counts = spots.select(*_cells(width, shrink)).groupBy("gy", "gx").count()
+        return counts.agg(F.max("count")).first()[0]
+
     cell = cell_m or max(1.0, span / math.sqrt(box["n"]))
+    while cell_m is None and cell > 0.01 and fullest(cell) > FULL_CELL:
+        cell /= 2 * GROWTH
 
     around = F.explode(F.expr("flatten(transform(sequence(-1, 1), y -> transform(sequence(-1, 1), x -> struct(y as dy, x as dx))))"))
     open_spots = spots.filter("names = 1").select(F.col("first").alias("name"), "lat", "lon")
@@ -104,7 +114,7 @@ def nearest_station(stations: DataFrame, cell_m: float | None = None) -> DataFra
         open_spots = tried.filter(F.col("m").isNull() | (F.col("m.dist") > SAFE * cell)).select("name", "lat", "lon")
         if last or open_spots.isEmpty():
             return found
-        cell *= 2
+        cell *= GROWTH
 
 
 def mean_nearest(stations: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from railflow.functions.time import (
     HOLIDAYS,
+    ZONE,
+    epoch_to_text,
     half_hour_of_month,
     is_holiday,
     is_weekday,
@@ -16,6 +18,8 @@ from railflow.functions.time import (
     period_of_day,
     quarter_of_day,
     seconds_of_day,
+    text_to_epoch,
+    time_text,
     trip_day,
     two_hour_slot,
 )
@@ -98,6 +102,15 @@ def time_parts(trips: DataFrame, holidays: Iterable[int] = HOLIDAYS, day_key: st
     )
 
 
+def clock_fields(trips: DataFrame, zone: str = ZONE) -> DataFrame:
+    """Entry time as text, its Unix seconds in ``zone``, and the text those seconds give back."""
+    text = time_text(F.col("ot"))
+    return trips.select(
+        "event_id", text.alias("text"), text_to_epoch(text, zone).alias("epoch"),
+        epoch_to_text(text_to_epoch(text, zone), zone).alias("back"),
+    )
+
+
 def within_day(trips: DataFrame) -> DataFrame:
     """Drop trips that enter and leave on different days."""
     return trips.filter(trip_day(F.col("ot"), F.col("dt")) > 0)

@@ -16,8 +16,8 @@ def _points(kind):
     rng = random.Random(13)
     if kind == "spread":
         pts = [(rng.uniform(22, 23), rng.uniform(113, 115)) for _ in range(120)]
-    elif kind == "clustered":  # two thirds in one spot, the rest far away
-        pts = [(22.5 + rng.random() * 1e-3, 114 + rng.random() * 1e-3) for _ in range(80)]
+    elif kind == "clustered":  # most in one spot, the rest far away
+        pts = [(22.5 + rng.random() * 1e-3, 114 + rng.random() * 1e-3) for _ in range(200)]
         pts += [(rng.uniform(-60, 70), rng.uniform(-20, 60)) for _ in range(40)]
     else:  # shared positions
         pts = [(22.0 + (i // 3) * 0.01, 114.0) for i in range(30)]
