@@ -191,9 +191,3 @@ def stored(view: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
         return stage(rows, view.__name__)
 
     return read
-
-
-VIEWS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
-    for f in (stations, transfer_stations, sites, taps, trips, named_trips, paths, od_interval, idmap, ap, observed_paths)
-}
