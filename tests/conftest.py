@@ -14,7 +14,7 @@ from railflow.session import local_session  # noqa: E402
 def spark(tmp_path_factory):
     session = local_session(8, partitions=4)
     if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("stages")))
+        session.conf.set("railflow.stage.dir", str(tmp_path_factory.mktemp("stages")))
     return session
 
 
