@@ -104,11 +104,16 @@ def windows(h: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.
         cut = offsets[1:-1] - back
         inside[cut[(cut >= 0) & (cut < n)]] = False
     at = np.flatnonzero(inside)
+    return window_hash(h, at, k), at
+
+
+def window_hash(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the ``k`` words from each word index in ``at``."""
     total, factor = h[at].copy(), U(1)
     for j in range(1, k):
         factor = U((int(factor) * int(_NEXT)) & 0xFFFFFFFFFFFFFFFF)
         total += h[at + j] * factor
-    return mix(total + U(k)), at
+    return mix(total + U(k))
 
 
 def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[Slice]:
