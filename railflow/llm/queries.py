@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from railflow.llm import decontaminate, lines, ngrams, packing, quality, vocabulary
+from railflow.llm import decontaminate, langid, lines, ngrams, packing, quality, vocabulary, wordpiece
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +29,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary.word_bpe())
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary.word_bpe())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op4_decontaminate, op5_quality_rules, op9_pack)
+    f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op4_decontaminate, op5_quality_rules, op6_token_counts, op8_language, op9_pack)
 }

@@ -68,13 +68,14 @@ class Slice:
         return h
 
     def runs(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the longest runs of true bytes that stay within one text."""
+        """Starts and ends of the longest runs of true bytes (or of one class above 0) that stay within one text."""
         if not len(inside):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         joined = np.zeros(len(inside) + 1, bool)
-        joined[1:-1] = inside[1:] & inside[:-1]
+        joined[1:-1] = inside[1:] == inside[:-1]
         joined[self.at] = False
-        return np.flatnonzero(inside & ~joined[:-1]), np.flatnonzero(inside & ~joined[1:]) + 1
+        on = inside > 0
+        return np.flatnonzero(on & ~joined[:-1]), np.flatnonzero(on & ~joined[1:]) + 1
 
     def per_text(self, starts: np.ndarray) -> np.ndarray:
         """Offsets of each text's spans in ``starts`` (n + 1 of them)."""
