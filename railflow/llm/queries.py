@@ -30,7 +30,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wordpiece.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary.word_bpe())
+    return wordpiece.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary.byte_bpe())
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Token counts (6): greedy longest-match word pieces, counted by a linear automaton.
 
-The vocabulary becomes a trie over bytes plus an end-of-word symbol. Each node has a failure link to
+The vocabulary becomes a trie over bytes; pieces that begin a word begin with a space. Each node has a failure link to
 the node of what is left after the pieces that greedy matching settles, and the precomputed number
 of these pieces; so a word is read once, symbol by symbol, and its pieces are counted and never
 built. The distinct words of a slice run side by side as NumPy arrays. The automaton (a vocabulary
@@ -26,8 +26,7 @@ from pyspark.sql.types import StructType
 
 from railflow.llm import textscan as ts
 
-END = 256
-SYMBOLS = 257
+SYMBOLS = 256
 
 _CLASS = np.full(256, 3, np.uint8)  # other marks
 _CLASS[:33] = _CLASS[127] = 0
@@ -42,23 +41,17 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def pieces_of(tokenizer_json: str) -> list[tuple[int, ...]]:
-    """Vocabulary entries as symbols; a word-end suffix becomes ``END``. Entries outside the byte alphabet (special tokens) are left out."""
-    model, of = json.loads(tokenizer_json)["model"], byte_symbols()
-    suffix = model.get("end_of_word_suffix") or ""
-    out = []
-    for piece in model["vocab"]:
-        last = bool(suffix) and piece.endswith(suffix) and piece != suffix
-        body = piece[: -len(suffix)] if last else piece
-        if body and all(c in of for c in body):
-            out.append((*(of[c] for c in body), *([END] if last else [])))
-    return out
+def pieces_of(tokenizer_json: str) -> list[bytes]:
+    """Vocabulary entries as bytes; entries outside the byte alphabet (special tokens) are left out."""
+    of = byte_symbols()
+    vocabulary = json.loads(tokenizer_json)["model"]["vocab"]
+    return [bytes(of[c] for c in piece) for piece in vocabulary if piece and all(c in of for c in piece)]
 
 
 class Automaton:
     """Trie edges in an open-addressing table, failure links and popped-piece counts per node; node 0 is the root."""
 
-    def __init__(self, pieces: list[tuple[int, ...]]):
+    def __init__(self, pieces: list[bytes], mark: bytes = b" "):
         children: list[dict[int, int]] = [{}]
         token = [False]
         for piece in pieces:
@@ -71,20 +64,23 @@ class Automaton:
                 node = children[node][symbol]
             token[node] = True
         fail, pops = [-1] * len(children), [0] * len(children)
+        rest = [0] * len(children)  # pieces of what is left at a node where the word ends, -1 if it can't be spelled
         todo = deque([0])
         while todo:
             u = todo.popleft()
             for symbol, v in children[u].items():
                 todo.append(v)
                 if token[v]:
-                    fail[v], pops[v] = 0, 1
+                    fail[v], pops[v], rest[v] = 0, 1, 1
                     continue
                 z, n = fail[u], pops[u]
                 while z >= 0 and symbol not in children[z]:
                     n += pops[z]
                     z = fail[z]
                 fail[v], pops[v] = (children[z][symbol], n) if z >= 0 else (-1, n)
-        self.fail, self.pops, self.token = np.array(fail, np.int64), np.array(pops, np.int64), np.array(token)
+                rest[v] = n + rest[fail[v]] if z >= 0 and rest[fail[v]] >= 0 else -1
+        self.fail, self.pops, self.rest = (np.array(x, np.int64) for x in (fail, pops, rest))
+        self.mark = mark
         key = np.array([u * SYMBOLS + s for u, c in enumerate(children) for s in c], np.int64)
         child = np.array([v for c in children for v in c.values()], np.int64)
         self.bits = max(4, int(4 * len(key)).bit_length())
@@ -116,15 +112,15 @@ class Automaton:
         return out
 
     def count(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces of each word ``buf[start:end]``, and whether the vocabulary can spell it (else one piece)."""
+        """Pieces of each word ``buf[start:end]`` behind the mark, and whether the vocabulary can spell it (else one piece)."""
         size = ends - starts
         order = np.argsort(-size, kind="stable")
         node, pieces = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
         dead = np.zeros(len(size), bool)
-        for i in range(int(size.max(initial=-1)) + 1):
-            live = order[: np.searchsorted(-size[order], -i, "right")]  # words with a byte or their end at i
+        for i in range(-len(self.mark), int(size.max(initial=0))):
+            live = order if i < 0 else order[: np.searchsorted(-size[order], -i - 1, "right")]  # words with a byte at i
             live = live[~dead[live]]
-            symbol = np.where(size[live] > i, buf[np.minimum(starts[live] + i, len(buf) - 1)].astype(np.int64), END)
+            symbol = buf[starts[live] + i].astype(np.int64) if i >= 0 else np.full(len(live), self.mark[i], np.int64)
             while len(live):
                 to = self.child(node[live], symbol)
                 on = to >= 0
@@ -135,8 +131,9 @@ class Automaton:
                 lost = node[live] < 0
                 dead[live[lost]] = True
                 live, symbol = live[~lost], symbol[~lost]
-        fine = ~dead & self.token[np.maximum(node, 0)]
-        return np.where(fine, pieces + 1, 1), fine
+        rest = self.rest[np.maximum(node, 0)]
+        fine = ~dead & (rest >= 0)
+        return np.where(fine, pieces + rest, 1), fine
 
 
 def count_tokens(docs: DataFrame, tokenizer_json: str) -> DataFrame:
