@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from railflow.llm import decontaminate, langid, lines, ngrams, packing, quality, vocabulary, wordpiece
+from railflow.llm import decontaminate, langid, licenses, lines, ngrams, packing, pii, quality, vocabulary, wordpiece
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,11 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("licenses").cast("bigint").alias("n_licenses"), "licenses")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,6 +39,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary.byte_bpe())
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
 
@@ -42,5 +52,9 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op4_decontaminate, op5_quality_rules, op6_token_counts, op8_language, op9_pack)
-}
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_ngram_join, op3_licenses, op4_decontaminate, op5_quality_rules, op6_token_counts, op7_personal_data,
+        op8_language, op9_pack,
+    )
+}
