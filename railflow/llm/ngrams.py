@@ -239,7 +239,7 @@ def classes(
     met = leaves(sets, runs(similarity, recall, depth), leaf, depth)
     dealt = linking.blocks(met.join(sets.select("h", "sketch"), "h"), "bucket", "h", BLOCK)
     likely = linking.components(linking.edges_within(dealt, "h", _alike(similarity)), "likely")
-    grams = _grams(docs, likely.withColumnRenamed("id", "h"), n)
+    grams = stage(_grams(docs, likely.withColumnRenamed("id", "h"), n), "grams")
     members = likely.withColumnRenamed("id", "h").join(grams, "h").join(sets.select("h", "copies"), "h")
     found = stage(
         linking.links_within(linking.blocks(members, "root", "h", BLOCK), "h", _Exact(similarity), "copies"), "links"
