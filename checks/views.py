@@ -178,16 +178,10 @@ def observed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored(view: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The view written once, for jobs that read it several times.
-
-    Only a table of fewer splits than cores, as in the small test data, is spread out first.
-    """
+    """The view written once, for jobs that read it several times, spread over the shuffle's partitions."""
 
     def read(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = view(spark, sf_dir)
-        cores = spark.sparkContext.defaultParallelism
-        if table(spark, sf_dir, "events").rdd.getNumPartitions() < cores:
-            rows = rows.repartition(cores)
-        return stage(rows, view.__name__)
+        return stage(rows.repartition(*rows.columns), view.__name__)
 
     return read

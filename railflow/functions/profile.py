@@ -17,21 +17,18 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DIGITS = 15  # densities are compared after rounding, so the summation order does not matter
 DAY_SECONDS = 86_400
-DIRECT_LIMIT = 2_000  # distinct times up to which the direct sum beats the transform
+BLOCK = 512  # times evaluated at once: at most 512 x 86,400 kernel values are held
 
 
 def _density(t: np.ndarray, w: np.ndarray, bandwidth: float) -> np.ndarray:
     """Weighted Gaussian kernel density at each distinct time."""
     scale = np.sqrt(2 * np.pi) * w.sum() * bandwidth
-    if len(t) <= DIRECT_LIMIT:
-        gap = (t[:, None] - t[None, :]) / bandwidth
-        return np.exp(-0.5 * gap * gap) @ w / scale
-    day = np.zeros(DAY_SECONDS)
-    day[t] = w
-    lag = np.arange(2 * DAY_SECONDS, dtype=np.float64)
-    lag = np.minimum(lag, 2 * DAY_SECONDS - lag) / bandwidth
-    spectrum = np.fft.rfft(day, 2 * DAY_SECONDS) * np.fft.rfft(np.exp(-0.5 * lag * lag))
-    return np.fft.irfft(spectrum, 2 * DAY_SECONDS)[t] / scale
+    lag = np.arange(DAY_SECONDS) / bandwidth
+    kernel = np.exp(-0.5 * lag * lag)
+    out = np.empty(len(t))
+    for at in range(0, len(t), BLOCK):
+        out[at : at + BLOCK] = kernel[np.abs(t[at : at + BLOCK, None] - t[None, :])] @ w
+    return out / scale
 
 
 def _denser_before(t: np.ndarray, d: np.ndarray) -> np.ndarray:

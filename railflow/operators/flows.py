@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railflow.functions.time import seconds_between, two_hour_slot
+from railflow.functions.vectors import dense
 
 
 def _cnt() -> Column:
@@ -91,14 +92,8 @@ def station_vectors(mobility: DataFrame, n_stations: int) -> DataFrame:
         + F.col("partner") * 24
         + F.col("hour")
     )
-    entries = mobility.groupBy("station").agg(F.map_from_entries(F.collect_list(F.struct(at, "cnt"))).alias("m"))
-    return entries.select(
-        "station",
-        F.transform(
-            F.sequence(F.lit(0), F.lit(n_stations * 48 - 1)),
-            lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("bigint")),
-        ).alias("vec"),
-    )
+    entries = mobility.groupBy("station").agg(F.collect_list(F.struct(at.alias("station"), F.col("cnt").alias("value"))).alias("e"))
+    return entries.select("station", dense(F.col("e"), n_stations * 48, "bigint").alias("vec"))
 
 
 def od_avg_time(trips: DataFrame) -> DataFrame:

@@ -38,10 +38,8 @@ def time_profiles(
         .groupBy("id", "t")
         .agg(F.count(F.lit(1)).alias("w"), days.alias("_days"))
     )
-    # rows are short but each costs a density pass: keep small shuffles from being merged below the cores
-    parts = int(trips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if parts <= 4 * trips.sparkSession.sparkContext.defaultParallelism:
-        per_time = per_time.repartition(parts, "id")
+    # rows are short but each costs a density pass: this is the shuffle of the next step, in partitions that are not merged
+    per_time = per_time.repartition(int(trips.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     per_id = per_time.groupBy("id").agg(
         F.expr("sum(w) div 2").alias("n"),
         size(merge("_days")).cast("int").alias("n_days"),

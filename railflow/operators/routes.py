@@ -185,9 +185,8 @@ def trip_ap(
     final = F.floor((epoch_seconds(F.col("dt")) + pad) / bucket)
     wanted = trips.withColumn("_b", F.explode(F.sequence(first, F.greatest(first, final))))
     there = ap.select("ap_id", "ts", "station", "stay", F.floor(epoch_seconds(F.col("ts")) / bucket).alias("_b"))
-    inside = (F.timestamp_diff("SECOND", F.col("ot"), F.col("ts")) > -pad) & (
-        F.timestamp_diff("SECOND", F.col("dt"), F.col("ts")) < pad
-    )
+    second = epoch_seconds(F.col("ts"))  # whole seconds, as the records of busy devices are counted
+    inside = (second > epoch_seconds(F.col("ot")) - pad) & (second < epoch_seconds(F.col("dt")) + pad)
     return wanted.join(there, ["ap_id", "_b"]).filter(inside).drop("_b")
 
 
@@ -233,10 +232,7 @@ def sparse_windows(
     if not hot:
         return trips
     running = stage(_records_until(ap, hot), "records_until")
-    # one row per busy device, at most MAX_KEYS
-    ends = F.broadcast(
-        running.groupBy("ap_id").agg(F.min("minute").alias("_lo"), F.max("minute").alias("_hi"))
-    )
+    ends = running.groupBy("ap_id").agg(F.min("minute").alias("_lo"), F.max("minute").alias("_hi"))
     busy = trips.filter(is_hot(hot, "ap_id")).join(ends, "ap_id", "left")
     for name, moment in (
         ("_from", epoch_seconds(F.col("ot")) - pad),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from railflow.staging import stage
 
 GROWTH = 4
 FULL_CELL = 64
-SAFE = 0.99  # covers the curvature lost when an east-west span is measured on a flat grid
+SAFE = 0.999999  # covers the rounding of a cell's edge
+CELL = ("gx", "gy", "gz")
 
 
 def gps_extent(stations: DataFrame) -> DataFrame:
@@ -35,25 +37,23 @@ def minmax_gps(stations: DataFrame) -> DataFrame:
     return stations.select("station", "name", scaled("lon").alias("lon_norm"), scaled("lat").alias("lat_norm"))
 
 
-def _cells(cell: float, shrink: float) -> list[Column]:
-    """Grid cell of a point; ``shrink`` is the smallest cosine of a latitude in the data."""
-    metres = EARTH_RADIUS_KM * 1000.0
-    return [
-        F.floor(F.radians("lat") * metres / cell).alias("gy"),
-        F.floor(F.radians("lon") * metres * shrink / cell).alias("gx"),
-    ]
+def _cells(cell: float) -> list[Column]:
+    """Cell of a point in a cubic grid around the globe, so no meridian or pole is an edge."""
+    radius = EARTH_RADIUS_KM * 1000.0
+    lat, lon = F.radians("lat"), F.radians("lon")
+    axes = (F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat))
+    return [F.floor(x * radius / cell).alias(name) for x, name in zip(axes, CELL, strict=True)]
 
 
 def nearest_station(stations: DataFrame, cell_m: float | None = None) -> DataFrame:
     """Nearest other station of each station, without comparing all pairs.
 
-    Points meet only the points of their own and the eight surrounding grid cells. A match
-    closer than one cell width is final, since anything outside those cells is farther. The
-    others try again on a grid ``GROWTH`` times as wide. They have no neighbour within the last
+    Points meet only the points of their own and the surrounding grid cells. A match closer than
+    one cell width is final, since anything outside those cells is farther (a chord is shorter
+    than its arc). The others try again on a grid ``GROWTH`` times as wide. They have no neighbour within the last
     width, so only a bounded number of them fits into one wider cell. The first grid is fine
     enough for ``FULL_CELL`` points a cell, however clustered they are. Work stays linear.
     Stations sharing one position are settled first, by name. Ties go to the smaller name.
-    The grid is flat: networks spanning the date line or a pole are not supported.
     """
     points = stations.select("name", "lat", "lon").distinct()
     spots = stage(
@@ -70,45 +70,40 @@ def nearest_station(stations: DataFrame, cell_m: float | None = None) -> DataFra
         F.lit(0.0).alias("dist"),
     )
 
-    box = spots.agg(
-        F.count(F.lit(1)).alias("n"), F.min("lat").alias("south"), F.max("lat").alias("north"),
-        F.min("lon").alias("west"), F.max("lon").alias("east"),
-    ).first()
-    if box["n"] < 2:
+    n = spots.count()
+    if n < 2:
         return at_zero
-    shrink = max(1e-6, math.cos(math.radians(max(abs(box["south"]), abs(box["north"])))))
-    metres = EARTH_RADIUS_KM * 1000.0
-    height = math.radians(box["north"] - box["south"]) * metres
-    width = math.radians(box["east"] - box["west"]) * metres * shrink
-    span = max(height, width, 1.0)
+    extent = spots.select(*_cells(1.0)).agg(*[(F.max(c) - F.min(c)).alias(c) for c in CELL]).first()
+    span = max(*extent, 1) + 2.0
 
     def fullest(width: float) -> int:
-        counts = spots.select(*_cells(width, shrink)).groupBy("gy", "gx").count()
+        counts = spots.select(*_cells(width)).groupBy(*CELL).count()
         return counts.agg(F.max("count")).first()[0]
 
-    cell = cell_m or max(1.0, span / math.sqrt(box["n"]))
+    cell = cell_m or max(1.0, span / math.sqrt(n))
     while cell_m is None and cell > 0.01 and fullest(cell) > FULL_CELL:
         cell /= 2 * GROWTH
 
-    around = F.explode(F.expr("flatten(transform(sequence(-1, 1), y -> transform(sequence(-1, 1), x -> struct(y as dy, x as dx))))"))
+    steps = F.array(*[F.struct(*[F.lit(d).alias(c) for d, c in zip(o, CELL, strict=True)]) for o in product((-1, 0, 1), repeat=3)])
     open_spots = spots.filter("names = 1").select(F.col("first").alias("name"), "lat", "lon")
     found = at_zero
     while True:
         last = cell > span
-        home = open_spots.select("*", *_cells(cell, shrink))
-        wanted = home.withColumn("o", around).select(
-            "name", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"),
-            (F.col("gy") + F.col("o.dy")).alias("gy"), (F.col("gx") + F.col("o.dx")).alias("gx"),
-        )
-        there = spots.select(F.col("first").alias("other"), "lat", "lon", *_cells(cell, shrink))
+        wanted = stage(open_spots.select("*", *_cells(cell)).withColumn("o", F.explode(steps)).select(
+            "name", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), *[(F.col(c) + F.col(f"o.{c}")).alias(c) for c in CELL]
+        ), "wanted")
+        there = spots.select(F.col("first").alias("other"), "lat", "lon", *_cells(cell))
         dist = haversine_m(F.col("a_lon"), F.col("a_lat"), F.col("lon"), F.col("lat"))
-        best = (
-            wanted.join(there, ["gy", "gx"], "left")
-            .withColumn("dist", F.when(F.col("other") != F.col("name"), dist))
+        # an inner join, so Spark may build on the open points, which get few; their partial minima are shuffled
+        met = stage(
+            there.join(wanted, list(CELL))
+            .filter(F.col("other") != F.col("name"))
             .groupBy("name", F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon"))
-            .agg(F.min(F.when(F.col("dist").isNotNull(), F.struct("dist", F.col("other").alias("nearest")))).alias("m"))
+            .agg(F.min(F.struct(dist.alias("dist"), F.col("other").alias("nearest"))).alias("m")),
+            "nearest",
         )
-        tried = stage(best, "nearest")
+        alone = open_spots.join(met.select("name", "lat", "lon"), ["name", "lat", "lon"], "left_anti").withColumn("m", F.lit(None).cast(met.schema["m"].dataType))
+        tried = met.unionByName(alone)
         done = tried.filter(F.col("m").isNotNull() & (F.lit(last) | (F.col("m.dist") <= SAFE * cell)))
         found = found.unionByName(done.select("name", "m.nearest", "m.dist"))
         open_spots = tried.filter(F.col("m").isNull() | (F.col("m.dist") > SAFE * cell)).select("name", "lat", "lon")

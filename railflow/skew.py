@@ -17,7 +17,6 @@ from railflow.functions.time import epoch_seconds
 from railflow.staging import stage
 
 MIN_ROWS = 5_000_000  # keys below this fit a task comfortably; conf railflow.skew.minRows
-MAX_KEYS = 1_000  # a key outside the largest thousand holds under 0.1 % of the rows
 SLICE_SECONDS = 600  # width of a hot key's time slices; conf railflow.skew.sliceSeconds
 
 
@@ -26,15 +25,13 @@ def _conf(spark: SparkSession, name: str, default: int) -> int:
 
 
 def hot_keys(df: DataFrame, *keys: str, fraction: float = 1.0) -> list[int]:
-    """Hashes of the keys with more than ``minRows * fraction`` rows, at most ``MAX_KEYS`` of them."""
+    """Hashes of the keys with more than ``minRows * fraction`` rows: there are at most rows / that many."""
     found = (
         df.groupBy(F.xxhash64(*keys).alias("_k"))
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > _conf(df.sparkSession, "minRows", MIN_ROWS) * fraction)
-        .orderBy(F.desc("_n"), "_k")
-        .limit(MAX_KEYS)
     )
-    return [r["_k"] for r in found.select("_k").collect()]
+    return sorted(r["_k"] for r in found.select("_k").collect())
 
 
 def is_hot(hot: Sequence[int], *keys: str) -> Column:
@@ -69,6 +66,13 @@ def _slices(df: DataFrame, key: str, ts: str, hot: Sequence[int]) -> DataFrame:
     return df.withColumn("_slice", F.when(is_hot(hot, key), piece).otherwise(F.lit(0).cast("bigint")))
 
 
+def _join_slices(sliced: DataFrame, carried: DataFrame, key: str) -> DataFrame:
+    """Add ``_carry`` of each row's key and slice; a null key and the slice of null times match themselves."""
+    there = carried.select(F.col(key).alias("_k"), F.col("_slice").alias("_s"), "_carry")
+    same = F.col(key).eqNullSafe(F.col("_k")) & F.col("_slice").eqNullSafe(F.col("_s"))
+    return sliced.join(there, same, "left").drop("_k", "_s")
+
+
 def neighbour(
     df: DataFrame,
     key: str,
@@ -93,11 +97,7 @@ def neighbour(
         key, "_slice", step("_edge").over(Window.partitionBy(key).orderBy("_slice")).alias("_carry")
     )
     within = step(payload).over(Window.partitionBy(key, "_slice").orderBy(*order))
-    return (
-        sliced.join(carried, [key, "_slice"], "left")
-        .withColumn(name, F.coalesce(within, F.col("_carry")))
-        .drop("_slice", "_carry")
-    )
+    return _join_slices(sliced, carried, key).withColumn(name, F.coalesce(within, F.col("_carry"))).drop("_slice", "_carry")
 
 
 def running_sum(
@@ -113,7 +113,7 @@ def running_sum(
     carried = sums.select(key, "_slice", F.sum("_t").over(before).alias("_carry"))
     w = Window.partitionBy(key, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        sliced.join(carried, [key, "_slice"], "left")
+        _join_slices(sliced, carried, key)
         .withColumn(name, F.sum("_v").over(w) + F.coalesce("_carry", F.lit(0)))
         .drop("_slice", "_carry", "_v")
     )

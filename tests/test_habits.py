@@ -5,7 +5,6 @@ from conftest import at
 from pyspark.sql import functions as F
 
 from railflow.functions import profile
-from railflow.functions.vectors import kernel
 from railflow.operators import habits
 from railflow.plans import samples as plans
 
@@ -33,19 +32,15 @@ def test_profile_matches_brute_force():
         assert profile._denser_gap(t, d).tolist() == _brute(t, w, d)
 
 
-def test_transform_and_direct_densities_agree(monkeypatch):
+def test_density_is_one_algorithm_at_every_size():
     rng = np.random.default_rng(2)
-    t = np.sort(rng.choice(86_400, 1500, replace=False)).astype(np.int64)
-    w = rng.integers(1, 9, 1500)
-    direct = profile._density(t, w, 1800)
-    monkeypatch.setattr(profile, "DIRECT_LIMIT", 0)
+    t = np.sort(rng.choice(86_400, 2500, replace=False)).astype(np.int64)
+    w = rng.integers(1, 9, 2500)
+    gap = (t[:, None] - t[None, :]) / 1800
+    direct = np.exp(-0.5 * gap * gap) @ w / (np.sqrt(2 * np.pi) * w.sum() * 1800)
     assert np.allclose(profile._density(t, w, 1800), direct, atol=1e-17, rtol=0)
 
 
-def test_kernel_expression(spark):
-    assert abs(spark.range(1).select(kernel(F.lit(900.0), 1800).alias("k")).first()["k"] - 0.35206532676) < 1e-9
-
-
 def _days(n, second, os, ds, first=0, id=1, ride=600):
     return [(first + d, id, os, ds, at(d, second), at(d, second + ride)) for d in range(1, n + 1)]
 

@@ -19,12 +19,15 @@ def _points(kind):
     elif kind == "clustered":  # most in one spot, the rest far away
         pts = [(22.5 + rng.random() * 1e-3, 114 + rng.random() * 1e-3) for _ in range(200)]
         pts += [(rng.uniform(-60, 70), rng.uniform(-20, 60)) for _ in range(40)]
+    elif kind == "edges":  # across the date line and round a pole
+        pts = [(rng.uniform(-20, -15), rng.choice([-1, 1]) * rng.uniform(179.5, 180)) for _ in range(60)]
+        pts += [(rng.uniform(89.5, 90), rng.uniform(-180, 180)) for _ in range(40)] + [(-17.0, 180.0), (-17.0001, -180.0)]
     else:  # shared positions
         pts = [(22.0 + (i // 3) * 0.01, 114.0) for i in range(30)]
     return [(f"s{i:03d}", lat, lon) for i, (lat, lon) in enumerate(pts)]
 
 
-@pytest.mark.parametrize("kind", ["spread", "clustered", "shared"])
+@pytest.mark.parametrize("kind", ["spread", "clustered", "edges", "shared"])
 def test_nearest_station_equals_brute_force(spark, kind):
     pts = _points(kind)
     df = spark.createDataFrame(pts, "name string, lat double, lon double")
