@@ -213,7 +213,6 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        "spans",
     )
 
 

@@ -114,7 +114,7 @@ class Model:
         self.langs = langs
         smooth = counts + 0.5
         log = np.log(smooth / smooth.sum(axis=0))
-        self.table = (log - log.mean(axis=1, keepdims=True)).astype(np.float32)
+        self.table = (log - log.sum(axis=1, keepdims=True) / max(1, len(langs))).astype(np.float32)
         share = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
         self.uses = share >= 0.01  # language, script
         self.uses[:, ~self.uses.any(axis=0)] = True

@@ -1,5 +1,52 @@
-"""DuckDB SQL of the registered queries that SQL can express."""
+"""DuckDB SQL of the registered queries that SQL can express at the size of the correctness check."""
 
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES["op4_decontaminate"] = f"""
+with item as (select coalesce(cast(item_id as varchar),'') item, {_WORDS} w from benchmark),
+gram as (select distinct item, least(10,len(w)) k, array_to_string(w[i:i+least(10,len(w))-1],' ') g
+  from item, unnest(range(1, len(w)-least(10,len(w))+2)) u(i) where len(w)>0),
+doc as (select row_number() over () r, doc_id, {_WORDS} w from documents),
+seen as (select d.r, i, s.k, array_to_string(w[i:i+s.k-1],' ') g from doc d, (select distinct k from gram) s, unnest(range(1, len(w)-s.k+2)) u(i)),
+hit as (select s.r, s.i, s.k, g.item from seen s join gram g on g.k=s.k and g.g=s.g),
+n as (select r, count(distinct p) n_hit from hit, unnest(range(i, i+k)) u(p) group by r),
+named as (select r, list_sort(list(distinct item)) items from hit group by r)
+select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n.n_hit,0) n_hit, cast(coalesce(len(items),0) as bigint) n_items,
+sha256(coalesce(array_to_string(items,','),'')) items_sha256, coalesce(n.n_hit,0)>0 contaminated
+from doc d left join n on n.r=d.r left join named on named.r=d.r"""
+
+ORACLES["op2_ngram_join"] = f"""
+with recursive doc as materialized (select row_number() over () r, doc_id, {_WORDS} w from documents),
+gram as materialized (select distinct r, array_to_string(w[i:i+least(5,len(w))-1],' ') g
+  from doc, unnest(range(1, len(w)-least(5,len(w))+2)) u(i) where len(w)>0),
+size as materialized (select r, count(*) n from gram group by r),
+pair as materialized (select a.r a, b.r b, count(*) c from gram a join gram b on a.g=b.g and a.r<>b.r group by a.r, b.r),
+link as materialized (select a, b from pair join size x on x.r=a join size y on y.r=b where 5*c>=4*(x.n+y.n-c)),
+reach as (select r, r as m from doc union select reach.r, link.b from reach join link on link.a=reach.m)
+select d.doc_id, (select min(e.doc_id) from reach join doc e on e.r=reach.m where reach.r=d.r) class_id,
+(select count(*) from link where a=d.r) n_links from doc d"""
+
+ORACLES["op10_chat"] = """
+with m as (select conv_id, turn + case when role='user' and conv_id%7=3 then 2 else 0 end as turn,
+  case role when 'user' then 'call' when 'assistant' then 'result' else 'message' end kind, role, text, length(text) n,
+  case when role in ('user','assistant') then 'call_'||conv_id||'_'||(turn - case when role='assistant' then 1 else 0 end) end call_id from conversations),
+id as (select conv_id, call_id, min(turn) filter (kind='call') call_turn, count(*) filter (kind='call') calls, count(*) filter (kind='result') results
+  from m where call_id is not null group by conv_id, call_id),
+x as (select m.*, i.call_turn, coalesce(i.calls,0) calls, coalesce(i.results,0) results,
+  coalesce(kind='result' and i.call_turn>=m.turn, false) late from m left join id i on i.conv_id=m.conv_id and i.call_id=m.call_id)
+select conv_id, row_number() over (partition by conv_id order by case when late then call_turn else turn end, late, turn, kind, call_id)-1 as position,
+turn, kind, call_id,
+case when kind='message' then 'plain' when kind='result' and calls=0 then 'orphan' when kind='call' and results=0 then 'unanswered'
+  when calls>1 or results>1 then 'repeated' else 'linked' end status,
+case when kind<>'call' then '' when n%4=0 then concat_ws(',', case when n%20 not between 1 and 15 then 'range:limit' end, case when n=0 then 'range:query' end)
+  when n%4=1 then case when n>400 then 'range:key' else '' end when n%4=2 then case when n%8=2 then '' else 'missing:style' end else 'unknown_tool' end errors,
+case kind when 'message' then '{"content":'||to_json(text)||',"role":'||to_json(role)||'}'
+  when 'result' then '{"call_id":"'||call_id||'","content":'||to_json(text)||',"role":"tool"}'
+  else '{"arguments":{'||case n%4 when 0 then '"limit":'||(n%20)||',"query":' when 1 then '"exact":true,"key":'
+    when 2 then case when n%8=2 then '"style":"short",' else '' end||'"text":' else '"text":' end||to_json(text)||'},"call_id":"'||call_id||'","name":"'||
+    case n%4 when 0 then 'search' when 1 then 'lookup' when 2 then 'summarize' else 'translate' end||'","role":"assistant"}' end message
+from x"""

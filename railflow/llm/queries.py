@@ -88,7 +88,8 @@ def tool_messages(conversations: DataFrame) -> DataFrame:
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link(tool_messages(table(spark, sf_dir, "conversations")), TOOLS)
+    linked = chat.link(tool_messages(table(spark, sf_dir, "conversations")), TOOLS)
+    return linked.withColumn("errors", F.array_join("errors", ","))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
