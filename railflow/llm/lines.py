@@ -3,7 +3,7 @@
 Lines of at least ``min_chars`` code points are linked when at most ``edits`` insertions, deletions or
 substitutions apart. Equal lines are one line by a 128-bit hash. Each line is cut into ``edits + 1``
 segments; if two lines are that close, a segment of the shorter one occurs in the longer one, at one
-of a few places that its length and the number of edits allow. One scan emits the hashes of those
+of a few places that its length and the number of edits allow. One scan notes the hashes of those
 places (and of a line's own segments), one shuffle by hash keeps those that different lines share.
 Only such lines send their text, past a bounded filter, and are verified in block pairs by banded
 bit-parallel edit distance. Spanning edges of verified pairs give components (classes); inside a
@@ -33,12 +33,14 @@ EDITS = 2
 MIN_CHARS = 40
 BLOCK = 512
 _LF = 10
+_CODES = ts.mix(np.arange(1 << 16, dtype=np.uint64) + ts.U(0x51)) | ts.U(1)
+_OTHER = ts.mix(_CODES) | ts.U(1)
 
 
 class _Lines:
     """The long lines of a slice as code points: spans, hashes, line numbers, texts they belong to."""
 
-    def __init__(self, s: ts.Slice, min_chars: int):
+    def __init__(self, s: ts.Slice, min_chars: int, second: bool = False):
         self.cp = np.frombuffer(s.buf.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
         at = ts.code_points(s.buf)[s.at]
         edge = np.zeros(len(self.cp) + 1, bool)
@@ -53,14 +55,21 @@ class _Lines:
         number = np.arange(len(start)) - first[text]
         long = end - start >= min_chars
         self.start, self.end, self.text, self.number = start[long], end[long], text[long], number[long]
-        code = ts.mix(self.cp.astype(np.uint64) + ts.U(0x51)) | ts.U(1)
-        p, _ = ts.powers(len(self.cp))
-        self.prefix = np.zeros(len(self.cp) + 1, ts.U)
-        np.cumsum(code * p[: len(self.cp)], out=self.prefix[1:])
-        other = np.zeros(len(self.cp) + 1, ts.U)
-        np.cumsum(ts.mix(code) * p[: len(self.cp)], out=other[1:])
+        self.prefix = self._prefix(_CODES)
         self.h1 = ts.span_hash(self.prefix, self.start, self.end).view(np.int64)
-        self.h2 = ts.span_hash(other, self.start, self.end).view(np.int64)
+        if second:
+            self.h2 = ts.span_hash(self._prefix(_OTHER), self.start, self.end).view(np.int64)
+
+    def _prefix(self, codes: np.ndarray) -> np.ndarray:
+        p, _ = ts.powers(len(self.cp))
+        out = np.zeros(len(self.cp) + 1, ts.U)
+        code = codes[np.minimum(self.cp, 0xFFFF)]
+        high = np.flatnonzero(self.cp >= 0xFFFF)
+        if len(high):
+            code[high] = ts.mix(self.cp[high].astype(np.uint64) * codes[1])
+        code *= p[: len(self.cp)]
+        np.cumsum(code, out=out[1:])
+        return out
 
     def own(self) -> np.ndarray:
         """One line of each hash (equal lines of a slice give their keys once)."""
@@ -78,10 +87,11 @@ def places(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _keys(lines: _Lines, edits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(key, line hash) of each line's segments and of the places to probe in it."""
+def _keys(lines: _Lines, edits: int) -> pa.ListArray:
+    """Hashes of each line's segments and of the places to probe in it; once for equal lines of the slice."""
     one = lines.own()
-    start, size, h = lines.start[one], lines.end[one] - lines.start[one], lines.h1[one]
+    start, size = lines.start[one], lines.end[one] - lines.start[one]
+    owner, keys = [], []
     for delta, i, shift in places(edits):
         short = size - delta
         base, longer = short // (edits + 1), short % (edits + 1)
@@ -90,40 +100,39 @@ def _keys(lines: _Lines, edits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         width = base + (i >= edits + 1 - longer)
         ok = (begin >= 0) & (begin + width <= size) & (base > 0)
         at = start[ok] + begin[ok]
-        key = ts.mix(ts.span_hash(lines.prefix, at, at + width[ok]) + short[ok].astype(ts.U) * ts.U(0x9E3779B1) + ts.U(i))
-        yield key.view(np.int64), h[ok]
+        keys.append(ts.mix(ts.span_hash(lines.prefix, at, at + width[ok]) + short[ok].astype(ts.U) * ts.U(0x9E3779B1) + ts.U(i)))
+        owner.append(one[ok])
+    line = np.concatenate(owner)
+    order = np.argsort(line, kind="stable")
+    offsets = np.searchsorted(line[order], np.arange(len(lines.start) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)[order].view(np.int64)))
 
 
-def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """One row per long line: ``occ`` (its place in the order of rows), ``row`` (first column of ``docs``), ``line``, hashes."""
+def _occurrences(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """One row per long line: ``occ`` (its place in the order of rows), ``row`` (first column of ``docs``), ``line``,
+    hashes, and the ``keys`` of its segments and places (none where the slice has an equal line)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = TaskContext.get().partitionId() << 40
         for batch in batches:
             for s in ts.slices(batch.column(1)):
-                x = _Lines(s, min_chars)
+                x = _Lines(s, min_chars, second=True)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(done + np.arange(len(x.start))), batch.column(0).take(pa.array(s.first + x.text)),
-                        pa.array(x.number.astype(np.int32)), pa.array(x.h1), pa.array(x.h2),
+                        pa.array(x.number.astype(np.int32)), pa.array(x.h1), pa.array(x.h2), _keys(x, edits),
                     ],
-                    ["occ", "row", "line", "h1", "h2"],
+                    ["occ", "row", "line", "h1", "h2", "keys"],
                 )
                 done += len(x.start)
 
     kind = docs.schema[0].dataType
-    return docs.mapInArrow(scan, StructType.fromDDL(f"occ bigint, row {kind.simpleString()}, line int, h1 bigint, h2 bigint"))
+    return docs.mapInArrow(scan, StructType.fromDDL(f"occ bigint, row {kind.simpleString()}, line int, h1 bigint, h2 bigint, keys array<bigint>"))
 
 
-def _shared_keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+def _shared_keys(lines: DataFrame) -> DataFrame:
     """(``key``, ``h``) where at least two different lines have the key."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in ts.slices(batch.column(1)):
-                for key, h in _keys(_Lines(s, min_chars), edits):
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h)], ["key", "h"])
-
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows sorted by key and line, one of each line whose key has another line; holds one row only."""
         last: tuple[int, int] | None = None
@@ -146,7 +155,7 @@ def _shared_keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
             last = (int(key[-1]), int(h[-1]))
             yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(h[out])], ["key", "h"])
 
-    rows = docs.mapInArrow(emit, "key bigint, h bigint")
+    rows = lines.select(F.explode("keys").alias("key"), F.col("h1").alias("h"))
     return rows.repartition("key").sortWithinPartitions("key", "h").mapInArrow(keep, "key bigint, h bigint")
 
 
@@ -239,9 +248,9 @@ def _close(edits: int) -> linking.Linked:
 def classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per long line of ``docs`` (its first column names the row, its second is the text): ``row``, ``line``,
     ``occ``, ``class_id`` (the smallest ``occ`` of its class), ``n_links`` (other lines within ``edits``)."""
-    lines = stage(_occurrences(docs, min_chars), "lines")
+    lines = stage(_occurrences(docs, edits, min_chars), "lines")
     exact = stage(lines.groupBy("h1", "h2").agg(F.min("occ").alias("first"), F.count(F.lit(1)).alias("copies")), "exact-lines")
-    near = stage(_shared_keys(docs, edits, min_chars), "shared-segments")
+    near = stage(_shared_keys(lines), "shared-segments")
     texts = stage(_texts(docs, near, min_chars), "line-texts")
     dealt = linking.blocks(near.join(texts, "h"), "key", "h", BLOCK)
     roots = linking.components(linking.edges_within(dealt, "h", _close(edits)), "near-lines")
