@@ -11,6 +11,7 @@ import duckdb
 import pandas as pd
 from pyspark.sql import SparkSession
 
+import checks.text_queries  # noqa: F401  registers its queries
 from checks.oracle import ORACLES
 from checks.queries import QUERIES
 
@@ -37,7 +38,8 @@ def _plain(v):
 
 def rows_of(cols: list[str], rows: list[tuple]) -> list[tuple]:
     order = sorted(range(len(cols)), key=lambda i: cols[i])
-    return sorted(tuple(_plain(r[i]) for i in order) for r in rows) if rows else []
+    plain = (tuple(_plain(r[i]) for i in order) for r in rows)
+    return sorted(plain, key=lambda row: [(x is not None, x or "") for x in row])
 
 
 def compare(spark: SparkSession, con: duckdb.DuckDBPyConnection, sf_dir: str, name: str) -> str:

@@ -108,6 +108,8 @@ group by s.id, s.event_id, g.ds"""
 CTES["od_share"] = "select os, ds, count(*) cnt, round(count(*)/sum(count(*)) over (partition by os), 5) ratio from trips group by os, ds"
 CTES["od_hour_share"] = """select cast(hour(ot) as int) as hour, os, ds, count(*) cnt,
 round(count(*)/sum(count(*)) over (partition by hour(ot), os), 5) ratio from trips group by hour(ot), os, ds"""
+CTES["od_date_share"] = """select cast(cast(ot as date)-date '1970-01-01' as int) as day, cast(hour(ot)//2 as int) slot, os, ds, count(*) cnt,
+count(*)/sum(count(*)) over (partition by cast(ot as date), hour(ot)//2, os) ratio from trips group by cast(ot as date), hour(ot)//2, os, ds"""
 CTES["od_slot_share"] = """select cast(day(ot) as int) as day, cast(hour(ot)//2 as int) slot, os, ds, count(*) cnt,
 count(*)/sum(count(*)) over (partition by day(ot), hour(ot)//2, os) ratio from trips group by day(ot), hour(ot)//2, os, ds"""
 CTES["day_trips"] = "select * from trips where day(ot)=day(dt)"
@@ -182,6 +184,7 @@ oracle("od_count", "select os, ds, count(*) cnt from trips group by os, ds")
 oracle("od_hour_count", "select cast(hour(ot) as int) as hour, os, ds, count(*) cnt from trips group by hour(ot), os, ds")
 oracle("od_share", "select * from od_share")
 oracle("od_hour_share", "select * from od_hour_share")
+oracle("od_date_share", "select day, slot, os, ds, cnt, round(ratio, 9) ratio from od_date_share")
 oracle("od_slot_share", "select day, slot, os, ds, cnt, round(ratio, 9) ratio from od_slot_share")
 oracle("depart_vec", f"select os, ds, {_hours('ot')} vec from trips group by os, ds")
 oracle("arrive_vec", f"select os, ds, {_hours('dt')} vec from trips group by os, ds")
@@ -196,6 +199,7 @@ oracle("top_origin", "select os, count(*) trips, count(distinct ds) destinations
 for _name, _col, _inner in (
     ("trips_dist", "n_trips", "select id, count(*) n_trips from trips group by id"),
     ("active_days_dist", "n_days", "select id, count(distinct day(ot)) n_days from trips group by id"),
+    ("active_dates_dist", "n_days", "select id, count(distinct cast(ot as date)) n_days from trips group by id"),
 ):
     oracle(_name, f"select {_col}, count(*) cnt, round(count(*)/sum(count(*)) over (),9) share from ({_inner}) group by {_col}")
 _RANKS = """select id, station, count(*) visits, cast(sum(a) as bigint) arrivals, cast(row_number() over (partition by id order by count(*) desc, station) as int) rank
@@ -257,6 +261,9 @@ for _k, _v in (("period", "period"), ("origin", "origin"), ("visits", "visits"),
 oracle("feat_td", "select * from f_td_wd_last_x union all select * from f_td_we_last_x")
 oracle("feat_tsd", "select * from f_tsd_wd_last_x union all select * from f_tsd_we_last_x")
 oracle("feat_crowd", "select * from f_crowd_last_x")
+oracle("feat_crowd_date", """select s.id, s.event_id, 'crowd' feature, g.ds station, round(sum(g.ratio),5) as value
+from last_x s join od_date_share g on g.os=s.os and g.slot=cast(hour(s.ot)//2 as int) and date '1970-01-01'+g.day between cast(s.ot as date)-7 and cast(s.ot as date)-1
+group by s.id, s.event_id, g.ds""")
 oracle("samples_base", f"select {HEAD}, {FLAGS}, f.feature, f.station, f.value from last s join base_last f on f.event_id=s.event_id")
 
 

@@ -49,6 +49,7 @@ over("od_hour_count", v.trips, flows.od_hour_count)
 over("od_share", v.trips, flows.od_share)
 over("od_hour_share", v.trips, flows.od_hour_share)
 over("od_slot_share", v.trips, lambda t: flows.od_slot_share(t).withColumn("ratio", F.round("ratio", 9)))
+over("od_date_share", v.trips, lambda t: flows.od_slot_share(t, "date").withColumn("ratio", F.round("ratio", 9)))
 over("depart_vec", v.trips, lambda t: _vec_text(flows.depart_vec(t), "vec"))
 over("arrive_vec", v.trips, lambda t: _vec_text(flows.arrive_vec(t), "vec"))
 over("station_mobility", v.trips, flows.station_mobility)
@@ -59,6 +60,7 @@ over("origin_stats", v.trips, flows.origin_stats)
 over("top_origin", v.trips, flows.top_origin)
 over("trips_dist", v.trips, lambda t: behaviour.trips_dist(t).withColumn("share", F.round("share", 9)))
 over("active_days_dist", v.trips, lambda t: behaviour.active_days_dist(t).withColumn("share", F.round("share", 9)))
+over("active_dates_dist", v.trips, lambda t: behaviour.active_days_dist(t, "date").withColumn("share", F.round("share", 9)))
 over("station_ranks", v.trips, behaviour.station_ranks)
 over("rank_dist", v.trips, lambda t: behaviour.rank_dist(t).withColumn("share", F.round("share", 9)))
 
@@ -222,6 +224,13 @@ def feat_crowd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.crowd_feature(_day_samples(spark, sf_dir).rows, crowd)
 
 
+@query
+def feat_crowd_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months apart: the days before the first of a month are the last of the month before."""
+    crowd = features.crowd_table(flows.od_slot_share(stored_trips(spark, sf_dir), "date"))
+    return features.crowd_feature(_day_samples(spark, sf_dir).rows, crowd, "date")
+
+
 @query
 def samples_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.samples_base(plans.last_irregular_samples(stored_trips(spark, sf_dir)))

@@ -90,16 +90,16 @@ def peak_flags(ts: Column) -> tuple[Column, Column, Column]:
     return morning.cast("int"), evening.cast("int"), (~morning & ~evening).cast("int")
 
 
-def trip_day(ot: Column, dt: Column, day_key: str = "month") -> Column:
-    """Day of a trip that starts and ends on one day, else 0.
-
-    ``day_key="month"`` is the day of the month, which merges months; ``"date"`` is the day
-    number since 1970-01-01. Entry and exit days are compared on the same key.
-    """
+def day_of(ts: Column, day_key: str = "month") -> Column:
+    """Day of the month, which merges months, or with ``day_key="date"`` the day number since 1970-01-01."""
     if day_key == "month":
-        first, last = F.dayofmonth(ot), F.dayofmonth(dt)
-    elif day_key == "date":
-        first, last = (F.unix_date(c.cast("date")) for c in (ot, dt))
-    else:
-        raise ValueError(f"unknown day_key: {day_key}")
+        return F.dayofmonth(ts)
+    if day_key == "date":
+        return F.unix_date(ts.cast("date"))
+    raise ValueError(f"unknown day_key: {day_key}")
+
+
+def trip_day(ot: Column, dt: Column, day_key: str = "month") -> Column:
+    """Day of a trip that starts and ends on one day, else 0; entry and exit days are compared on the same key."""
+    first, last = day_of(ot, day_key), day_of(dt, day_key)
     return F.when(first == last, first).otherwise(F.lit(0))

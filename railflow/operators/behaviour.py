@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from railflow.functions.time import day_of
+
 
 def _distribution(per_key: DataFrame, key: str) -> DataFrame:
     """Share of rows per value of ``key``.
 
-    The window sees one row per distinct value: at most 31 days, one rank per station, or, for
+    The window sees one row per distinct value: at most one per day of the data, one rank per station, or, for
     trip counts, under sqrt(2 x trips) values.
     """
     counts = per_key.groupBy(key).agg(F.sum("cnt").alias("cnt"))
@@ -22,9 +24,9 @@ def trips_dist(trips: DataFrame) -> DataFrame:
     return _distribution(per_id.withColumn("cnt", F.lit(1).cast("bigint")), "n_trips")
 
 
-def active_days_dist(trips: DataFrame) -> DataFrame:
+def active_days_dist(trips: DataFrame, day_key: str = "month") -> DataFrame:
     """Number of days with an entry to share of travellers."""
-    per_id = trips.groupBy("id").agg(F.countDistinct(F.dayofmonth("ot")).alias("n_days"))
+    per_id = trips.groupBy("id").agg(F.countDistinct(day_of(F.col("ot"), day_key)).alias("n_days"))
     return _distribution(per_id.withColumn("cnt", F.lit(1).cast("bigint")), "n_days")
 
 

@@ -13,7 +13,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from railflow.functions.time import HOLIDAYS, is_holiday, is_weekday, period_of_day, two_hour_slot
+from railflow.functions.time import HOLIDAYS, day_of, is_holiday, is_weekday, period_of_day, two_hour_slot
 from railflow.functions.vectors import dense
 from railflow.skew import global_index, hot_keys, running_sum, salted_join
 
@@ -116,9 +116,9 @@ def crowd_table(slot_shares: DataFrame, lookback: int = 7) -> DataFrame:
     )
 
 
-def crowd_feature(samples: DataFrame, crowd: DataFrame) -> DataFrame:
+def crowd_feature(samples: DataFrame, crowd: DataFrame, day_key: str = "month") -> DataFrame:
     """Crowd flow from the sample's origin, in its slot, over the days before."""
-    keyed = samples.select(*KEY, "os", F.dayofmonth("ot").alias("day"), two_hour_slot(F.col("ot")).alias("slot"))
+    keyed = samples.select(*KEY, "os", day_of(F.col("ot"), day_key).alias("day"), two_hour_slot(F.col("ot")).alias("slot"))
     return keyed.join(crowd.withColumnRenamed("ds", "station"), ["day", "slot", "os"]).select(
         *KEY, F.lit("crowd").alias("feature"), "station", "value"
     )

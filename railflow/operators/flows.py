@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from railflow.functions.time import seconds_between, two_hour_slot
+from railflow.functions.time import day_of, seconds_between, two_hour_slot
 from railflow.functions.vectors import dense
 
 
@@ -37,10 +37,10 @@ def od_hour_share(trips: DataFrame, digits: int = 5) -> DataFrame:
     return _share(od_hour_count(trips), "hour", "os", digits=digits)
 
 
-def od_slot_share(trips: DataFrame) -> DataFrame:
-    """Destination share per day of month, two-hour slot and origin, not rounded."""
+def od_slot_share(trips: DataFrame, day_key: str = "month") -> DataFrame:
+    """Destination share per day, two-hour slot and origin, not rounded."""
     counts = trips.groupBy(
-        F.dayofmonth("ot").alias("day"), two_hour_slot(F.col("ot")).alias("slot"), "os", "ds"
+        day_of(F.col("ot"), day_key).alias("day"), two_hour_slot(F.col("ot")).alias("slot"), "os", "ds"
     ).agg(_cnt())
     return _share(counts, "day", "slot", "os")
 

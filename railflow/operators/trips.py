@@ -111,9 +111,9 @@ def clock_fields(trips: DataFrame, zone: str = ZONE) -> DataFrame:
     )
 
 
-def within_day(trips: DataFrame) -> DataFrame:
+def within_day(trips: DataFrame, day_key: str = "month") -> DataFrame:
     """Drop trips that enter and leave on different days."""
-    return trips.filter(trip_day(F.col("ot"), F.col("dt")) > 0)
+    return trips.filter(trip_day(F.col("ot"), F.col("dt"), day_key) > 0)
 
 
 def active_travellers(trips: DataFrame, min_days: int = 5, day_key: str = "month") -> DataFrame:

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from railflow.functions.time import HOLIDAYS, is_weekday, peak_flags, quarter_of_day, two_hour_slot
+from railflow.functions.time import HOLIDAYS, day_of, is_weekday, peak_flags, quarter_of_day, two_hour_slot
 from railflow.operators import features as feat
 from railflow.operators import flows, habits, predict
 from railflow.operators.trips import within_day
@@ -91,8 +91,9 @@ def extended_samples(trips: DataFrame, **habit_options) -> tuple[SampleSet, Data
 
     The crowd flow counts all trips; history and habits leave out cross-day trips.
     """
-    s = last_irregular_samples(within_day(trips), **habit_options)
-    return s, stage(feat.crowd_table(flows.od_slot_share(trips)), "crowd")
+    day_key = habit_options.get("day_key", "month")
+    s = last_irregular_samples(within_day(trips, day_key), **habit_options)
+    return s, stage(feat.crowd_table(flows.od_slot_share(trips, day_key)), "crowd")
 
 
 def _extended_header(s: SampleSet) -> DataFrame:
@@ -102,7 +103,7 @@ def _extended_header(s: SampleSet) -> DataFrame:
 def samples_ext(trips: DataFrame, **habit_options) -> DataFrame:
     """Extended samples, one row per non-zero feature value."""
     s, crowd = extended_samples(trips, **habit_options)
-    cells = feat.crowd_feature(s.rows, crowd).unionByName(s.personal(*PERSONAL_EXTENDED))
+    cells = feat.crowd_feature(s.rows, crowd, habit_options.get("day_key", "month")).unionByName(s.personal(*PERSONAL_EXTENDED))
     return _extended_header(s).join(cells, list(feat.KEY))
 
 
@@ -111,7 +112,8 @@ def samples_ext_dense(trips: DataFrame, n_stations: int, **habit_options) -> Dat
     s, crowd = extended_samples(trips, **habit_options)
     key = ["day", "slot", "os"]
     vectors = feat.share_vectors(crowd, key, "crowd", n_stations, "value")
-    day = s.rows.select(*feat.KEY, F.dayofmonth("ot").alias("day"), two_hour_slot(F.col("ot")).alias("slot"))
+    date = day_of(F.col("ot"), habit_options.get("day_key", "month"))
+    day = s.rows.select(*feat.KEY, date.alias("day"), two_hour_slot(F.col("ot")).alias("slot"))
     zeros = F.array_repeat(F.lit(0.0), n_stations)
     header = (
         _extended_header(s)

@@ -20,6 +20,15 @@ def _fields(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataF
     return spark.read.text(path).filter(F.length(F.trim("value")) > 0).select("value", F.split(body, sep, -1).alias("f"))
 
 
+def _numbered(lines: DataFrame) -> DataFrame:
+    """The lines with ``no``, an id of its own for each, also for equal lines: a hash of the line and its occurrence.
+
+    Equal lines are counted before the shuffle and told apart afterwards; the id depends on the lines alone."""
+    counted = lines.groupBy("value").agg(F.first("f").alias("f"), F.count(F.lit(1)).alias("_n"))
+    nth = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))
+    return counted.select("value", "f", nth.alias("_i")).select("f", F.xxhash64("value", "_i").alias("no"))
+
+
 def _at(i: int) -> Column:
     """Field ``i``; a negative one counts from the end."""
     return F.try_element_at("f", F.lit(i + 1 if i >= 0 else i))
@@ -50,10 +59,10 @@ def read_station_tuples(spark: SparkSession, path: str) -> DataFrame:
 def read_trips(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(id,entry,origin,tag,exit,destination,tag)`` with station names.
 
-    ``event_id`` is a hash of the line: it breaks ties between trips of one second.
+    ``event_id`` tells trips of one second apart, equal lines too.
     """
-    return _fields(spark, path).select(
-        F.xxhash64("value").alias("event_id"),
+    return _numbered(_fields(spark, path)).select(
+        F.col("no").alias("event_id"),
         _at(0).alias("id"),
         parse_time(_at(1)).alias("ot"),
         F.trim(_at(2)).alias("os_name"),
@@ -64,9 +73,9 @@ def read_trips(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_taps(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(id,time,station,mode,fare)``."""
-    return _fields(spark, path).select(
+    return _numbered(_fields(spark, path)).select(
         _at(0).alias("id"),
-        F.xxhash64("value").alias("tap_id"),
+        F.col("no").alias("tap_id"),
         parse_time(_at(1)).alias("ts"),
         F.trim(_at(2)).alias("station"),
         _number(_at(4), "double").alias("fare"),
@@ -76,11 +85,10 @@ def read_taps(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_raw_taps(spark: SparkSession, path: str | list[str], mode: str = SUBWAY) -> DataFrame:
     """``id,date,time,station,mode,fare,discount`` rows of one mode, by card and time."""
     return (
-        _fields(spark, path)
-        .filter(_at(4) == mode)
+        _numbered(_fields(spark, path).filter(_at(4) == mode))
         .select(
             _at(0).alias("id"),
-            F.xxhash64("value").alias("tap_id"),
+            F.col("no").alias("tap_id"),
             parse_time(F.concat_ws(" ", _at(1), _at(2))).alias("ts"),
             F.trim(_at(3)).alias("station"),
             _number(_at(5), "double").alias("fare"),
