@@ -14,7 +14,7 @@ from railflow.staging import drop_stages
 HEADLINE = (
     "od_share od_hour_share station_mobility od_avg_time rank_dist tap_pairs trip_index prediction_table "
     "sequence_samples nearest_station centres habit_pairs last_irregular samples_base samples_ext samples_multi "
-    "markov_hits accuracy_curve ap_segments route_ratio personal_routes path_shares matched_traces"
+    "samples_dense samples_ext_dense station_vectors markov_hits accuracy_curve ap_segments route_ratio personal_routes path_shares matched_traces"
 ).split()
 
 
