@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 U = np.uint64
 _STEP = U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _BACK = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
