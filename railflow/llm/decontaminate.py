@@ -34,7 +34,7 @@ class _Words:
     def __init__(self, s: ts.Slice):
         self.low = ts.LOWER[s.buf]
         self.starts, self.ends = s.runs(ts.WORD_BYTES[s.buf])
-        self.hash = ts.span_hash(s.prefix(ts.lower_codes()), self.starts, self.ends)
+        self.hash = ts.span_hash(self.low, self.starts, self.ends)
         self.offsets = s.per_text(self.starts)
 
     def text(self, i: int, k: int) -> bytes:

@@ -6,7 +6,8 @@ the mean log probability ratio of its n-grams; languages that do not use the wor
 Viterbi with a penalty for each switch labels the words; the label with most letters is the text's.
 
 Training takes about ``PER_LANG`` texts of a language (all, if there are fewer; else those with the
-smallest hashes of their text), each as a whole; prediction covers every text.
+smallest hashes of their text), each as a whole, for the ``MAX_LANGS`` languages with most texts; prediction covers
+every text. What a letter is, Unicode says; the different words of a slice are scored once.
 
 Defined cases: null text or a text without letters is ``und`` with score 0; null languages are not
 learnt from; without any training text all is ``und``; a text in a script that no language uses
@@ -26,6 +27,7 @@ from pyspark.sql.types import StructType
 from railflow.llm import textscan as ts
 
 PER_LANG = 2_000
+MAX_LANGS = 400
 TABLE = 1 << 16
 GRAMS = (1, 2, 3, 4)
 SWITCH = 6.0
@@ -43,58 +45,80 @@ SCRIPTS = [
 ]
 _FIRST = np.array([x for x, _ in SCRIPTS])
 _SCRIPT = np.array([x for _, x in SCRIPTS], np.uint8)
-_OF_BMP = _SCRIPT[np.searchsorted(_FIRST, np.arange(0x10000), "right") - 1]
-N_SCRIPTS = int(_SCRIPT.max()) + 1
+OTHER = int(_SCRIPT.max()) + 1  # letters of all other scripts
+N_SCRIPTS = OTHER + 1
 
-_FOLD = ts.LOWER.copy()
 _LETTERISH = np.zeros(256, bool)
 _LETTERISH[65:91] = _LETTERISH[97:123] = _LETTERISH[128:] = True
 
 
+_letters: list[np.ndarray] = []
+
+
+def letter_scripts() -> np.ndarray:
+    """Script of every code point that is a letter in Unicode; 0 for all others."""
+    if not _letters:
+        script = _SCRIPT[np.searchsorted(_FIRST, np.arange(0x110000), "right") - 1]
+        letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+        _letters.append(np.where(letter, np.where(script > 0, script, OTHER), 0).astype(np.uint8))
+    return _letters[0]
+
+
+def _scripts(buf: np.ndarray) -> np.ndarray:
+    """Script at the first byte of each code point that is a letter, else 0."""
+    of = letter_scripts()
+    out = np.zeros(len(buf), np.uint8)
+    low = buf < 128
+    out[low] = of[buf[low]]
+    lead = np.flatnonzero(buf >= 0xC0)
+    if len(lead):
+        b = np.concatenate([buf, np.full(3, 0x80, np.uint8)]).astype(np.int32)
+        first, second, third, fourth = b[lead], b[lead + 1] & 63, b[lead + 2] & 63, b[lead + 3] & 63
+        cp = np.where(
+            first < 0xE0, ((first & 31) << 6) | second,
+            np.where(first < 0xF0, ((first & 15) << 12) | (second << 6) | third, ((first & 7) << 18) | (second << 12) | (third << 6) | fourth),
+        )
+        out[lead] = of[np.minimum(cp, 0x10FFFF)]
+    return out
+
+
 class _Words:
-    """Runs of ASCII letters and non-ASCII bytes with a letter of a script; their script, letters and n-grams."""
+    """Runs of ASCII letters and non-ASCII bytes with a letter: ``word`` is the number of each one's different word,
+    ``begin``, ``end``, ``script`` and ``size`` (in letters) describe the different words, whose n-grams are taken once."""
 
     def __init__(self, s: ts.Slice):
-        buf = s.buf
-        starts, ends = s.runs(_LETTERISH[buf])
-        script = np.zeros(len(buf), np.uint8)  # at the first byte of each code point
-        low = buf < 128
-        script[low] = _OF_BMP[buf[low]]
-        lead = np.flatnonzero(buf >= 0xC0)
-        if len(lead):
-            b = buf.astype(np.int64)
-            pad = np.concatenate([b, [0x80, 0x80, 0x80]])
-            first, second, third, fourth = pad[lead], pad[lead + 1] & 63, pad[lead + 2] & 63, pad[lead + 3] & 63
-            cp = np.where(
-                first < 0xE0, ((first & 31) << 6) | second,
-                np.where(first < 0xF0, ((first & 15) << 12) | (second << 6) | third, ((first & 7) << 18) | (second << 12) | (third << 6) | fourth),
-            )
-            script[lead] = np.where(cp < 0x10000, _OF_BMP[np.minimum(cp, 0xFFFF)], _SCRIPT[np.searchsorted(_FIRST, cp, "right") - 1])
+        starts, ends = s.runs(_LETTERISH[s.buf])
+        words, back = ts.distinct(ts.LOWER[s.buf], starts, ends)
+        buf, begin, end = ts.spans_of(words)
+        script = _scripts(buf)
         total = np.zeros(len(buf) + 1, np.int64)
         np.cumsum(script > 0, out=total[1:])
-        letters = total[ends] - total[starts]
-        ok = letters > 0
-        self.starts, self.ends, self.letters = starts[ok], ends[ok], letters[ok]
+        size = total[end] - total[begin]
+        own = size > 0
+        ok = own[back]
+        self.starts, self.ends = starts[ok], ends[ok]
+        self.word = (np.cumsum(own) - 1)[back[ok]]
+        self.begin, self.end, self.size = begin[own], end[own], size[own]
+        self.letters = self.size[self.word]
         at = np.flatnonzero(script > 0)
-        self.script = script[at[np.searchsorted(at, self.starts)]] if len(self.starts) else np.zeros(0, np.uint8)
+        self.script = script[at[np.searchsorted(at, self.begin)]] if len(self.begin) else np.zeros(0, np.uint8)
         self.off = s.per_text(self.starts)
-        self.low = _FOLD[buf]
-        self.prefix = s.prefix(ts.lower_codes())
+        self.prefix = ts.Slice(0, buf, np.array([0, len(buf)])).prefix()
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Table slots of the ``k``-byte n-grams inside the words, and the word of each."""
-        size = self.ends - self.starts
+        """Table slots of the ``k``-byte n-grams inside the different words, and the word of each."""
+        size = self.end - self.begin
         count = np.maximum(size - k + 1, 0)
         word = np.repeat(np.arange(len(size)), count)
-        at = self.starts[word] + np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
-        return _slot(ts.span_hash(self.prefix, at, at + k), k), word
+        at = self.begin[word] + np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
+        return _slot(ts.poly_hash(self.prefix, at, at + k), k), word
 
     def edges(self, k: int) -> Iterator[np.ndarray]:
         """Slots of the first and the last ``k`` bytes of each word, as such, and of the whole word."""
-        size = np.minimum(self.ends - self.starts, k)
-        yield _slot(ts.span_hash(self.prefix, self.starts, self.starts + size), 20 + k)
-        yield _slot(ts.span_hash(self.prefix, self.ends - size, self.ends), 40 + k)
-        yield _slot(ts.span_hash(self.prefix, self.starts, self.ends), 60)
+        size = np.minimum(self.end - self.begin, k)
+        yield _slot(ts.poly_hash(self.prefix, self.begin, self.begin + size), 20 + k)
+        yield _slot(ts.poly_hash(self.prefix, self.end - size, self.end), 40 + k)
+        yield _slot(ts.poly_hash(self.prefix, self.begin, self.end), 60)
 
     def slots(self) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
         for k in GRAMS:
@@ -121,7 +145,7 @@ class Model:
 
     def scores(self, w: _Words) -> np.ndarray:
         """Score of each word for each language; -inf where the script rules a language out."""
-        n = len(w.starts)
+        n = len(w.begin)
         out = np.zeros((n, len(self.langs)), np.float32)
         for slot, word in w.slots():
             if word is None:
@@ -133,7 +157,7 @@ class Model:
                     np.cumsum(self.table[slot, j], out=total[1:])
                     out[:, j] += total[first[1:]] - total[first[:-1]]
         out[~self.uses.T[w.script]] = -np.inf
-        return out
+        return out[w.word]
 
     def viterbi(self, score: np.ndarray, off: np.ndarray, switch: float = SWITCH) -> np.ndarray:
         """Best label of each word, texts side by side: step ``i`` takes the ``i``-th word of every text that has one."""
@@ -166,10 +190,12 @@ class Model:
         return label
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
-    """Learn from ``text`` and ``lang``: per language about ``per_lang`` texts, by the hash of the text."""
+def train(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> Model:
+    """Learn from ``text`` and ``lang``: per language about ``per_lang`` texts, by the hash of the text; the
+    ``max_langs`` languages with most texts are learnt."""
     own = docs.filter("text is not null and lang is not null").select("text", "lang")
-    sizes = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
+    often = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    sizes = {r["lang"]: r["n"] for r in often.collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((TABLE, 0)), np.zeros((0, N_SCRIPTS)))
@@ -179,7 +205,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     rows = some.withColumn("_n", F.lit(1)).select("text", F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int").alias("l"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, scripts = np.zeros((len(langs), TABLE), np.int64), np.zeros((len(langs), N_SCRIPTS), np.int64)
+        counts, scripts = np.zeros((len(langs), TABLE), np.int32), np.zeros((len(langs), N_SCRIPTS), np.int64)
         seen = np.zeros(len(langs), np.int64)
         for batch in batches:
             lang = np.asarray(batch.column(1)) - 1
@@ -187,10 +213,12 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
                 w = _Words(s)
                 of = np.repeat(lang[s.first : s.first + s.n], np.diff(w.off))
                 seen += np.bincount(lang[s.first : s.first + s.n], minlength=len(langs))
+                used = np.unique(of)
+                often = [np.bincount(w.word[of == j], minlength=len(w.begin)) for j in used]
                 for slot, word in w.slots():
-                    word = np.arange(len(w.starts)) if word is None else word
-                    counts += np.bincount(of[word] * TABLE + slot, minlength=counts.size).reshape(counts.shape)
-                np.add.at(scripts, (of, w.script.astype(int)), w.letters)
+                    for j, n in zip(used, often, strict=True):
+                        counts[j] += np.bincount(slot, n if word is None else n[word], TABLE).astype(np.int32)
+                np.add.at(scripts, (of, w.script[w.word].astype(int)), w.letters)
         for j in np.flatnonzero(seen):
             used = np.flatnonzero(counts[j])
             script = np.flatnonzero(scripts[j])

@@ -66,7 +66,7 @@ class _Shingles:
     def __init__(self, s: ts.Slice):
         self.low = ts.LOWER[s.buf]
         self.starts, self.ends = s.runs(ts.WORD_BYTES[s.buf])
-        words = ts.span_hash(s.prefix(ts.lower_codes()), self.starts, self.ends)
+        words = ts.span_hash(self.low, self.starts, self.ends)
         word_off = s.per_text(self.starts)
         self.h, self.at = ts.windows(words, word_off, SHINGLE)
         self.off = np.searchsorted(self.at, word_off).astype(np.int64)

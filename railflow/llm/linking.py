@@ -68,7 +68,7 @@ def blocks(members: DataFrame, key: str, item: str, block: int) -> DataFrame:
 
     Adds ``_g`` (first column), the group to check, and ``_part``; in a group of two parts only pairs
     of different parts are to be checked, so each pair of a key meets once. Sorted by ``_g``."""
-    sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    sizes = stage(members.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "group-sizes")  # so that Spark knows how small it is
     parts = F.ceil(F.col("_n") / block).cast("int")
     rows = (
         members.join(sizes, key)

@@ -59,7 +59,7 @@ def _sets(s: ts.Slice, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram hashes of each text, sorted within it, and their offsets per text."""
     starts, ends = s.runs(ts.WORD_BYTES[s.buf])
     off = s.per_text(starts)
-    h = ts.span_hash(s.prefix(ts.lower_codes()), starts, ends)
+    h = ts.span_hash(ts.LOWER[s.buf], starts, ends)
     w, at = ts.windows(h, off, n)
     text = np.searchsorted(off, at, "right") - 1
     size = np.diff(off)

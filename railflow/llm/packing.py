@@ -30,12 +30,11 @@ from railflow.staging import stage
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 1_500_000  # distinct words a worker keeps; beyond it the cache starts anew
-GRID = 512  # steps of the knapsack program when there are more than FEW lengths; else one token
-FEW = 64
-ROUNDS = 1000
-STEP = 0.1
-SMALL = 1 / 8
+CACHE_WORDS = 600_000  # distinct words a worker keeps; beyond it the cache starts anew
+GRID = 512  # least steps of the knapsack program
+LENGTHS = 64  # different lengths per token of a step: few lengths are kept apart
+STEP = 0.2
+SMALL = 1 / 16
 FULL = (0, 0.99, 0.998, 1)
 PIECE = "piece int, start bigint, length bigint, ids_crc32 bigint, _part int, _rank bigint"
 
@@ -48,7 +47,7 @@ _CUT[39] = False  # an apostrophe begins contractions
 
 
 class WordIds:
-    """Token ids of words, by word hash, in a growing open-addressing table."""
+    """Token ids of words, kept by the words' bytes."""
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,43 +57,16 @@ class WordIds:
         self._clear()
 
     def _clear(self) -> None:
-        self._table(1 << 22)
-        self.first = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
+        self.index: dict[bytes, int] = {}
+        self.count = np.zeros(0, np.int32)
+        self.end = np.zeros(1, np.int32)  # in bytes
         self.ids = np.zeros(0, np.uint32)
 
-    def _table(self, slots: int) -> None:
-        self.keys, self.slot_of, self.mask = np.zeros(slots, ts.U), np.zeros(slots, np.int32), slots - 1
-
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), -1, np.int64)
-        slot = (h >> ts.U(20)).astype(np.int64) & self.mask
-        left = np.arange(len(h))
-        while len(left):
-            key = self.keys[slot[left]]
-            same = key == h[left]
-            out[left[same]] = self.slot_of[slot[left[same]]]
-            left = left[~same & (key != 0)]
-            slot[left] = (slot[left] + 1) & self.mask
-        return out
-
-    def _insert(self, h: np.ndarray, index: np.ndarray) -> None:
-        slot = (h >> ts.U(20)).astype(np.int64) & self.mask
-        left = np.arange(len(h))
-        while len(left):
-            free = left[self.keys[slot[left]] == 0]
-            _, one = np.unique(slot[free], return_index=True)
-            won = free[one]
-            self.keys[slot[won]] = h[won]
-            self.slot_of[slot[won]] = index[won]
-            left = np.setdiff1d(left, won, assume_unique=True)
-            slot[left] = (slot[left] + 1) & self.mask
-
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words end to end, and how many each has; words hold no white space."""
-        ids, counts = [], []
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for lo in range(0, len(words), 20_000):
-            part = words[lo : lo + 20_000]
+            part = [w.decode() for w in words[lo : lo + 20_000]]
             starts = np.cumsum([0, *(len(x) + 1 for x in part)])
             got = self.encoder.encode(" ".join(part), add_special_tokens=False)
             at = np.fromiter((x[0] for x in got.offsets), np.int64, len(got.offsets))
@@ -102,28 +74,30 @@ class WordIds:
             counts.append(np.bincount(np.searchsorted(starts, at, "right") - 1, minlength=len(part)))
         return np.concatenate(ids), np.concatenate(counts).astype(np.int64)
 
-    def lookup(self, h: np.ndarray, word: Callable[[int], str]) -> np.ndarray:
-        """Table index of each word; ``word(i)`` gives the text of word ``i``."""
-        if len(self.first) > CACHE_WORDS:
+    def lookup(self, words: list[bytes]) -> np.ndarray:
+        """Table index of each word."""
+        if len(self.index) > CACHE_WORDS:
             self._clear()
-        found = self._find(h)
+        known = self.index.get
+        found = np.array([known(w, -1) for w in words], np.int64)
         new = np.flatnonzero(found < 0)
         if len(new):
-            keys, one, back = np.unique(h[new], return_index=True, return_inverse=True)
-            ids, counts = self.encode([word(int(i)) for i in new[one]])
-            index = len(self.first) + np.arange(len(keys))
-            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(counts) - counts])
-            self.count = np.concatenate([self.count, counts])
+            spelt = [words[i] for i in new.tolist()]
+            ids, counts = self.encode(spelt)
+            found[new] = len(self.count) + np.arange(len(new))
+            self.index.update(zip(spelt, found[new].tolist(), strict=True))
+            self.end = np.concatenate([self.end, self.end[-1] + 4 * np.cumsum(counts).astype(np.int32)])
+            self.count = np.concatenate([self.count, counts.astype(np.int32)])
             self.ids = np.concatenate([self.ids, ids])
-            if len(self.first) > len(self.keys) // 2:  # one slice with very many new words
-                old = np.flatnonzero(self.keys)
-                held, at = self.keys[old], self.slot_of[old]
-                self._table(1 << int(4 * len(self.first)).bit_length())
-                self._insert(held, at)
-            self._insert(keys, index)
-            found[new] = index[back]
         return found
 
+    def spell(self, index: np.ndarray) -> np.ndarray:
+        """Ids of the words of these table indices, end to end."""
+        table = pa.Array.from_buffers(pa.binary(), len(self.count), [None, pa.py_buffer(self.end), pa.py_buffer(self.ids)])
+        got = table.cast(pa.large_binary()).take(pa.array(index))
+        data = got.buffers()[2]
+        return np.frombuffer(data, np.uint32)[: int(self.count[index].sum())] if data is not None else np.zeros(0, np.uint32)
+
 
 _encoders: dict[str, WordIds] = {}
 
@@ -151,13 +125,10 @@ def token_ids(s: ts.Slice, table: WordIds) -> tuple[np.ndarray, np.ndarray]:
     size = ends[other] - starts[other]
     keep = np.repeat(starts[other] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
     low[keep] = s.buf[keep]
-    h = ts.span_hash(ts.Slice(0, low, s.at).prefix(), starts, ends) | ts.U(1)
-    raw = s.buf
-    index = table.lookup(h, lambda i: raw[starts[i] : ends[i]].tobytes().decode())
-    counts = table.count[index]
-    shift = np.cumsum(counts) - counts
-    ids = table.ids[np.repeat(table.first[index] - shift, counts) + np.arange(int(counts.sum()))]
-    return ids, ts.sums(counts, s.per_text(starts))
+    words, back = ts.distinct(low, starts, ends)
+    index = table.lookup(words.to_numpy(zero_copy_only=False).tolist())[back]
+    counts = table.count[index].astype(np.int64)
+    return table.spell(index), ts.sums(counts, s.per_text(starts))
 
 
 def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -275,20 +246,16 @@ def _knapsack(sizes: np.ndarray, worth: np.ndarray, room: int) -> dict[int, int]
     return out
 
 
-def configurations(
-    sizes: np.ndarray, need: np.ndarray, room: int, rounds: int = ROUNDS, step: float = STEP
-) -> list[tuple[dict[int, int], float]]:
+def configurations(sizes: np.ndarray, need: np.ndarray, room: int, step: float = STEP) -> list[tuple[dict[int, int], float]]:
     """Multiplicative weights for the covering program: fewest (fractional) sequences that hold ``need``.
 
     A size's weight per token falls exponentially with the share of its need that is covered. Each round
     the knapsack program prices the configuration of most weight, which is taken for ``step`` of what its
-    scarcest size needs, and never beyond a need. Ends when all is covered."""
+    scarcest size needs, and never beyond a need. Each round thus covers ``step`` of one size's need, or one
+    sequence, or the rest of a size: there are at most ``len(sizes) * (1 / step + 1)``, however many pieces. Ends when all is covered."""
     left = need.copy()
     taken: dict[tuple[tuple[int, int], ...], float] = {}
-    for _ in range(rounds):
-        open_ = np.flatnonzero(left > 1e-6 * need)
-        if not len(open_):
-            break
+    while len(open_ := np.flatnonzero(left > 1e-6 * need)):
         weight = sizes[open_] * np.exp(left[open_] / need[open_])
         config = _knapsack(sizes[open_], weight, room)
         scarce = min(left[open_[i]] / k for i, k in config.items())
@@ -304,14 +271,17 @@ def configurations(
 def plan(counts: dict[int, int], capacity: int = CAPACITY, small: float = SMALL) -> list[tuple[Pattern, int]]:
     """(pattern, copies) of sequences that hold all pieces; ``counts`` maps a length to its pieces.
 
-    The program covers lengths above ``small`` of the capacity; the shorter ones fill the gaps. Rounding
-    keeps whole copies of configurations that are full enough (the best of the levels ``FULL``) and packs
-    the rest best-fit into their gaps and new sequences."""
+    The program covers lengths above ``small`` of the capacity, rounded up to a step that grows with the number of different
+    lengths (to ``capacity / GRID``); the shorter
+    ones fill the gaps. Rounding keeps whole copies of configurations that are full enough (the best of the levels
+    ``FULL``) and packs the rest best-fit into their gaps and new sequences; best-fit alone is compared as well and
+    taken if it needs fewer sequences."""
     left = {length: n for length, n in counts.items() if n}
+    counts = dict(left)
     if not left:
         return []
     large = sorted((x for x in left if x > small * capacity), reverse=True)
-    grain = 1 if len(large) <= FEW else -(-capacity // GRID)
+    grain = min(-(-capacity // GRID), -(-len(large) // LENGTHS)) or 1
     room = capacity // grain
     of: dict[int, list[int]] = {}
     for length in large:
@@ -342,6 +312,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, small: float = SMALL)
             for x, k in pattern:
                 rest[x] -= k * n
         rounded.append(best_fit({x: n for x, n in rest.items() if n}, capacity, kept))
+    rounded.append(best_fit(counts, capacity))
     return min(rounded, key=lambda p: sum(n for _, n in p))
 
 

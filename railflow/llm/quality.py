@@ -65,8 +65,7 @@ def _stats(s: ts.Slice) -> list[np.ndarray]:
     starts, ends = s.runs(ts.INK_BYTES[buf])
     off = s.per_text(starts)
     own = ts.owner(off)
-    prefix = s.prefix()
-    h = ts.span_hash(prefix, starts, ends)
+    h = ts.span_hash(buf, starts, ends)
     n_words = np.diff(off)
     ink_chars = ts.sums(ts.INK_BYTES[buf] & ((buf & 0xC0) != 0x80), s.at)
     symbols = ts.sums(_SYMBOLS[buf], s.at)
@@ -81,7 +80,7 @@ def _stats(s: ts.Slice) -> list[np.ndarray]:
     inked = np.searchsorted(starts, last) > np.searchsorted(starts, cut)
     line_at, line_end = cut[inked], last[inked]
     line_off = s.per_text(line_at)
-    line_hash = ts.span_hash(prefix, line_at, line_end)
+    line_hash = ts.span_hash(buf, line_at, line_end)
     _, earlier = _repeats(line_hash, ts.owner(line_off))
     n_dup = ts.sums(earlier, line_off)
     # words in 3-word windows that come twice or more

@@ -1,9 +1,11 @@
 """Words, lines and windows of whole texts as NumPy arrays over Arrow buffers.
 
 Texts stay UTF-8 bytes. A slice of a batch (about ``SLICE_BYTES``, one text at least) becomes one
-byte array; words are (start, end) pairs in it and have 64-bit hashes from prefix sums of a
-polynomial modulo 2**64, so the hash of any span costs O(1). Hashes find candidates and equal
-windows; operators that must be exact compare the bytes afterwards.
+byte array; words are (start, end) pairs in it. Their 64-bit hashes are multilinear: each byte times a
+random key of its place in the span, so that two different spans collide with probability 2**-56 at
+most, whatever their structure. ``distinct`` numbers words by their bytes, without a hash. Prefix
+sums of a polynomial give the hash of any span in O(1), but have structured collisions: they only
+find candidates that are verified afterwards.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ SLICE_BYTES = 1 << 20
 U = np.uint64
 _STEP = U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _BACK = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_NEXT = U(0xD6E8FEB86659FD93)  # step from word to word in a window
 _CODES = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 
 #: Bytes of the words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of lower-cased text, and the lower-casing of A-Z.
@@ -29,6 +30,7 @@ WORD_BYTES[48:58] = WORD_BYTES[65:91] = WORD_BYTES[97:123] = WORD_BYTES[128:] =
 INK_BYTES = np.ones(256, bool)
 INK_BYTES[[32, 9, 10, 11, 12, 13]] = False
 
+_keys: list[np.ndarray] = [np.zeros(0, U), np.zeros(0, U)]
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, U), np.ones(1, U))
 
 
@@ -45,6 +47,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+def keys(n: int, which: int = 0) -> np.ndarray:
+    """At least ``n`` random keys, one for each place in a span; ``which``: one of two independent series."""
+    if len(_keys[which]) < n:
+        size = max(1 << 16, 1 << int(n - 1).bit_length())
+        _keys[which] = mix(mix(np.arange(size, dtype=U) + U(0x5851F42D4C957F2D + which)) + U(0x14057B7EF767814F * (which + 1) % (1 << 64)))
+    return _keys[which]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread all bits of a hash (finaliser of a public 64-bit hash)."""
     h = h ^ (h >> U(33))
@@ -61,7 +71,7 @@ class Slice:
         self.first, self.buf, self.at, self.n = first, buf, at, len(at) - 1
 
     def prefix(self, codes: np.ndarray = _CODES) -> np.ndarray:
-        """Prefix sums for ``span_hash``; ``codes`` maps a byte to its 64-bit code (0: ignored)."""
+        """Prefix sums for ``poly_hash``; ``codes`` maps a byte to its 64-bit code (0: ignored)."""
         p, _ = powers(len(self.buf))
         h = np.zeros(len(self.buf) + 1, U)
         np.cumsum(codes[self.buf] * p[: len(self.buf)], out=h[1:])
@@ -82,17 +92,50 @@ class Slice:
         return np.searchsorted(starts, self.at).astype(np.int64)
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def poly_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of any spans from the prefix sums of ``Slice.prefix``; for candidates only."""
     _, back = powers(len(prefix) - 1)
     return mix((prefix[ends] - prefix[starts]) * back[starts])
 
 
-def lower_codes() -> np.ndarray:
-    return _CODES[LOWER]
+def _inside(starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the symbols of all spans, end to end, and the place of each in its own span."""
+    own = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    return own + np.repeat(starts, size), own
+
+
+def span_hash(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """Multilinear hashes of the spans of ``symbols`` (bytes or code points)."""
+    size = ends - starts
+    out = np.zeros(len(size), U)
+    full = np.flatnonzero(size)
+    if len(full):
+        at, own = _inside(starts, size)
+        value = symbols[at].astype(U)
+        value += U(1)
+        value *= keys(int(size.max()), which)[own]
+        out[full] = np.add.reduceat(value, (np.cumsum(size) - size)[full])
+    return mix(out + size.astype(U))
+
+
+def distinct(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The different words among the spans (as bytes, in order of appearance), and the number of each span's word."""
+    size = ends - starts
+    offsets = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=offsets[1:])
+    at, _ = _inside(starts, size)
+    words = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(buf[at])])
+    coded = words.dictionary_encode()
+    return coded.dictionary, np.asarray(coded.indices).astype(np.int64)
 
 
-def plain_codes() -> np.ndarray:
-    return _CODES
+def spans_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, starts and ends of the words that ``distinct`` gives."""
+    if not len(words):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at[:-1], at[1:]
 
 
 def windows(h: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,10 +153,10 @@ def windows(h: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.
 
 def window_hash(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the ``k`` words from each word index in ``at``."""
-    total, factor = h[at].copy(), U(1)
+    factor = keys(k, 1)
+    total = h[at] * factor[0]
     for j in range(1, k):
-        factor = U((int(factor) * int(_NEXT)) & 0xFFFFFFFFFFFFFFFF)
-        total += h[at + j] * factor
+        total += h[at + j] * factor[j]
     return mix(total + U(k))
 
 

@@ -6,7 +6,7 @@ of these pieces; so a word is read once, symbol by symbol, and its pieces are co
 built. The distinct words of a slice run side by side as NumPy arrays. The automaton (a vocabulary
 file's size) is broadcast; one scan, no shuffle.
 
-Words are runs of letters and non-ASCII bytes, of digits, or of other marks, with A-Z lower-cased.
+Words are runs of letters and non-ASCII bytes, of digits, or of other marks; A-Z are lower-cased if the vocabulary has no piece with them.
 
 Defined cases: a null or empty text has no words and no tokens; a word that the vocabulary cannot
 spell counts as one unknown token; repeated documents give equal rows; other columns are passed on.
@@ -28,10 +28,10 @@ from railflow.llm import textscan as ts
 
 SYMBOLS = 256
 
-_CLASS = np.full(256, 3, np.uint8)  # other marks
-_CLASS[:33] = _CLASS[127] = 0
-_CLASS[48:58] = 2
-_CLASS[65:91] = _CLASS[97:123] = _CLASS[128:] = 1
+CLASSES = np.full(256, 3, np.uint8)  # other marks
+CLASSES[:33] = CLASSES[127] = 0
+CLASSES[48:58] = 2
+CLASSES[65:91] = CLASSES[97:123] = CLASSES[128:] = 1
 
 
 def byte_symbols() -> dict[str, int]:
@@ -136,18 +136,23 @@ class Automaton:
         return np.where(fine, pieces + rest, 1), fine
 
 
-def count_tokens(docs: DataFrame, tokenizer_json: str) -> DataFrame:
-    """``doc_id`` (and other columns than ``text``), ``n_words``, ``n_tokens``, ``n_unknown`` per row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(Automaton(pieces_of(tokenizer_json)))  # as large as the vocabulary
+def count_tokens(docs: DataFrame, tokenizer_json: str, cased: bool | None = None, classes: np.ndarray = CLASSES) -> DataFrame:
+    """``doc_id`` (and other columns than ``text``), ``n_words``, ``n_tokens``, ``n_unknown`` per row of ``docs``.
+
+    ``cased``: whether A-Z keep their case; by default if the vocabulary has a piece with one of them.
+    ``classes``: class of each byte; words are the longest runs of one class above 0."""
+    known = pieces_of(tokenizer_json)
+    if cased is None:
+        cased = any(65 <= b <= 90 for piece in known for b in piece)
+    shared = docs.sparkSession.sparkContext.broadcast(Automaton(known))  # as large as the vocabulary
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
         for batch in batches:
             for s in ts.slices(batch.column(1)):
-                starts, ends = s.runs(_CLASS[s.buf])
-                h = ts.span_hash(s.prefix(ts.lower_codes()), starts, ends)
-                _, one, back = np.unique(h, return_index=True, return_inverse=True)
-                n, fine = automaton.count(ts.LOWER[s.buf], starts[one], ends[one])
+                starts, ends = s.runs(classes[s.buf])
+                words, back = ts.distinct(s.buf if cased else ts.LOWER[s.buf], starts, ends)
+                n, fine = automaton.count(*ts.spans_of(words))
                 off = s.per_text(starts)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(s.first, s.n), *(pa.array(x) for x in (np.diff(off), ts.sums(n[back], off), ts.sums(~fine[back], off)))],

@@ -256,8 +256,11 @@ def test_piece_counts_are_greedy(spark, docs, rows):
     word = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[!-/:-@\[-`{-~]+")
     for doc, text, *_ in rows:
         if doc not in (301, 302):
-            own = [b" " + w.lower() for w in word.findall((text or "").encode())]
+            own = [b" " + w for w in word.findall((text or "").encode())]
             assert got[doc, len(own)] == (sum(map(greedy, own)), 0)
+    low = wordpiece.count_tokens(docs.select("doc_id", "text"), vocabulary.byte_bpe(), cased=False).filter("doc_id = 0").first()
+    own = [b" " + w.lower() for w in word.findall(rows[0][1].encode())]
+    assert (low.n_words, low.n_tokens) == (len(own), sum(map(greedy, own)))
 
 
 def test_automaton_with_gaps_in_the_vocabulary():
@@ -325,33 +328,108 @@ def _classes(n, linked):
     return [find(i) for i in range(n)], links
 
 
-def test_lines_by_brute_force(spark):
+def _line_rows():
     import random
 
     random.seed(8)
-    stock = ["".join(random.choice("abc é") for _ in range(random.randint(40, 60))) for _ in range(12)]
+    stock = ["".join(random.choice("abc é") for _ in range(n)) for n in (3, 6, 9, 10, 12, 18, 19, 20, 21, 30, 40, 60)]
     rows = []
-    for d in range(40):
+    for d in range(60):
         own = []
         for _ in range(3):
             x = list(random.choice(stock))
-            for _ in range(random.randint(0, 3)):
+            for _ in range(random.choice([0, 0, 1, 2, 3])):
                 x[random.randrange(len(x))] = random.choice(["", "z", "ü"])
             own.append("".join(x))
-        rows.append((d, "\n".join([*own, "short"])))
-    rows += [(None, None), (50, ""), (51, "\n\n"), (52, stock[0]), (52, stock[0])]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
-    got = sorted((r.line_id, r.doc_id, r.line, r.class_id, r.n_links, r.kept) for r in lines.digest(docs).collect())
-    flat = [(d, i, x) for d, t in rows for i, x in enumerate((t or "").split("\n")) if len(x) >= lines.MIN_CHARS]
-    close = lambda i, j: abs(len(flat[i][2]) - len(flat[j][2])) <= 2 and _distance(flat[i][2], flat[j][2]) <= 2
+        rows.append((d, "\n".join([*own, random.choice(["ok", "no", "  ", "fin."])])))
+    return rows + [(None, None), (50, ""), (51, "\n\n \t"), (52, stock[9]), (52, stock[9]), (53, "q" * 20_000), (54, "q" * 20_001), (55, "ok")]
+
+
+def test_lines_by_brute_force(spark):
+    rows = _line_rows()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    flat = sorted((-1 if d is None else d, i, x) for d, t in rows for i, x in enumerate((t or "").split("\n")) if re.search(r"[^\x20\x09-\x0D]", x))
+
+    def close(i, j):
+        a, b = flat[i][2], flat[j][2]
+        if max(len(a), len(b)) > 1000:
+            return a[:1] == b[:1] == "q" and abs(len(a) - len(b)) <= 2 or a == b
+        may = min(lines.EDITS, int(0.1 * max(len(a), len(b)) + 1e-9))
+        return a == b or (abs(len(a) - len(b)) <= may and _distance(a, b) <= may)
+
     roots, links = _classes(len(flat), close)
-    assert [(d, i) for _, d, i, *_ in got] == [(d, i) for d, i, _ in flat]
-    ids = [g[0] for g in got]
-    assert [g[3] for g in got] == [ids[r] for r in roots] and [g[4] for g in got] == links
-    assert [g[5] for g in got] == [r == i for i, r in enumerate(roots)]
+    for parts in (1, 5):  # the split of the table does not matter
+        got = lines.digest(docs.repartition(parts)).collect()
+        assert sorted((r.doc_id, r.line, r.n_links) for r in got) == sorted((d, i, n) for (d, i, _), n in zip(flat, links, strict=True))
+        assert sorted((r.doc_id, r.line) for r in got if r.kept) == sorted(flat[r][:2] for r in set(roots))
+        groups, want = defaultdict(list), defaultdict(list)
+        for r in got:
+            groups[r.class_id].append((r.doc_id, r.line))
+        for (d, i, _), r in zip(flat, roots, strict=True):
+            want[r].append((d, i))
+        assert sorted(map(sorted, groups.values())) == sorted(want.values())
+    kept = {flat[r][:2] for r in set(roots)}
+    texts = {}
+    for d, t in rows[:-7]:
+        if d is not None:
+            x = t.split("\n")
+            inked = [i for i, y in enumerate(x) if y.strip()]
+            left = [y for i, y in enumerate(x) if i not in inked or (d, i) in kept]
+            if any(y.strip() for y in left):
+                texts[d] = "\n".join(left)
+    out = {r.doc_id: r.text for r in lines.without_repeated_lines(docs).collect() if r.doc_id is not None and r.doc_id < 50}
+    assert out == {d: t for d, t in texts.items() if d < 50} and 0 < len(out) < 50
     assert lines.digest(docs.limit(0)).count() == 0
 
 
+def _thue_morse(n):
+    x = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_structured_texts_are_told_apart(spark, n=1024):
+    """Words and lines that polynomial hashes modulo a power of two confuse."""
+    u, v = _thue_morse(n)
+    docs = spark.createDataFrame([(1, u), (2, v), (3, f"{u}\n{v}"), (4, f"{u} {v}")], "doc_id bigint, text string")
+    got = lines.digest(docs).collect()
+    assert len({r.class_id for r in got}) == 3 and sorted(r.n_links for r in got) == [0, 1, 1, 1, 1]
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert all(r.n_dup_lines == 0 for r in quality.digest(docs, labels).collect())
+    assert all(r.n_links == 0 for r in ngrams.digest(docs.filter("doc_id < 3")).collect())
+    from tokenizers import Tokenizer
+
+    encoder = Tokenizer.from_str(vocabulary.word_bpe())
+    for r in packing.pack(docs, vocabulary.word_bpe()).filter("piece = 0").collect():
+        ids = [*encoder.encode({1: u, 2: v, 3: f"{u} {v}", 4: f"{u} {v}"}[r.doc_id], add_special_tokens=False).ids, 1][:4096]
+        assert r.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+    n_tokens = {r.doc_id: r.n_tokens for r in wordpiece.count_tokens(docs, vocabulary.byte_bpe()).collect()}
+    assert n_tokens[4] == n_tokens[1] + n_tokens[2]
+
+
+def test_letters_are_those_of_unicode(spark):
+    train = spark.createDataFrame([(i, f"the house and river {i}", "en") for i in range(20)], "doc_id bigint, text string, lang string")
+    texts = {1: "\u0661\u0662\u0663", 2: "\u0967\u0968", 3: "\u066a", 4: "\u2102\u211d", 5: "\u3005", 6: "\u02b0\u02b2", 7: "\u2c00\u2c31", 8: "12 !", 9: "a"}
+    model = langid.train(train)
+    got = {r.doc_id: r.lang_pred for r in langid.predict(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), model).collect()}
+    assert got == {i: "en" if any(c.isalpha() for c in t) else "und" for i, t in texts.items()}
+    assert langid.train(train, max_langs=0).langs == []
+
+
+def test_viterbi_by_brute_force():
+    import itertools
+    import random
+
+    import numpy as np
+
+    random.seed(11)
+    model = langid.Model(["a", "b", "c"], np.ones((langid.TABLE, 3)), np.ones((3, langid.N_SCRIPTS)))
+    for n in (1, 2, 5):
+        score = np.array([[random.gauss(0, 4) for _ in range(3)] for _ in range(n)])
+        worth = lambda path, score=score: sum(score[i, x] for i, x in enumerate(path)) - langid.SWITCH * sum(x != y for x, y in zip(path, path[1:], strict=False))
+        got = model.viterbi(score, np.array([0, n]))
+        assert worth(got.tolist()) == pytest.approx(max(map(worth, itertools.product(range(3), repeat=n))))
+
+
 def test_ngram_classes_by_brute_force(docs, rows):
     sets = []
     for _, text, *_ in rows:
