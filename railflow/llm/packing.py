@@ -33,7 +33,7 @@ END_ID = 1
 CACHE_WORDS = 600_000  # distinct words a worker keeps; beyond it the cache starts anew
 GRID = 512  # least steps of the knapsack program
 LENGTHS = 64  # different lengths per token of a step: few lengths are kept apart
-STEP = 0.2
+STEP = 0.1
 SMALL = 1 / 16
 FULL = (0, 0.99, 0.998, 1)
 PIECE = "piece int, start bigint, length bigint, ids_crc32 bigint, _part int, _rank bigint"

@@ -334,7 +334,7 @@ def _line_rows():
     random.seed(8)
     stock = ["".join(random.choice("abc é") for _ in range(n)) for n in (3, 6, 9, 10, 12, 18, 19, 20, 21, 30, 40, 60)]
     rows = []
-    for d in range(60):
+    for d in range(30):
         own = []
         for _ in range(3):
             x = list(random.choice(stock))
