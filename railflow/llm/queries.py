@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railflow.llm import chat, decontaminate, langid, licenses, lines, ngrams, packing, pii, quality, vocabulary, wordpiece
+from railflow.llm import (
+    chat, decontaminate, langid, lexical, licenses, lines, ngrams, packing, phrases, pii, quality, reputation, vocabulary, wordpiece,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,10 +94,22 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.withColumn("errors", F.array_join("errors", ","))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reputation.digest(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_ngram_join, op3_licenses, op4_decontaminate, op5_quality_rules, op6_token_counts, op7_personal_data,
-        op8_language, op9_pack, op10_chat,
+        op8_language, op9_pack, op10_chat, op11_url_filters, op12_collocations, op13_lexical_search,
     )
 }
