@@ -30,7 +30,7 @@ from railflow.staging import stage
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 600_000  # distinct words a worker keeps; beyond it the cache starts anew
+CACHE_WORDS = 1_500_000  # distinct words a worker keeps; beyond it the cache starts anew
 GRID = 512  # least steps of the knapsack program
 LENGTHS = 64  # different lengths per token of a step: few lengths are kept apart
 STEP = 0.1
@@ -223,18 +223,20 @@ def best_fit(counts: dict[int, int], capacity: int, open_: list[tuple[Pattern, i
 
 
 def _knapsack(sizes: np.ndarray, worth: np.ndarray, room: int) -> dict[int, int]:
-    """Indices and numbers of the most worthy items of total size ``room`` at most (unbounded)."""
+    """Indices and numbers of the most worthy items of total size ``room`` at most (unbounded). ``sizes`` ascend; as many
+    cells as the smallest of them do not depend on each other and are filled at once."""
     best = np.zeros(room + 1)
     pick = np.full(room + 1, -1)
-    for c in range(1, room + 1):
-        fit = np.searchsorted(sizes, c, "right")
-        if fit:
-            got = best[c - sizes[:fit]] + worth[:fit]
-            i = int(np.argmax(got))
-            if got[i] > best[c - 1]:
-                best[c], pick[c] = got[i], i
-                continue
-        best[c] = best[c - 1]
+    least = int(sizes[0])
+    for lo in range(least, room + 1, least):
+        cell = np.arange(lo, min(lo + least, room + 1))
+        left = cell[:, None] - sizes
+        got = np.where(left >= 0, best[left] + worth, -1.0)
+        i = np.argmax(got, axis=1)
+        value = got[np.arange(len(cell)), i]
+        top = np.maximum.accumulate(np.append(best[lo - 1], value))
+        best[cell] = top[1:]
+        pick[cell] = np.where(value > top[:-1], i, -1)
     out: dict[int, int] = {}
     c = room
     while c > 0:
