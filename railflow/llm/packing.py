@@ -228,10 +228,10 @@ def _knapsack(sizes: np.ndarray, worth: np.ndarray, room: int) -> dict[int, int]
     best = np.zeros(room + 1)
     pick = np.full(room + 1, -1)
     least = int(sizes[0])
-    for lo in range(least, room + 1, least):
+    for lo in range(max(least, 1), room + 1, max(least, 1)):
         cell = np.arange(lo, min(lo + least, room + 1))
         left = cell[:, None] - sizes
-        got = np.where(left >= 0, best[left] + worth, -1.0)
+        got = np.where(left >= 0, best[np.maximum(left, 0)] + worth, -1.0)
         i = np.argmax(got, axis=1)
         value = got[np.arange(len(cell)), i]
         top = np.maximum.accumulate(np.append(best[lo - 1], value))
