@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from railflow.functions.time import HOLIDAYS, day_of, is_holiday, is_weekday, period_of_day, two_hour_slot
 from railflow.functions.vectors import dense
-from railflow.skew import global_index, hot_keys, running_sum, salted_join
+from railflow.scan import preceding
+from railflow.skew import global_index, salted_join
 
 KEY = ("id", "event_id")
 
@@ -158,29 +159,10 @@ def traveller_number(samples: DataFrame) -> DataFrame:
     return global_index(samples.select("id").distinct(), ["id"], "traveller").select("id", "traveller")
 
 
-def previous_trips(
-    trips: DataFrame, k: int, where: Column, cols: Sequence[str], tiebreak: str = "event_id", chunk: int = 100_000
-) -> DataFrame:
+def previous_trips(trips: DataFrame, k: int, where: Column, cols: Sequence[str], tiebreak: str = "event_id") -> DataFrame:
     """Trips that satisfy ``where``, with ``prefix``: the ``k`` trips before them, oldest first.
 
-    Trips with fewer than ``k`` predecessors drop out. A hot traveller's trips are cut into
-    chunks of ``chunk`` trips, and each chunk also gets the last ``k`` trips of the one before.
+    Trips with fewer than ``k`` predecessors drop out.
     """
-    hot = hot_keys(trips, "id")
-    order = ["ot", tiebreak]
-    if not hot:
-        w = Window.partitionBy("id").orderBy(*order).rowsBetween(-k, -1)
-        seen = trips.withColumn("prefix", F.collect_list(F.struct(*cols)).over(w))
-        return seen.filter((F.size("prefix") == k) & where)
-    if chunk < k:
-        raise ValueError("chunk must hold k trips")
-    placed = running_sum(trips, "id", order, F.lit(1).cast("bigint"), hot, "_idx").withColumn("_idx", F.col("_idx") - 1)
-    home = F.floor(F.col("_idx") / chunk)
-    copies = F.when(F.col("_idx") % chunk >= chunk - k, F.array(home, home + 1)).otherwise(F.array(home))
-    w = Window.partitionBy("id", "_chunk").orderBy("_idx").rowsBetween(-k, -1)
-    return (
-        placed.withColumn("_chunk", F.explode(copies))
-        .withColumn("prefix", F.collect_list(F.struct(*cols)).over(w))
-        .filter((F.col("_chunk") == home) & (F.size("prefix") == k) & where)
-        .drop("_idx", "_chunk")
-    )
+    seen = preceding(trips, "id", ["ot", tiebreak], cols, k, "prefix")
+    return seen.filter((F.size("prefix") == k) & where)

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railflow.functions.time import epoch_seconds, seconds_between, time_text
-from railflow.skew import hot_keys, is_hot, neighbour, running_sum, salted_join
+from railflow.scan import neighbour, running_sum
+from railflow.skew import hot_keys, is_hot, salted_join
 from railflow.staging import stage
 
 PAD_SECONDS = 300
@@ -70,9 +71,8 @@ def ap_segments(ap: DataFrame, od_interval: DataFrame, min_rows: int = 2) -> Dat
     longer than the OD interval plus a tolerance, or, on long ODs, shorter than 0.6 intervals.
     Pairs without an interval do not break.
     """
-    hot = hot_keys(ap, "ap_id")
     order = list(AP_ORDER)
-    seen = neighbour(ap, "ap_id", order, ["ts", "station", "stay"], hot, "prev")
+    seen = neighbour(ap, "ap_id", order, ["ts", "station", "stay"], "prev")
     interval = od_interval.select(
         F.col("os").alias("_from"), F.col("ds").alias("station"), F.col("sec").alias("odi")
     )
@@ -87,9 +87,7 @@ def ap_segments(ap: DataFrame, od_interval: DataFrame, min_rows: int = 2) -> Dat
         ))
     )
     marked = timed.select("ap_id", *order, breaks.cast("bigint").alias("_break"))
-    if hot:  # the slices' sums are a second pass over the breaks
-        marked = stage(marked, "breaks")
-    numbered = running_sum(marked, "ap_id", order, F.col("_break"), hot, "seg")
+    numbered = running_sum(marked, "ap_id", order, F.col("_break"), "seg")
     at = F.struct(*order)
     return (
         numbered.groupBy("ap_id", "seg")

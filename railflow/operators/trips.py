@@ -23,7 +23,8 @@ from railflow.functions.time import (
     trip_day,
     two_hour_slot,
 )
-from railflow.skew import global_index, hot_keys, neighbour, running_sum, salted_join
+from railflow.scan import neighbour, running_sum
+from railflow.skew import global_index, hot_keys, salted_join
 
 
 def pair_taps(taps: DataFrame, tiebreak: str = "tap_id") -> DataFrame:
@@ -31,8 +32,7 @@ def pair_taps(taps: DataFrame, tiebreak: str = "tap_id") -> DataFrame:
 
     A paid tap can never open a trip, so looking one tap ahead equals the pairwise scan.
     """
-    hot = hot_keys(taps, "id")
-    seen = neighbour(taps, "id", ["ts", tiebreak], ["ts", "station", "fare"], hot, "exit", following=True)
+    seen = neighbour(taps, "id", ["ts", tiebreak], ["ts", "station", "fare"], "exit", following=True)
     return seen.filter((F.col("fare") == 0) & (F.col("exit.fare") > 0)).select(
         "id",
         F.col("ts").alias("ot"),
@@ -134,8 +134,7 @@ def frequent_travellers(trips: DataFrame, min_trips: int = 10) -> DataFrame:
 
 def trip_index(trips: DataFrame, tiebreak: str = "event_id") -> DataFrame:
     """0-based position of each trip in its traveller's history."""
-    hot = hot_keys(trips, "id")
-    counted = running_sum(trips, "id", ["ot", tiebreak], F.lit(1).cast("bigint"), hot, "idx")
+    counted = running_sum(trips, "id", ["ot", tiebreak], F.lit(1).cast("bigint"), "idx")
     return counted.withColumn("idx", F.col("idx") - 1)
 
 

@@ -1,9 +1,8 @@
-"""Joins and ordered passes that stay balanced when one key holds a large share of the rows.
+"""Joins and numbering that stay balanced when one key holds a large share of the rows.
 
-``hot_keys`` finds the few keys worth splitting. With none, every helper below is the plain
-Spark operation. With some, joins salt those keys and ordered passes cut them into time slices
-whose edges are carried over by a small per-slice table.
-Which keys are split never changes a result, only how the work is spread.
+``hot_keys`` finds the few keys worth splitting. With none, a salted join is the plain one; with some, their
+rows are salted. Which keys are split never changes a result, only how the work is spread. Ordered passes
+within keys are in ``railflow.scan``.
 """
 
 from __future__ import annotations
@@ -13,11 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from railflow.functions.time import epoch_seconds
 from railflow.staging import stage
 
 MIN_ROWS = 5_000_000  # keys below this fit a task comfortably; conf railflow.skew.minRows
-SLICE_SECONDS = 600  # width of a hot key's time slices; conf railflow.skew.sliceSeconds
 
 
 def _conf(spark: SparkSession, name: str, default: int) -> int:
@@ -60,65 +57,6 @@ def salted_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def _slices(df: DataFrame, key: str, ts: str, hot: Sequence[int]) -> DataFrame:
-    width = _conf(df.sparkSession, "sliceSeconds", SLICE_SECONDS)
-    piece = F.floor(epoch_seconds(F.col(ts)) / F.lit(width)).cast("bigint")
-    return df.withColumn("_slice", F.when(is_hot(hot, key), piece).otherwise(F.lit(0).cast("bigint")))
-
-
-def _join_slices(sliced: DataFrame, carried: DataFrame, key: str) -> DataFrame:
-    """Add ``_carry`` of each row's key and slice; a null key and the slice of null times match themselves."""
-    there = carried.select(F.col(key).alias("_k"), F.col("_slice").alias("_s"), "_carry")
-    same = F.col(key).eqNullSafe(F.col("_k")) & F.col("_slice").eqNullSafe(F.col("_s"))
-    return sliced.join(there, same, "left").drop("_k", "_s")
-
-
-def neighbour(
-    df: DataFrame,
-    key: str,
-    order: Sequence[str],
-    cols: Sequence[str],
-    hot: Sequence[int],
-    name: str,
-    following: bool = False,
-) -> DataFrame:
-    """Add ``name``: a struct of ``cols`` from the previous (or following) row of the same key.
-
-    ``order[0]`` is the time column; ``order`` must be total within a key.
-    """
-    payload = F.struct(*cols)
-    step = F.lead if following else F.lag
-    if not hot:
-        return df.withColumn(name, step(payload).over(Window.partitionBy(key).orderBy(*order)))
-    sliced = _slices(df, key, order[0], hot)
-    edge = F.min_by if following else F.max_by
-    edges = sliced.filter(is_hot(hot, key)).groupBy(key, "_slice").agg(edge(payload, F.struct(*order)).alias("_edge"))
-    carried = edges.select(
-        key, "_slice", step("_edge").over(Window.partitionBy(key).orderBy("_slice")).alias("_carry")
-    )
-    within = step(payload).over(Window.partitionBy(key, "_slice").orderBy(*order))
-    return _join_slices(sliced, carried, key).withColumn(name, F.coalesce(within, F.col("_carry"))).drop("_slice", "_carry")
-
-
-def running_sum(
-    df: DataFrame, key: str, order: Sequence[str], value: Column, hot: Sequence[int], name: str
-) -> DataFrame:
-    """Add ``name``: the sum of ``value`` over this row and the earlier rows of its key."""
-    if not hot:
-        w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(name, F.sum(value).over(w))
-    sliced = _slices(df, key, order[0], hot).withColumn("_v", value)
-    sums = sliced.filter(is_hot(hot, key)).groupBy(key, "_slice").agg(F.sum("_v").alias("_t"))
-    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select(key, "_slice", F.sum("_t").over(before).alias("_carry"))
-    w = Window.partitionBy(key, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        _join_slices(sliced, carried, key)
-        .withColumn(name, F.sum("_v").over(w) + F.coalesce("_carry", F.lit(0)))
-        .drop("_slice", "_carry", "_v")
-    )
-
-
 def global_index(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """Add ``name``: the 0-based position of each row in the total order, without a one-task sort.
 

@@ -1,4 +1,4 @@
-"""Hot keys never change a result: null keys, null times and fractional seconds included."""
+"""Hot keys never change a result, fractional seconds included."""
 
 from datetime import datetime, timedelta
 
@@ -7,43 +7,11 @@ from pyspark.sql import functions as F
 
 from railflow.functions.vectors import dense
 from railflow.operators import routes
-from railflow.skew import hot_keys, neighbour, running_sum
+from railflow.skew import hot_keys
 
 DAY = datetime(2024, 1, 1)
 
 
-@pytest.fixture
-def rows(spark):
-    out = []
-    for i in range(60):
-        key = None if i % 3 == 0 else f"k{i % 3}"
-        ts = None if i % 7 == 0 else DAY + timedelta(seconds=200 * i, microseconds=500_000 * (i % 2))
-        out.append((key, ts, i, i % 5))
-    return spark.createDataFrame(out, "key string, ts timestamp_ntz, n int, v int")
-
-
-def _both(spark, rows, op):
-    got = []
-    for least in ("5000000", "2"):
-        spark.conf.set("railflow.skew.minRows", least)
-        try:
-            hot = hot_keys(rows, "key")
-            assert bool(hot) == (least == "2")
-            got.append(sorted(map(str, op(hot).collect())))
-        finally:
-            spark.conf.unset("railflow.skew.minRows")
-    assert got[0] == got[1]
-
-
-@pytest.mark.parametrize("following", [False, True])
-def test_neighbour(spark, rows, following):
-    _both(spark, rows, lambda hot: neighbour(rows, "key", ["ts", "n"], ["n", "v"], hot, "near", following).select("key", "ts", "n", "near"))
-
-
-def test_running_sum(spark, rows):
-    _both(spark, rows, lambda hot: running_sum(rows, "key", ["ts", "n"], F.col("v"), hot, "total").select("key", "ts", "n", "total"))
-
-
 def test_more_than_a_thousand_hot_keys(spark):
     rows = spark.range(6000).select((F.col("id") % 1500).alias("key"))
     spark.conf.set("railflow.skew.minRows", "2")

@@ -26,17 +26,17 @@ def test_pairing_takes_the_last_free_tap_before_a_paid_one(spark):
     assert [tuple(r) for r in found] == [(1, 6, 7)]
 
 
-def test_pairing_across_slices_of_a_hot_card(spark, hot):
+def test_pairing_of_a_long_history(spark):
     rows = [(1, i, at(1, 700 * i), i, 0.0 if i % 2 == 0 else 1.0) for i in range(40)]
     found = trips.pair_taps(_taps(spark, rows)).select("os", "ds").collect()
     assert sorted(tuple(r) for r in found) == [(i, i + 1) for i in range(0, 40, 2)]
 
 
-def test_trip_index_and_previous_trips_in_chunks(spark, hot, make_trips):
+def test_trip_index_and_previous_trips(spark, make_trips):
     rows = [(i, 1, i % 3, 1, at(1, 400 * i), at(1, 400 * i + 60)) for i in range(50)]
     t = make_trips(rows)
     assert {r["event_id"]: r["idx"] for r in trips.trip_index(t).collect()} == {i: i for i in range(50)}
-    seen = features.previous_trips(t, 3, F.col("os") == 0, ["event_id"], chunk=7).collect()
+    seen = features.previous_trips(t, 3, F.col("os") == 0, ["event_id"]).collect()
     assert {r["event_id"]: [p["event_id"] for p in r["prefix"]] for r in seen} == {
         i: [i - 3, i - 2, i - 1] for i in range(3, 50, 3)
     }
