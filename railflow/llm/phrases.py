@@ -35,8 +35,8 @@ LONGEST = 4
 MIN_COUNT = 30
 TOP = 2000
 INSIDE = 80  # percent of a phrase's occurrences
-SHARD_BYTES = 4 << 20
-FOLD = 1_000_000  # paths that wait for the union
+SHARD_BYTES = 2 << 20
+FOLD = 300_000  # paths that wait for the union
 BLOCK = 100_000  # look-ups of a range that one group takes
 COUNTED = "lang string, phrase string, f bigint, h bigint"
 
@@ -326,7 +326,7 @@ def count_phrases(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_
     """Frequent phrases of 1 to ``longest`` words (``lang``, ``phrase``, ``f``, ``h``), and ``n`` per ``lang``: all word occurrences.
 
     ``docs``: its first column is the language, its second the text."""
-    ranges = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found: list[DataFrame] = []
     totals = None
     for k in range(1, longest + 1):
