@@ -324,3 +324,6 @@ oracle("path_shares", """select * exclude (k), round(n_trips/total,2) share from
 (select min(total) from (select sum(n_trips) total from pfeat group by os, ds having count(*)>1 order by 1 desc limit 100))""")
 oracle("matched_traces", """select os, ds, path_no, id, event_id, datediff('second',ot,dt) sec, transfers, array_to_string(recs,';') records
 from od_matched m where exists (select 1 from paths p where p.os=m.os and p.ds=m.ds and p.path_no=2)""")
+oracle("markov_tally", "select cast(rk<=3 as int) flag, count(*) cnt, 3 k from rank_m where station=target group by 1")
+oracle("legacy_samples", """select id, event_id, os, ds target from (select *, count(*) over (partition by id) k,
+row_number() over (partition by id order by case when id in (select id from hab) then idx else -idx end) rn from odd) where k>50 and rn<=20""")

@@ -265,6 +265,12 @@ def multi_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def legacy_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The earliest irregular trips of travellers with a habit, the latest of the others."""
+    return plans.multi_samples(stored_trips(spark, sf_dir), pick="legacy").drawn.select("id", "event_id", "os", "target")
+
+
 over("samples_multi", stored_trips, lambda t: plans.samples_multi(plans.multi_samples(t)))
 
 
@@ -297,6 +303,12 @@ def accuracy_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict.accuracy_curve(_empirical(spark, sf_dir), MAX_K)
 
 
+@query
+def markov_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits and misses of one k."""
+    return predict.hit_tally(_markov(spark, sf_dir), 3)
+
+
 @query
 def top_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = plans.last_irregular_samples(stored_trips(spark, sf_dir))

@@ -11,13 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import views as v
-from checks.oracle import CTES, ORACLES, oracle
-from checks.queries import MAX_K, _empirical, _markov, _vec_text, query, stored_ap, stored_trips
-from railflow.operators import predict
+from checks.oracle import _NUMBERED, CTES, FLAGS, ORACLES, _dense, oracle
+from checks.queries import MAX_K, _empirical, _markov, _vec_text, _whole, query, stored_ap, stored_trips
+from railflow.functions.vectors import vector_text
+from railflow.operators import flows, predict
+from railflow.operators.routes import path_numbers
 from railflow.plans import routes as route_plans
+from railflow.plans import samples as plans
 from railflow.plans.samples import BASE_KINDS
+from railflow.plans.trips import tap_trips
 from railflow.sources import readers, sinks
-from railflow.staging import stage_dir
+from railflow.staging import stage, stage_dir
 
 
 def _path(spark: SparkSession, label: str) -> str:
@@ -36,10 +40,13 @@ def _time(column: str, bad: str = "false") -> str:
     return f"if({bad}, 'garbage', date_format({column}, 'yyyy-MM-dd HH:mm:ss'))"
 
 
+def _station_lines(spark: SparkSession, sf_dir: str) -> str:
+    return _lines(v.stations(spark, sf_dir), "stations", "station + 1", "name", "if(station % 10 = 3, 'n/a', string(lat))", "lon", "'x'", wrap=False)
+
+
 @query
 def read_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = _lines(v.stations(spark, sf_dir), "stations", "station + 1", "name", "if(station % 10 = 3, 'n/a', string(lat))", "lon", "'x'", wrap=False)
-    return readers.read_stations(spark, at)
+    return readers.read_stations(spark, _station_lines(spark, sf_dir))
 
 
 oracle("read_stations", "select station, name, case when station%10=3 then null else lat end lat, lon from stations")
@@ -103,10 +110,13 @@ def read_raw_taps(spark: SparkSession, sf_dir: str) -> DataFrame:
 oracle("read_raw_taps", "select cast(id as varchar) id, ts, 'S'||lpad(cast(station as varchar),2,'0') station, fare from taps where tap_id%3<>0")
 
 
+def _path_lines(spark: SparkSession, sf_dir: str) -> str:
+    return _lines(v.paths(spark, sf_dir), "paths", "array_join(st, ' ')", "'#'", "transfers", "'V'", "cost", sep=" ", wrap=False)
+
+
 @query
 def read_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = _lines(v.paths(spark, sf_dir), "paths", "array_join(st, ' ')", "'#'", "transfers", "'V'", "cost", sep=" ", wrap=False)
-    return readers.read_paths(spark, at).withColumn("st", F.array_join("st", " "))
+    return readers.read_paths(spark, _path_lines(spark, sf_dir)).withColumn("st", F.array_join("st", " "))
 
 
 oracle("read_paths", "select os, ds, array_to_string(st,' ') st, cast(transfers as int) transfers, round(cost,2) as cost from paths")
@@ -166,10 +176,14 @@ def read_idmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 oracle("read_idmap", "select cast(id as varchar) id, ap_id, score from idmap")
 
 
+def _transfer_lines(spark: SparkSession, sf_dir: str) -> str:
+    named = v.transfer_stations(spark, sf_dir).join(v.stations(spark, sf_dir), "station")
+    return _lines(named.union(named), "transfers", "concat(name, ' ')", wrap=False)
+
+
 @query
 def read_transfer_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = v.transfer_stations(spark, sf_dir).join(v.stations(spark, sf_dir), "station")
-    return readers.read_transfer_stations(spark, _lines(named.union(named), "transfers", "concat(name, ' ')", wrap=False))
+    return readers.read_transfer_stations(spark, _transfer_lines(spark, sf_dir))
 
 
 oracle("read_transfer_stations", "select s.name from transfer_stations t join stations s on s.station=t.station")
@@ -224,6 +238,126 @@ oracle("markov_accuracy", f"""select cast(k as int) k, count(*) filter (rk<=k) h
 round(count(*) filter (rk<=k)/count(*),3) accuracy {_RANKED.format('rank_m')} group by k""")
 
 
+def _sample_lines(samples: DataFrame, tail: list[str]) -> str:
+    path = _path(samples.sparkSession, "sample-lines")
+    sinks.sample_text(samples, BASE_KINDS, tail).write.text(path)
+    return path
+
+
+TAIL = ["target", "st", "idx", "weekday", "holiday"]
+
+
+def _text_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = plans.last_irregular_samples(stored_trips(spark, sf_dir))
+    return readers.read_samples(spark, _sample_lines(plans.samples_base_dense(s, v.N), TAIL))
+
+
+@query
+def text_markov_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From sample text to the accuracy of every k."""
+    return predict.accuracy_curve(plans.text_markov_ranks(_text_samples(spark, sf_dir)), MAX_K)
+
+
+ORACLES["text_markov_accuracy"] = ORACLES["markov_accuracy"]
+
+
+@query
+def text_empirical_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict.accuracy_curve(plans.text_empirical_ranks(_text_samples(spark, sf_dir)), MAX_K)
+
+
+ORACLES["text_empirical_accuracy"] = ORACLES["accuracy_curve"]
+
+
+@query
+def text_top_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best three stations of each sample line, zeros included."""
+    rows = _text_samples(spark, sf_dir)
+    return rows.select("os", "target", "idx", vector_text(predict.vector_top(F.col("visits"), 3)).alias("top"))
+
+
+oracle("text_top_visits", """select l.os, l.target, cast(l.idx as int) idx, array_to_string(list(r.station order by r.rk),',') top from last l
+join rank_e r on r.event_id=l.event_id where r.rk<=3 group by l.event_id, l.os, l.target, l.idx""")
+
+
+@query
+def text_multi_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several samples per traveller, as lines with the traveller number and read again."""
+    s = plans.multi_samples(stored_trips(spark, sf_dir))
+    rows = readers.read_samples(spark, _sample_lines(plans.samples_multi_dense(s, v.N), [*TAIL, "traveller"]))
+    for kind in BASE_KINDS:
+        rows = rows.withColumn(kind, vector_text(_whole(kind, 100_000 if kind.startswith("group") else 1)))
+    return rows
+
+
+_HEADER = "s.os, s.target, cast(hour(s.ot)//2 as int) st, cast(s.idx as int) idx"
+oracle("text_multi_samples", f"""select {_HEADER}, {FLAGS}, {', '.join(_dense(k, 100000 if k.startswith('group') else 1) for k in BASE_KINDS)},
+cast(any_value(n.traveller) as int) traveller from multi s left join base_multi f on f.event_id=s.event_id join {_NUMBERED} n on n.id=s.id
+group by s.id, s.event_id, s.os, s.target, s.ot, s.idx""")
+
+
+@query
+def text_personal_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal routes from text alone: trips, device records, the id map, stations and paths."""
+    known = readers.read_stations(spark, _station_lines(spark, sf_dir))
+    named = v.trips(spark, sf_dir)
+    for end in ("os", "ds"):
+        named = named.join(v.stations(spark, sf_dir).select(F.col("station").alias(end), F.col("name").alias(f"{end}_name")), end)
+    lines = _lines(named, "all-trips", "id", _time("ot"), "os_name", "21", _time("dt"), "ds_name", "22")
+    trips = stage(readers.code_names(readers.read_trips(spark, lines), known, {"os_name": "os", "ds_name": "ds"}).rows, "text-trips")
+    ap = stage(readers.code_names(readers.read_ap(spark, _ap_lines(spark, sf_dir)), known, {"station_name": "station"}).rows, "text-ap")
+    idmap = readers.read_idmap(spark, _lines(v.idmap(spark, sf_dir), "idmap", "id", "ap_id", "'x'", "score"))
+    paths = path_numbers(readers.read_paths(spark, _path_lines(spark, sf_dir)))
+    found = route_plans.personal_routes_job(trips, ap, idmap, paths)
+    return found.withColumn("id", F.col("id").cast("bigint")).withColumn("ratio", F.round("ratio", 9))
+
+
+oracle("text_personal_routes", """select r.id, r.os, r.ds, p.no path_no, r.transfers, r.ratio, r.counts from
+(select m.id, m.os, m.ds, m.path_no, m.transfers, round(count(*)/sum(count(*)) over (partition by m.id,m.os,m.ds),9) ratio,
+concat(count(*),'/',sum(count(*)) over (partition by m.id,m.os,m.ds)) counts
+from matched m join freq f on f.id=m.id and f.os=m.os and f.ds=m.ds group by m.id, m.os, m.ds, m.path_no, m.transfers) r
+join (select os, ds, path_no, cast(row_number() over (partition by os, ds order by cost, array_to_string(st,' ')) as int) no from paths) p
+on p.os=r.os and p.ds=r.ds and p.path_no=r.path_no""")
+
+
+@query
+def text_trip_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From taps and stations in text to coded trips and the destination shares of their origins."""
+    at = _lines(v.taps(spark, sf_dir), "all-taps", "id", _time("ts"), v.NAMED.format("station"), "'subway'", "fare")
+    names = _lines(v.taps(spark, sf_dir), "names", "station", v.NAMED.format("station"))
+    paired = tap_trips(readers.read_taps(spark, at), readers.read_station_tuples(spark, names).distinct())
+    return flows.od_share(paired)
+
+
+CTES["tap_next"] = "select id, station os, lead(station) over w ds, fare, lead(fare) over w n_fare from taps window w as (partition by id order by ts, tap_id)"
+oracle("text_trip_shares", """select os, ds, count(*) cnt, round(count(*)/sum(count(*)) over (partition by os),5) ratio from tap_next where fare=0 and n_fare>0 group by os, ds""")
+
+
+@query
+def dropped_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names outside the dictionary in traces, intervals and transfer stations, each listed by the pass that drops them."""
+    known = v.stations(spark, sf_dir).filter("station % 4 <> 1")
+    inputs = {
+        "ap": (readers.read_ap(spark, _ap_lines(spark, sf_dir)), {"station_name": "station"}),
+        "interval": (readers.read_od_interval(spark, _interval_lines(spark, sf_dir)), {"os_name": "os", "ds_name": "ds"}),
+        "transfer": (readers.read_transfer_stations(spark, _transfer_lines(spark, sf_dir)), {"name": "station"}),
+    }
+    out = None
+    for kind, (rows, columns) in inputs.items():
+        coded = readers.code_names(rows, known, columns)
+        part = coded.dropped.select(F.lit(kind).alias("kind"), "name", "uses", F.lit(coded.counts["n_rows"]).cast("bigint").alias("n_rows"), F.lit(coded.counts["n_dropped"]).cast("bigint").alias("n_dropped"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+oracle("dropped_names", """select 'ap' kind, s.name, count(*) uses, (select count(*) from ap) n_rows, (select count(*) from ap where station%4=1) n_dropped
+from ap a join stations s on s.station=a.station where s.station%4=1 group by s.name
+union all select 'interval', s.name, count(*), (select count(*) from od_interval), (select count(*) from od_interval where os%4=1 or ds%4=1)
+from (select os station from od_interval union all select ds from od_interval) o join stations s using (station) where s.station%4=1 group by s.name
+union all select 'transfer', s.name, count(*), (select count(*) from transfer_stations), (select count(*) from transfer_stations where station%4=1)
+from transfer_stations t join stations s using (station) where s.station%4=1 group by s.name""")
+
+
 # ---- sinks, read back by Spark's own readers
 @query
 def sink_csv(spark: SparkSession, sf_dir: str) -> DataFrame:

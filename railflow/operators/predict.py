@@ -1,7 +1,8 @@
 """Destination baselines and their accuracy.
 
 A baseline ranks all stations by a feature value, the higher code first among equal values,
-zeros included. The target's rank alone decides every k at once, so no vector is built.
+zeros included. The target's rank alone decides every k at once, so no vector is built; samples that
+come as vectors (from text) are ranked on their vectors.
 """
 
 from __future__ import annotations
@@ -26,9 +27,31 @@ def target_ranks(samples: DataFrame, cells: DataFrame, n_stations: int) -> DataF
     per_sample = marked.withColumn("mine", mine).groupBy(*KEY, "target", "mine").agg(
         count(beats).alias("ahead"), count(F.col("station") > F.col("target")).alias("higher")
     )
+    outside = F.raise_error(F.lit(f"a target code is outside 0..{n_stations - 1}")).cast("bigint")
     # a target without a value also stands behind the higher codes that have none
     zeros = F.when(F.col("mine") > 0, F.lit(0)).otherwise(F.lit(n_stations - 1) - F.col("target") - F.col("higher"))
-    return per_sample.select(*KEY, "target", (F.col("ahead") + zeros + 1).alias("rank"))
+    rank = F.when(F.col("target").between(0, n_stations - 1), F.col("ahead") + zeros + 1).otherwise(outside)
+    return per_sample.select(*KEY, "target", rank.alias("rank"))
+
+
+def vector_rank(vector: Column, target: Column) -> Column:
+    """Place of the entry ``target`` when a dense vector is ranked, the higher index first among equal values; one pass
+    without sorting. A target outside the vector fails."""
+    mine = F.get(vector, target)
+    beats = F.filter(vector, lambda v, i: (v > mine) | ((v == mine) & (i > target)))
+    outside = F.raise_error(F.concat(F.lit("a target code is outside 0.."), (F.size(vector) - 1).cast("string"))).cast("bigint")
+    return F.when((target >= 0) & (target < F.size(vector)), F.size(beats).cast("bigint") + 1).otherwise(outside)
+
+
+def vector_top(vector: Column, k: int) -> Column:
+    """Indices of the ``k`` greatest entries of a dense vector, the higher index first among equal values."""
+    ranked = F.sort_array(F.transform(vector, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), asc=False)
+    return F.transform(F.slice(ranked, 1, k), lambda e: e["i"])
+
+
+def markov_vector(period: Column, group: Column) -> Column:
+    """The vector that the Markov baseline ranks: the traveller's own counts of the period, or the group shares where there are none."""
+    return F.when(F.exists(period, lambda v: v != 0), period).otherwise(group)
 
 
 def top_stations(cells: DataFrame, k: int) -> DataFrame:

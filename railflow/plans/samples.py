@@ -130,6 +130,11 @@ def samples_multi(s: SampleSet) -> DataFrame:
     return samples_base(s).join(feat.traveller_number(s.drawn), "id")
 
 
+def samples_multi_dense(s: SampleSet, n_stations: int, holidays: Iterable[int] = HOLIDAYS) -> DataFrame:
+    """One row per sample with five vectors and the traveller number."""
+    return samples_base_dense(s, n_stations, holidays).join(feat.traveller_number(s.drawn), "id")
+
+
 def markov_ranks(s: SampleSet, n_stations: int) -> DataFrame:
     by_origin = stage(predict.origin_ranks(flows.od_share(s.trips), n_stations), "origin_ranks")
     return predict.markov_ranks(s.rows, s.personal("period"), by_origin, n_stations)
@@ -139,39 +144,46 @@ def empirical_ranks(s: SampleSet, n_stations: int) -> DataFrame:
     return predict.target_ranks(s.rows, s.personal("visits"), n_stations)
 
 
+def text_markov_ranks(samples: DataFrame) -> DataFrame:
+    """Markov ranks of dense samples, as ``readers.read_samples`` gives them."""
+    vector = predict.markov_vector(F.col("period"), F.col("group_day"))
+    return samples.select("os", "target", "st", "idx", predict.vector_rank(vector, F.col("target")).alias("rank"))
+
+
+def text_empirical_ranks(samples: DataFrame) -> DataFrame:
+    """Empirical ranks of dense samples, as ``readers.read_samples`` gives them."""
+    return samples.select("os", "target", "st", "idx", predict.vector_rank(F.col("visits"), F.col("target")).alias("rank"))
+
+
 def sequence_samples(trips: DataFrame, stations: DataFrame, k: int) -> DataFrame:
     """The k trips before every trip from the busiest origin, then that trip, with positions.
 
-    Only codes and times go through the shuffle; the positions, a dictionary of the network's
-    stations, are looked up on the samples alone.
+    Only codes and times go through the scan; the positions are joined to the trips of the samples alone, one row per
+    trip of a prefix, and put back in order.
     """
     top = flows.top_origin(trips).select("os").scalar()
     found = feat.previous_trips(trips.select("id", "event_id", "ot", "os", "ds"), k, F.col("os") == top, ["ot", "os", "ds"])
-    at = F.map_from_entries(F.collect_list(F.struct("station", F.struct("lon", "lat"))))
-    positions = stations.agg(at.alias("at")).scalar()
-    located = found.withColumn("_at", positions)
-
-    def place(code: Column, prefix: str) -> list[Column]:
-        spot = F.try_element_at("_at", code)
-        return [spot["lon"].alias(f"{prefix}_lon"), spot["lat"].alias(f"{prefix}_lat")]
-
-    def step(p: Column) -> Column:
-        morning, evening, normal = peak_flags(p["ot"])
-        return F.struct(
-            *place(p["os"], "o"),
-            *place(p["ds"], "d"),
-            morning.alias("mp"),
-            evening.alias("ep"),
-            normal.alias("normal"),
-            (~is_weekday(p["ot"])).cast("int").alias("weekend"),
-        )
-
-    return located.select(
-        *feat.KEY,
-        F.transform("prefix", step).alias("prefix"),
-        *place(F.col("os"), "o"),
-        F.dayofweek("ot").alias("day_of_week"),
-        quarter_of_day(F.col("ot")).alias("quarter"),
-        *place(F.col("ds"), "d"),
-        F.lit(k).alias("k"),
+    own = F.struct(F.lit(k).alias("at"), "ot", "os", "ds")
+    steps = F.transform("prefix", lambda p, i: F.struct(i.alias("at"), p["ot"].alias("ot"), p["os"].alias("os"), p["ds"].alias("ds")))
+    flat = found.select(*feat.KEY, F.inline(F.concat(steps, F.array(own))))
+    for end, prefix in (("os", "o"), ("ds", "d")):
+        spots = stations.select(F.col("station").alias(end), F.col("lon").alias(f"{prefix}_lon"), F.col("lat").alias(f"{prefix}_lat"))
+        flat = flat.join(spots, end, "left")
+    morning, evening, normal = peak_flags(F.col("ot"))
+    step = F.struct(
+        "at", "o_lon", "o_lat", "d_lon", "d_lat", morning.alias("mp"), evening.alias("ep"), normal.alias("normal"),
+        (~is_weekday(F.col("ot"))).cast("int").alias("weekend"),
+    )
+    last = F.col("at") == k
+
+    def of_last(value: Column | str) -> Column:
+        return F.max(F.when(last, value if isinstance(value, Column) else F.col(value)))
+
+    rows = flat.groupBy(*feat.KEY).agg(  # k + 1 rows a sample
+        F.sort_array(F.collect_list(F.when(~last, step))).alias("prefix"),
+        *[of_last(c).alias(c) for c in ("o_lon", "o_lat", "d_lon", "d_lat")],
+        of_last(F.dayofweek("ot")).alias("day_of_week"),
+        of_last(quarter_of_day(F.col("ot"))).alias("quarter"),
     )
+    kept = F.transform("prefix", lambda p: p.dropFields("at"))
+    return rows.select(*feat.KEY, kept.alias("prefix"), "o_lon", "o_lat", "day_of_week", "quarter", "d_lon", "d_lat", F.lit(k).alias("k"))

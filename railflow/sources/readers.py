@@ -5,11 +5,14 @@ Malformed numbers and times become null instead of failing the job; ``bad_rows``
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from railflow.functions.time import parse_time
 from railflow.functions.vectors import parse_vector
+from railflow.staging import stage
 
 SUBWAY = "地铁"  # fixed value: the transport mode kept from raw taps
 
@@ -21,12 +24,10 @@ def _fields(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataF
 
 
 def _numbered(lines: DataFrame) -> DataFrame:
-    """The lines with ``no``, an id of its own for each, also for equal lines: a hash of the line and its occurrence.
+    """The lines with ``no``, an id of its own for each, also for equal lines: its place in the split and order of the files.
 
-    Equal lines are counted before the shuffle and told apart afterwards; the id depends on the lines alone."""
-    counted = lines.groupBy("value").agg(F.first("f").alias("f"), F.count(F.lit(1)).alias("_n"))
-    nth = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))
-    return counted.select("value", "f", nth.alias("_i")).select("f", F.xxhash64("value", "_i").alias("no"))
+    Nothing is shuffled; the same files read with the same split size get the same ids."""
+    return lines.select("f", F.monotonically_increasing_id().alias("no"))
 
 
 def _at(i: int) -> Column:
@@ -85,7 +86,8 @@ def read_taps(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_raw_taps(spark: SparkSession, path: str | list[str], mode: str = SUBWAY) -> DataFrame:
     """``id,date,time,station,mode,fare,discount`` rows of one mode, by card and time."""
     return (
-        _numbered(_fields(spark, path).filter(_at(4) == mode))
+        _numbered(_fields(spark, path))
+        .filter(_at(4) == mode)
         .select(
             _at(0).alias("id"),
             F.col("no").alias("tap_id"),
@@ -169,7 +171,36 @@ def bad_rows(df: DataFrame, *required: str) -> int:
     return df.filter(missing).count()
 
 
+@dataclass
+class Coded:
+    """``rows`` with codes instead of names; ``dropped`` lists the names without a code (``name``, ``uses``); ``counts`` has the
+    numbers of all and of dropped rows (``n_rows``, ``n_dropped``), known without a further job."""
+
+    rows: DataFrame
+    dropped: DataFrame
+    counts: dict[str, int]
+
+
+def code_names(df: DataFrame, stations: DataFrame, columns: dict[str, str]) -> Coded:
+    """Replace station names by codes; ``columns`` maps the columns of names to the columns of codes.
+
+    One pass over ``df`` writes both what can be coded and, in a folder of its own, what cannot."""
+    for name, code in columns.items():
+        df = df.join(stations.select(F.col("station").alias(code), F.col("name").alias(name)), name, "left")
+    unknown = F.lit(False)
+    for code in columns.values():
+        unknown = unknown | F.col(code).isNull()
+    seen = Observation()
+    marked = df.withColumn("_unknown", unknown).observe(
+        seen, F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("_unknown"), 1)).alias("n_dropped")
+    )
+    written = stage(marked, "coded", by="_unknown")
+    missing = F.array_compact(F.array(*[F.when(F.col(code).isNull(), F.coalesce(F.col(name), F.lit(""))) for name, code in columns.items()]))
+    side = written.filter("_unknown").select(F.explode(missing).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("uses"))
+    return Coded(written.filter("not _unknown").drop("_unknown", *columns), side, seen.get)
+
+
 def name_to_code(df: DataFrame, stations: DataFrame, column: str = "station_name", code: str = "station") -> DataFrame:
-    """Replace a station name column by its code; unknown names drop out."""
+    """Replace a station name column by its code; unknown names drop out, ``code_names`` lists them."""
     lookup = stations.select(F.col("station").alias(code), F.col("name").alias(column))
     return df.join(lookup, column).drop(column)

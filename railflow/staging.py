@@ -31,13 +31,13 @@ def stage_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/railflow/{spark.sparkContext.applicationId}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and return a reader of the written rows."""
+def stage(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once and return a reader of the written rows; ``by`` puts the rows of each value in a folder of their own."""
     path = f"{stage_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     made = _MADE.get()
     if made is not None:
         made.append(path)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
