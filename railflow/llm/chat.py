@@ -3,10 +3,10 @@
 Messages have a conversation, a turn, a role and content; a call has a call id, a tool name and JSON
 arguments; a result (role ``tool``) names the call it answers. Calls and results of one id meet in one
 hash aggregate and join back to the messages by (conversation, id). In the order of a conversation
-a result comes behind its call, even if its turn is earlier: the order is by (turn, or the call's turn if that
-is later), then calls before results. Places come from a range partitioning of that order, so one long
+a result comes behind its call, even if its turn is earlier. Calls have no other predecessors, so two levels are a
+topological order: by (turn, or the call's turn if that is later), then calls before the results moved behind them. Places come from a range partitioning of that order, so one long
 conversation is spread over tasks. Arguments are checked against the tools' schemas, and every
-message is one line of canonical JSON: sorted keys, no white space.
+message is one line of canonical JSON: sorted keys, no white space, each number in one form.
 
 Defined cases: null conversations are one conversation; messages without a call id are only placed; a
 result without a call is an ``orphan``, a call without a result ``unanswered``, an id with several calls or results
@@ -24,21 +24,48 @@ from railflow.skew import global_index
 
 #: Variant types of the schema types.
 _TYPES = {
-    "string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DECIMAL", "DOUBLE", "FLOAT"], "boolean": ["BOOLEAN"], "array": ["ARRAY"],
-    "object": ["OBJECT"],
+    "string": "^STRING", "integer": "^(BIGINT|DECIMAL\\([0-9]+,0\\))", "number": "^(BIGINT|DECIMAL|DOUBLE|FLOAT)", "boolean": "^BOOLEAN", "array": "^ARRAY",
+    "object": "^OBJECT",
 }
 
 #: tool -> field -> rules: ``type``, ``required``, ``min``, ``max``, ``min_length``, ``max_length``.
 Schemas = dict[str, dict[str, dict]]
 
 
+def _path(name: str) -> str:
+    for quote in ("'", '"'):
+        if quote not in name:
+            return f"$[{quote}{name}{quote}]"
+    raise ValueError(f"a field name with both kinds of quotes: {name}")
+
+
+def canonical_numbers(json: Column) -> Column:
+    """Valid JSON text with every number in one form: plain digits without trailing zeros as long as 38 digits hold it, the
+    shortest double beyond; integers stay exact. Strings stay as they are."""
+    hidden = F.replace(F.replace(json, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))  # raw control characters are not in JSON
+
+    def number(token: Column) -> Column:
+        exact, whole, double = (token.try_cast(t) for t in ("decimal(38,18)", "decimal(38,0)", "double"))
+        plain = F.regexp_replace(exact.cast("string"), "\\.?0+$", "")
+        as_double = F.when(whole.isNotNull() & (whole.cast("double") == double), whole.cast("string")).otherwise(double.cast("string"))
+        fits = exact.isNotNull() & ((exact.cast("double") == double) | (double == 0))
+        shown = F.when(fits, F.when(exact == 0, F.lit("0")).otherwise(plain)).otherwise(as_double)
+        return F.when(token.rlike("^-?[0-9]+$") & (token != "-0"), token).when(token.rlike("^-?[0-9]"), shown).otherwise(token)
+
+    def outside(part: Column) -> Column:
+        return F.array_join(F.transform(F.regexp_extract_all(part, F.lit("[^,:\\[\\]{}]+|[,:\\[\\]{}]"), F.lit(0)), number), "")
+
+    parts = F.transform(F.split(hidden, '"'), lambda s, i: F.when(i % 2 == 1, s).otherwise(outside(s)))  # every other part is a string
+    return F.replace(F.replace(F.array_join(parts, '"'), F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+
+
 def _field_errors(v: Column, name: str, rules: dict) -> Column:
     """Array of the errors of one field."""
-    got = F.try_variant_get(v, f"$['{name}']", "variant")
-    kind = F.regexp_extract(F.schema_of_variant(got), "^[A-Z]+", 0)
-    right = kind.isin(_TYPES[rules["type"]])
-    value = F.try_variant_get(v, f"$['{name}']", "double")
-    length = F.length(F.try_variant_get(v, f"$['{name}']", "string"))
+    at = _path(name)
+    got = F.try_variant_get(v, at, "variant")
+    right = F.schema_of_variant(got).rlike(_TYPES[rules["type"]])
+    value = F.try_variant_get(v, at, "double")
+    length = F.length(F.try_variant_get(v, at, "string"))
     bad = F.lit(False)
     for rule, test in (
         ("min", lambda x: value < x), ("max", lambda x: value > x), ("min_length", lambda x: length < x), ("max_length", lambda x: length > x),
@@ -93,7 +120,7 @@ def link(messages: DataFrame, schemas: Schemas) -> DataFrame:
     message = (
         F.when(F.col("kind") == "message", F.to_json(F.struct(content, role)))
         .when(result, F.to_json(F.struct("call_id", content, role)))
-        .when(is_object, F.to_json(F.struct(v.alias("arguments"), "call_id", content, "name", role)))
+        .when(is_object, canonical_numbers(F.to_json(F.struct(v.alias("arguments"), "call_id", content, "name", role))))
         .otherwise(F.to_json(F.struct("arguments", "call_id", content, "name", role)))
     )
     rows = met.unionByName(plain).select(

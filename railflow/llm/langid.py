@@ -237,10 +237,9 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS)
 
 
 def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
-    """Per row of ``docs`` (columns other than ``text`` are passed on): ``lang_pred``, ``score`` (share of the letters
+    """Per row of ``docs``: ``doc`` (its columns other than ``text``), ``lang_pred``, ``score`` (share of the letters
     that carry the label) and ``spans`` of labels in code points."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages times 2**16 slots
-    others = [c for c in docs.columns if c != "text"]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,9 +268,9 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
                     ["doc", "lang_pred", "score", "spans"],
                 )
 
-    doc = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("doc"), "text")
+    doc = ts.with_doc(docs)
     more = "lang_pred string, score double, spans array<struct<start: bigint, end: bigint, lang: string>>"
-    return doc.mapInArrow(label, StructType([doc.schema["doc"], *StructType.fromDDL(more).fields])).select("doc.*", "lang_pred", "score", "spans")
+    return doc.mapInArrow(label, StructType([doc.schema["doc"], *StructType.fromDDL(more).fields]))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -279,4 +278,4 @@ def digest(docs: DataFrame) -> DataFrame:
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
     own = docs.select("doc_id", "text", "lang", F.coalesce(held, F.lit(False)).alias("held_out"))
     model = train(own.filter("not held_out"))
-    return predict(own.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score", "spans")
+    return predict(own.select("doc_id", "text", "held_out"), model).select("doc.doc_id", "doc.held_out", "lang_pred", "score", "spans")

@@ -1,6 +1,6 @@
 """Phrase collocation mining (12): weighted acyclic automata count the phrases of each language.
 
-A task cuts its texts into shards and counts the n-grams of a shard. The sorted n-grams, each behind its language,
+A task cuts its texts into shards of several slices and counts the n-grams of a shard. The sorted n-grams, each behind its language,
 become count transducers, one per prefix range: acyclic automata over words whose last arcs weigh the count, minimised
 layer by layer from the right, so that equal continuations are kept once. A range holds the n-grams whose language and first
 two words hash into it; so no sample is needed to cut even ranges, and a hot first word is spread by its second.
@@ -35,7 +35,7 @@ LONGEST = 4
 MIN_COUNT = 30
 TOP = 2000
 INSIDE = 80  # percent of a phrase's occurrences
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 8 << 20
 FOLD = 300_000  # paths that wait for the union
 BLOCK = 100_000  # look-ups of a range that one group takes
 COUNTED = "lang string, phrase string, f bigint, h bigint"
@@ -48,6 +48,7 @@ _WORD[[32, 9]] = False
 
 def group_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Number of the group of equal rows, in the order of the rows' values, and one row of each group; exact."""
+    columns = [c.astype(np.int64) for c in columns]
     _, one, number = np.unique(columns[0], return_index=True, return_inverse=True)
     for column in columns[1:]:
         many = int(column.max(initial=0)) + 1
@@ -119,25 +120,39 @@ class Automaton:
         return np.where(alive, self.weight[arc], 0) if len(self.weight) else np.zeros(len(at), np.int64)
 
     def dump(self) -> bytes:
-        head = [len(self.layers)]
-        body = []
-        for off, label, target in self.layers:
-            head += [len(off), len(label)]
-            body += [x.astype(np.int32).tobytes() for x in (off, label, target)]
-        return b"".join([np.array(head, np.int32).tobytes(), *body, self.weight.astype(np.int64).tobytes()])
+        body = [_packed(np.array([len(self.layers)]))]
+        for d, (off, label, target) in enumerate(self.layers):
+            body += [_packed(np.diff(off)), _packed(label)]
+            if d < len(self.layers) - 1:  # the last arcs lead to the one final state
+                body.append(_packed(target))
+        return b"".join([*body, _packed(self.weight)])
 
     @staticmethod
     def load(data: bytes) -> Automaton:
-        depth = int(np.frombuffer(data, np.int32, 1)[0])
-        sizes = np.frombuffer(data, np.int32, 2 * depth, 4)
-        at, layers = 4 + 8 * depth, []
-        for d in range(depth):
-            layer = []
-            for n in (int(sizes[2 * d]), int(sizes[2 * d + 1]), int(sizes[2 * d + 1])):
-                layer.append(np.frombuffer(data, np.int32, n, at).astype(np.int64))
-                at += 4 * n
-            layers.append((layer[0], layer[1], layer[2]))
-        return Automaton(layers, np.frombuffer(data, np.int64, len(layers[-1][1]), at))
+        depth, at = _unpacked(data, 0)
+        layers = []
+        for d in range(int(depth[0])):
+            size, at = _unpacked(data, at)
+            label, at = _unpacked(data, at)
+            target, at = _unpacked(data, at) if d < depth[0] - 1 else (np.zeros(len(label), np.int64), at)
+            layers.append((np.append(0, np.cumsum(size)), label, target))
+        return Automaton(layers, _unpacked(data, at)[0])
+
+
+_WIDTHS = (np.uint8, np.uint16, np.uint32, np.int64)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 on in the narrowest of four widths, behind width and length."""
+    width = sum(int(x.max(initial=0)) > np.iinfo(t).max for t in _WIDTHS[:3])
+    return np.array([width, len(x)], np.int32).tobytes() + x.astype(_WIDTHS[width]).tobytes()
+
+
+def _unpacked(data: bytes, at: int) -> tuple[np.ndarray, int]:
+    """The numbers packed at a place, and the place behind them."""
+    width, n = np.frombuffer(data, np.int32, 2, at).tolist()
+    kind = np.dtype(_WIDTHS[width])
+    return np.frombuffer(data, kind, n, at + 8).astype(np.int64), at + 8 + n * kind.itemsize
 
 
 def _equal_states(off: np.ndarray, label: np.ndarray, target: np.ndarray, weight: np.ndarray | None) -> np.ndarray:
@@ -183,21 +198,40 @@ def phrase_hashes(lang: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
 
 
 class _Shard:
-    """Words of a slice: ``word`` numbers in ``words``, ``lang`` numbers in ``langs``, ``left`` words up to the end of the piece."""
+    """Words of some slices: ``word`` numbers in ``words``, ``lang`` numbers in ``langs``, ``left`` words up to the end of the piece
+    (``LONGEST`` stands for more)."""
+
+    def __init__(self) -> None:
+        self.size = 0
+        self.number: tuple[dict[bytes, int], dict[bytes, int]] = ({}, {})
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def _numbers(self, which: int, names: pa.Array) -> np.ndarray:
+        known = self.number[which]
+        return np.array([known.setdefault(x, len(known)) for x in names.to_numpy(zero_copy_only=False).tolist()], np.int32)
 
-    def __init__(self, s: ts.Slice, lang: pa.Array):
+    def add(self, s: ts.Slice, lang: pa.Array, longest: int) -> None:
+        self.size += len(s.buf)
         starts, ends = s.runs(_WORD[s.buf])
-        self.words, self.word = ts.distinct(ts.LOWER[s.buf], starts, ends)
+        if not len(starts):
+            return
+        words, word = ts.distinct(ts.LOWER[s.buf], starts, ends)
         text = ts.owner(s.per_text(starts))
         coded = lang.cast(pa.large_binary()).dictionary_encode()
-        self.langs, self.lang = coded.dictionary, np.asarray(coded.indices).astype(np.int64)[text]
-        breaks = np.zeros(len(s.buf) + 1, np.int64)
+        breaks = np.zeros(len(s.buf) + 1, np.int32)
         np.cumsum(_BREAK[s.buf], out=breaks[1:])
         cut = np.ones(len(starts) + 1, bool)
-        if len(starts):
-            cut[1:-1] = (text[1:] != text[:-1]) | (breaks[starts[1:]] > breaks[ends[:-1]])
+        cut[1:-1] = (text[1:] != text[:-1]) | (breaks[starts[1:]] > breaks[ends[:-1]])
         at = np.flatnonzero(cut)
-        self.left = at[np.searchsorted(at, np.arange(len(starts)), "right")] - np.arange(len(starts)) if len(starts) else starts
+        left = np.repeat(at[1:], np.diff(at)) - np.arange(len(starts))
+        langs = self._numbers(1, coded.dictionary)[np.asarray(coded.indices)]
+        self.parts.append((self._numbers(0, words)[word], langs[text], np.minimum(left, longest).astype(np.int8)))
+
+    def close(self) -> None:
+        empty = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int8))]
+        self.word, self.lang, self.left = (np.concatenate(x) for x in zip(*(self.parts or empty), strict=True))
+        self.parts = []
+        self.words, self.langs = (pa.array(list(x), pa.large_binary()) for x in self.number)
         self.word_hash, self.lang_hash = word_hashes(self.words), word_hashes(self.langs)
 
     def hashes(self, at: np.ndarray, k: int) -> np.ndarray:
@@ -214,32 +248,40 @@ class _Shard:
         return at[good[at] & good[at + 1]]
 
 
-def _shards(docs: DataFrame, k: int, frequent: linking.Filter | None, ranges: int) -> DataFrame:
-    """(``range``, ``words``, ``ends``, ``automaton``): the count transducers of the ``k``-grams of each shard."""
+def _shards(docs: DataFrame, k: int, longest: int, frequent: linking.Filter | None, ranges: int) -> DataFrame:
+    """(``range``, ``words``, ``sizes``, ``automaton``): the count transducers of the ``k``-grams of each shard."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # 8 MB
 
+    def transducers(x: _Shard) -> Iterator[pa.RecordBatch]:
+        x.close()
+        at = x.places(k, shared.value)
+        if not len(at):
+            return
+        columns = [x.lang[at], *(x.word[at + j] for j in range(k))]
+        number, one = group_rows(columns)
+        count = np.bincount(number)
+        columns = [c[one] for c in columns]
+        prefix = phrase_hashes(x.lang_hash[columns[0]], [x.word_hash[c] for c in columns[1:3]])
+        own = ((prefix >> ts.U(32)) * ts.U(ranges) >> ts.U(32)).astype(np.int64)
+        order = np.argsort(own, kind="stable")  # within a range the rows stay in ascending order
+        edges = np.flatnonzero(np.diff(own[order])) + 1
+        rows = [_row(int(own[part[0]]), x, [c[part] for c in columns], count[part]) for part in np.split(order, edges)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))],
+            ["range", "words", "sizes", "automaton"],
+        )
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = _Shard()
         for batch in batches:
-            for s in ts.slices(batch.column(1), SHARD_BYTES):
-                x = _Shard(s, batch.column(0).slice(s.first, s.n))
-                at = x.places(k, shared.value)
-                if not len(at):
-                    continue
-                columns = [x.lang[at], *(x.word[at + j] for j in range(k))]
-                number, one = group_rows(columns)
-                count = np.bincount(number)
-                columns = [c[one] for c in columns]
-                prefix = phrase_hashes(x.lang_hash[columns[0]], [x.word_hash[c] for c in columns[1:3]])
-                own = ((prefix >> ts.U(32)) * ts.U(ranges) >> ts.U(32)).astype(np.int64)
-                order = np.argsort(own, kind="stable")  # within a range the rows stay in ascending order
-                edges = np.flatnonzero(np.diff(own[order])) + 1
-                rows = [_row(int(own[part[0]]), x, [c[part] for c in columns], count[part]) for part in np.split(order, edges)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))],
-                    ["range", "words", "ends", "automaton"],
-                )
-
-    return docs.mapInArrow(scan, "range int, words binary, ends binary, automaton binary")
+            for s in ts.slices(batch.column(1)):
+                shard.add(s, batch.column(0).slice(s.first, s.n), longest)
+                if shard.size >= SHARD_BYTES:
+                    yield from transducers(shard)
+                    shard = _Shard()
+        yield from transducers(shard)
+
+    return docs.mapInArrow(scan, "range int, words binary, sizes binary, automaton binary")
 
 
 def _row(number: int, x: _Shard, columns: list[np.ndarray], count: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
@@ -247,8 +289,8 @@ def _row(number: int, x: _Shard, columns: list[np.ndarray], count: np.ndarray) -
     langs, words = np.unique(columns[0]), np.unique(np.concatenate(columns[1:]))
     labels = [np.searchsorted(langs, columns[0]), *(len(langs) + np.searchsorted(words, c) for c in columns[1:])]
     names = pa.concat_arrays([x.langs.take(pa.array(langs)), x.words.take(pa.array(words))])
-    buf, _, ends = ts.spans_of(names)
-    return number, buf[: int(ends[-1])].tobytes(), ends.astype(np.int32).tobytes(), Automaton.of_sorted(labels, count).dump()
+    buf, starts, ends = ts.spans_of(names)
+    return number, buf[: int(ends[-1])].tobytes(), _packed(ends - starts), Automaton.of_sorted(labels, count).dump()
 
 
 class _Union:
@@ -259,8 +301,8 @@ class _Union:
         self.rows: list[tuple[list[np.ndarray], np.ndarray]] = []
         self.waiting = 0
 
-    def add(self, words: bytes, ends: bytes, automaton: bytes) -> None:
-        at = np.append(0, np.frombuffer(ends, np.int32)).astype(np.int64)
+    def add(self, words: bytes, sizes: bytes, automaton: bytes) -> None:
+        at = np.append(0, np.cumsum(_unpacked(sizes, 0)[0]))
         self.names.append(pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(words)]))
         self.rows.append(Automaton.load(automaton).paths())
         self.waiting += len(self.rows[-1][1])
@@ -326,12 +368,14 @@ def count_phrases(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_
     """Frequent phrases of 1 to ``longest`` words (``lang``, ``phrase``, ``f``, ``h``), and ``n`` per ``lang``: all word occurrences.
 
     ``docs``: its first column is the language, its second the text."""
+    lang, text = (F.col(f"`{c}`") for c in docs.columns[:2])
+    docs = docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), text.alias("text"))
     ranges = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found: list[DataFrame] = []
     totals = None
     for k in range(1, longest + 1):
         frequent = linking.membership_filter(found[-1], "h") if found else None
-        shards = stage(_shards(docs, k, frequent, ranges), f"transducers-{k}")
+        shards = stage(_shards(docs, k, longest, frequent, ranges), f"transducers-{k}")
         counted = stage(_counted(shards, min_count, k == 1), f"phrases-{k}")
         if totals is None:
             totals = counted.filter("phrase is null").groupBy("lang").agg(F.sum("f").alias("n"))
@@ -428,8 +472,7 @@ def collocations(
 ) -> DataFrame:
     """Each language's best phrases: ``lang``, ``rank``, ``phrase``, ``a`` (occurrences), ``l`` and ``r`` (of the two parts of
     the cut that counts), ``n`` (words of the language) and ``score``; ``docs`` has columns ``lang`` and ``text``."""
-    own = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    found, totals = count_phrases(own, longest, min_count)
+    found, totals = count_phrases(docs.select("lang", "text"), longest, min_count)
     counts = candidates = None
     for k, x in enumerate(found, 1):
         x = x.select("lang", "phrase", "f")

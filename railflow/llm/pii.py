@@ -4,8 +4,9 @@ Rules for e-mail addresses, IP addresses, card and phone numbers give the base s
 generators propose more, overlapping spans: obfuscated addresses, numbers grouped in other ways,
 phone numbers without a country code, IPv6 addresses. One model of boosted trees per kind sees the format
 of a span and its surroundings. It learns from the corpus itself: base spans, and the same spans
-rewritten in the ways the generators know, are examples; candidates that no base span touches, and
-base spans spoilt so that they are none, are the counter-examples. On held-out examples the scores are calibrated by Platt's method; a span is added when its
+rewritten in the ways the generators know, are examples; base spans spoilt so that they are none, and candidates whose
+format rules them out (``well_formed``), are the counter-examples. Other candidates, which may be
+personal data in another form, are learnt neither way. On held-out examples the scores are calibrated by Platt's method; a span is added when its
 probability reaches the kind's threshold (least that keeps ``PRECISION``) and it touches no base span.
 
 Training takes the candidates of about ``TRAIN_DOCS`` documents and at most ``TRAIN_SPANS`` of them (by
@@ -44,9 +45,10 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WIDE = {
     "email": re.compile(
         r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:@|\(at\)|\[at\]|\{at\}| at ) ?"
-        r"[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}| dot ) ?[A-Za-z0-9-]{1,63}+){1,5}"
+        r"[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}| dot ) ?[A-Za-z0-9-]{1,63}+){1,5}",
+        re.IGNORECASE,
     ),
-    "ip": re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9]{1,3}(?: ?\. ?| dot |\[\.\]|\(\.\))){3}[0-9]{1,3}(?![0-9])|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"),
+    "ip": re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9]{1,3}(?: ?\. ?| dot |\[\.\]|\(\.\))){3}[0-9]{1,3}(?![0-9])|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}", re.IGNORECASE),
     "card": re.compile(r"(?<![0-9A-Za-z])[0-9](?:[ ./_-]{0,2}[0-9]){11,18}(?![0-9A-Za-z])"),
     "phone": re.compile(r"(?<![0-9A-Za-z])(?:\+|00)?\(?[0-9](?:[ ()./-]{0,3}[0-9]){6,14}(?![0-9A-Za-z])"),
 }
@@ -59,7 +61,9 @@ CUES = {
 }
 _HINT = np.zeros(256, bool)  # bytes without which nothing can match
 _HINT[48:58] = _HINT[64] = True
-_AT_WORD = re.compile(r"\(at\)|\[at\]|\{at\}| at ")
+_AT_WORD = re.compile(r"\(at\)|\[at\]|\{at\}| at ", re.IGNORECASE)
+_BRACKET_AT = re.compile(r"@|\(at\)|\[at\]|\{at\}", re.IGNORECASE)
+_DOT_WORD = re.compile(r" dot |\(dot\)|\[dot\]|\{dot\}", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -108,6 +112,18 @@ def candidates(text: str) -> list[Span]:
     return [(kind, m.start(), m.end()) for kind in KINDS for m in _WIDE[kind].finditer(text)]
 
 
+def well_formed(kind: str, own: str) -> bool:
+    """Whether the format of a candidate allows it to be of its kind; those that fail are safe counter-examples."""
+    digits = _digits(own)
+    if kind == "email":  # a written-out "at" goes with a written-out "dot"; a full stop followed by a space ends a sentence
+        return bool(_DOT_WORD.search(own)) if not _BRACKET_AT.search(own) else ". " not in own
+    if kind == "ip":
+        return ":" in own or all(int(p) <= 255 for p in re.findall(r"[0-9]+", own))
+    if kind == "card":
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    return 9 <= len(digits) <= 15 and (own[0] in "+(" or own.startswith("00") or not own.isdigit())
+
+
 def features(text: str, span: Span) -> list[float]:
     """Format of the span and its surroundings."""
     kind, a, b = span
@@ -133,9 +149,9 @@ def _rewrite(text: str, span: Span, way: int) -> tuple[str, Span]:
     kind, a, b = span
     own = text[a:b]
     if kind == "email":
-        at, dot = ((" at ", " dot "), ("(at)", "."), ("[at]", "[dot]"))[way % 3]
+        at, dot = ((" at ", " dot "), ("(at)", "."), ("[at]", "[dot]"), (" AT ", " DOT "), ("(AT)", "."), ("[at]", "[DOT]"))[way % 6]
         user, _, host = own.partition("@")
-        own = user + at + host.replace(".", dot)
+        own = (user.upper() if way % 6 == 5 else user) + at + host.replace(".", dot)
     elif kind == "ip":
         own = own.replace(".", (" . ", "[.]", " dot ")[way % 3])
     elif kind == "card":
@@ -262,7 +278,7 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_spans: int = TRAI
                         x.append(features(*spoilt))
                         y.append(0.0)
                 for c in candidates(text):
-                    if not _touches(c, base):
+                    if not _touches(c, base) and not well_formed(c[0], text[c[1] : c[2]]):
                         kind.append(KINDS.index(c[0]))
                         x.append(features(text, c))
                         y.append(0.0)
@@ -276,8 +292,9 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_spans: int = TRAI
     return Judge(np.asarray(got["kind"]), x, np.asarray(got["y"]))
 
 
-def find(docs: DataFrame, judge: Judge) -> DataFrame:
-    """Columns of ``docs`` other than ``text``, the rules' ``base`` spans and all ``spans`` (kind, start, end in code points)."""
+def find(docs: DataFrame, judge: Judge, whole: bool = False) -> DataFrame:
+    """``doc`` (the columns of ``docs`` other than ``text``; ``whole``: with it), the rules' ``base`` spans and all ``spans`` (kind, start, end
+    in code points)."""
     shared = docs.sparkSession.sparkContext.broadcast(judge)  # a few hundred tree nodes
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -291,26 +308,26 @@ def find(docs: DataFrame, judge: Judge) -> DataFrame:
             as_rows = [pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in r] for r in rows], kind) for rows in (base, spans)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *as_rows], ["doc", "base", "spans"])
 
-    doc = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc"), "text")
+    doc = ts.with_doc(docs, whole)
     more = ", ".join(f"{c} array<struct<kind: string, start: bigint, end: bigint>>" for c in ("base", "spans"))
-    return doc.mapInArrow(scan, StructType([doc.schema["doc"], *StructType.fromDDL(more).fields])).select("doc.*", "base", "spans")
+    return doc.mapInArrow(scan, StructType([doc.schema["doc"], *StructType.fromDDL(more).fields]))
 
 
 def redact(docs: DataFrame, judge: Judge) -> DataFrame:
     """``docs`` with each span replaced by its kind in brackets; overlapping spans become one, of the first one's kind."""
-    found = find(docs.withColumn("_text", F.col("text")), judge)
+    found = find(docs, judge, whole=True)
     cut = F.aggregate(
         "spans",
         F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")),
         lambda acc, s: F.when(s["start"] < acc["at"], F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))).otherwise(
             F.struct(
-                F.concat(acc["out"], F.substring("_text", acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"),
+                F.concat(acc["out"], F.substring("doc.text", acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"),
                 s["end"].alias("at"),
             )
         ),
-        lambda acc: F.concat(acc["out"], F.substring("_text", acc["at"].cast("int") + 1, F.length("_text"))),
+        lambda acc: F.concat(acc["out"], F.substring("doc.text", acc["at"].cast("int") + 1, F.length("doc.text"))),
     )
-    return found.select(*[cut.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return found.select(*[F.when(F.col("doc.text").isNotNull(), cut).alias("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -325,4 +342,4 @@ def digest(docs: DataFrame) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
     counts = [number(k) for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select("doc.doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))

@@ -26,7 +26,8 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", F.size("licenses").cast("bigint").alias("n_licenses"), "licenses")
+    names = F.array_distinct(F.transform("licenses", lambda x: x["name"]))
+    return found.select("doc.doc_id", F.size(names).cast("bigint").alias("n_licenses"), "licenses")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +39,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wordpiece.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary.byte_bpe())
+    counted = wordpiece.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary.byte_bpe())
+    return counted.select("doc.doc_id", "n_words", "n_tokens", "n_unknown")
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 U = np.uint64
@@ -180,6 +182,12 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
         lo = hi
 
 
+def with_doc(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """The columns of ``docs`` other than ``text`` (``whole``: all of them) in the struct ``doc``, so that no name can clash, and the text."""
+    kept = [F.col(f"`{c}`") for c in docs.columns if whole or c != "text"]
+    return docs.select(F.struct(*(kept or [F.lit(None).cast("string").alias("none")])).alias("doc"), F.col("text").alias("_text"))
+
+
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of ``values`` between consecutive offsets (empty ranges give 0)."""
     total = np.zeros(len(values) + 1, np.int64 if values.dtype.kind in "biu" else np.float64)

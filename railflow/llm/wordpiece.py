@@ -21,7 +21,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from railflow.llm import textscan as ts
@@ -137,7 +136,7 @@ class Automaton:
 
 
 def count_tokens(docs: DataFrame, tokenizer_json: str, cased: bool | None = None, classes: np.ndarray = CLASSES) -> DataFrame:
-    """``doc_id`` (and other columns than ``text``), ``n_words``, ``n_tokens``, ``n_unknown`` per row of ``docs``.
+    """``doc`` (the columns of ``docs`` other than ``text``), ``n_words``, ``n_tokens``, ``n_unknown`` per row.
 
     ``cased``: whether A-Z keep their case; by default if the vocabulary has a piece with one of them.
     ``classes``: class of each byte; words are the longest runs of one class above 0."""
@@ -159,7 +158,5 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, cased: bool | None = None
                     ["doc", "n_words", "n_tokens", "n_unknown"],
                 )
 
-    others = [c for c in docs.columns if c != "text"]
-    doc = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("doc"), "text")
-    counted = doc.mapInArrow(count, StructType([doc.schema["doc"], *StructType.fromDDL("n_words bigint, n_tokens bigint, n_unknown bigint").fields]))
-    return counted.select("doc.*", "n_words", "n_tokens", "n_unknown")
+    doc = ts.with_doc(docs)
+    return doc.mapInArrow(count, StructType([doc.schema["doc"], *StructType.fromDDL("n_words bigint, n_tokens bigint, n_unknown bigint").fields]))

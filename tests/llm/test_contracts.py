@@ -153,7 +153,8 @@ def test_personal_data_rows(docs, rows):
             base = _base(text or "")
             n = Counter(k for k, _, _ in base)
             want.add((doc, hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest(), *(n[k] for k in pii.KINDS)))
-    assert want <= got and len(got) == len({r[0:2] for r in rows} | {(102, 1)}) - 1 or want <= got
+    assert want <= got and {g[0] for g in got} == {r[0] for r in rows}
+    assert pii.digest(docs.limit(0)).count() == 0
 
 
 def test_judge_adds_rewritten_spans_only(spark):
@@ -252,13 +253,13 @@ def test_piece_counts_are_greedy(spark, docs, rows):
             n += 1
         return n
 
-    got = {(r.doc_id, r.n_words): (r.n_tokens, r.n_unknown) for r in wordpiece.count_tokens(docs.select("doc_id", "text"), vocabulary.byte_bpe()).collect()}
+    got = {(r.doc.doc_id, r.n_words): (r.n_tokens, r.n_unknown) for r in wordpiece.count_tokens(docs.select("doc_id", "text"), vocabulary.byte_bpe()).collect()}
     word = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[!-/:-@\[-`{-~]+")
     for doc, text, *_ in rows:
         if doc not in (301, 302):
             own = [b" " + w for w in word.findall((text or "").encode())]
             assert got[doc, len(own)] == (sum(map(greedy, own)), 0)
-    low = wordpiece.count_tokens(docs.select("doc_id", "text"), vocabulary.byte_bpe(), cased=False).filter("doc_id = 0").first()
+    low = wordpiece.count_tokens(docs.select("doc_id", "text"), vocabulary.byte_bpe(), cased=False).filter("doc.doc_id = 0").first()
     own = [b" " + w.lower() for w in word.findall(rows[0][1].encode())]
     assert (low.n_words, low.n_tokens) == (len(own), sum(map(greedy, own)))
 
@@ -287,15 +288,23 @@ def test_licenses_by_brute_force(spark):
         at = random.randrange(60)
         rows.append((i, " ".join(filler[:at] + w + filler[at:]), "x"))
     rows += [(100, None, "x"), (101, "", None), (102, "the MIT", "x"), (103, rows[0][1], "x")]
-    docs = spark.createDataFrame(rows, "doc_id int, text string, licenses string").drop("licenses")
+    rows += [(104, f"{rows[3][1]} {rows[3][1]} {licenses.TEMPLATES['MIT']} and SPDX-License-Identifier: MIT", "x"), (105, LONG * 3000 + licenses.TEMPLATES["ISC"], "x")]
+    texts = {i: t for i, t, _ in rows}
+    docs = spark.createDataFrame(rows, "doc_id int, text string, licenses string")
     for r in licenses.find_licenses(docs).collect():
-        own, want = shingles(rows[r.doc_id if r.doc_id < 80 else r.doc_id - 20][1]), {}
+        own, want = shingles(texts[r.doc.doc_id]), []
         for name, template in licenses.TEMPLATES.items():
             t = shingles(template)
-            best = max((len(set(t) & set(own[i : i + len(t)])) / len(set(t)) for i in range(max(1, len(own) - len(t) + 1))), default=0)
-            if best >= 0.8:
-                want[name] = round(best, 9)
-        assert {x["name"]: round(x["containment"], 9) for x in r.licenses} == want
+            shares = [(-len(set(t) & set(own[i : i + len(t)])) / len(set(t)), i) for i in range(max(1, len(own) - len(t) + 1))] if r.doc.doc_id != 105 or name == "ISC" else []
+            taken = []
+            for share, i in sorted(shares):
+                if share <= -0.8 + 1e-9 and all(abs(i - j) >= len(t) for j in taken):
+                    taken.append(i)
+                    want.append((name, round(-share, 9)))
+        got = [(x["name"], round(x["containment"], 9)) for x in r.licenses]
+        assert sorted(got) == sorted(want), r.doc.doc_id
+    assert licenses.find_licenses(docs.limit(0)).count() == 0
+    assert len([x for x in licenses.find_licenses(docs.filter("doc_id = 104")).first().licenses if x["name"] in ("MIT", "SPDX-MIT")]) == 2
     assert licenses.bands_for(0.5, 0.999, 1) == 10 and licenses.bands_for(1.0) == 1
 
 
@@ -402,7 +411,7 @@ def test_structured_texts_are_told_apart(spark, n=1024):
     for r in packing.pack(docs, vocabulary.word_bpe()).filter("piece = 0").collect():
         ids = [*encoder.encode({1: u, 2: v, 3: f"{u} {v}", 4: f"{u} {v}"}[r.doc_id], add_special_tokens=False).ids, 1][:4096]
         assert r.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
-    n_tokens = {r.doc_id: r.n_tokens for r in wordpiece.count_tokens(docs, vocabulary.byte_bpe()).collect()}
+    n_tokens = {r.doc.doc_id: r.n_tokens for r in wordpiece.count_tokens(docs, vocabulary.byte_bpe()).collect()}
     assert n_tokens[4] == n_tokens[1] + n_tokens[2]
 
 
@@ -410,7 +419,7 @@ def test_letters_are_those_of_unicode(spark):
     train = spark.createDataFrame([(i, f"the house and river {i}", "en") for i in range(20)], "doc_id bigint, text string, lang string")
     texts = {1: "\u0661\u0662\u0663", 2: "\u0967\u0968", 3: "\u066a", 4: "\u2102\u211d", 5: "\u3005", 6: "\u02b0\u02b2", 7: "\u2c00\u2c31", 8: "12 !", 9: "a"}
     model = langid.train(train)
-    got = {r.doc_id: r.lang_pred for r in langid.predict(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), model).collect()}
+    got = {r.doc.doc_id: r.lang_pred for r in langid.predict(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), model).collect()}
     assert got == {i: "en" if any(c.isalpha() for c in t) else "und" for i, t in texts.items()}
     assert langid.train(train, max_langs=0).langs == []
 
@@ -464,6 +473,55 @@ def test_ngram_join_splits_large_buckets(spark):
     assert ngrams.meeting(0.8, 1) == pytest.approx(0.84) and 1 - (1 - ngrams.meeting(0.8, 3)) ** ngrams.runs() >= 0.9999
 
 
+def test_personal_data_in_unseen_texts(spark):
+    """Numbers in national format outnumber the base ones; recall and precision on texts whose wording was not trained on."""
+    import random
+
+    random.seed(12)
+    digit = lambda n: "".join(random.choice("0123456789") for _ in range(n))
+    words = "the meeting of our team about garden paper moved again so please wait at noon. Then we go on".split()
+    rows = []
+    for i in range(900):
+        say = lambda: " ".join(random.choice(words) for _ in range(random.randint(3, 12)))
+        parts = [say(), f"call +1 (5{digit(2)}) 555-{digit(4)} or write to user{i}@mail{i % 7}.example.org", say(), f"room {digit(3)} of {digit(4)}", say()]
+        parts += [f"({digit(3)}) 555-{digit(4)} {say()}" for _ in range(3)]
+        rows.append((i, " ".join(parts)))
+    judge = pii.learn(spark.createDataFrame(rows, "doc_id int, text string"))
+    found = hits = wanted = 0
+    for i in range(300):
+        left, right = random.choice(["Reach me under", "Notes:", "ask Jane,", "(home)"]), random.choice(["before Friday", "thanks", "- late", "if needed."])
+        own = random.choice([f"({digit(3)}) 555-{digit(4)}", f"jane{i} at corp{i % 5} dot com", f"jane{i}(AT)corp{i % 5}.com", f"JANE{i}[at]corp{i % 5}[DOT]com"])
+        text = f"{left} {own} {right} in 20{digit(2)} at noon. Then {digit(2)} people"
+        spans = [text[a:b] for _, a, b in judge.added(text, pii.base_spans(text))]
+        wanted += 1
+        hits += any(own in s or s in own for s in spans)
+        found += len(spans)
+    assert hits / wanted > 0.9 and hits / max(found, 1) > 0.9, (hits, wanted, found)
+
+
+def test_redaction_leaks_nothing(clashing, spark):
+    judge = pii.learn(clashing.limit(0))
+    docs = clashing.filter("doc_id = 401").withColumn("text", F.lit("a@b.co 10.0.0.1, 4111 1111 1111 1111, +1 (504) 555-2652")).withColumn("base", F.lit(1)).withColumn("_text", F.lit("other"))
+    out = pii.redact(docs, judge)
+    assert out.columns == docs.columns
+    row = out.first()
+    assert row["text"] == "[EMAIL] [IP], [CARD], [PHONE]" and row["_text"] == "other" and row["spans"] == "spans"
+    null = pii.redact(spark.createDataFrame([(1, None)], "doc_id int, text string"), judge).first()
+    assert null["text"] is None
+
+
+def test_clashing_columns_are_kept_in_a_struct(clashing, spark):
+    judge, model = pii.learn(clashing.limit(0)), langid.train(clashing.limit(0))
+    ops = (
+        licenses.find_licenses, lambda d: wordpiece.count_tokens(d, vocabulary.byte_bpe()), lambda d: pii.find(d, judge), lambda d: langid.predict(d, model),
+    )
+    for op in ops:
+        out = op(clashing)
+        assert out.select("doc.*").columns == [c for c in clashing.columns if c != "text"]
+        assert out.filter(" or ".join(f"doc.`{c}` <> '{c}'" for c in CLASHES)).count() == 0 and len(set(out.columns)) == len(out.columns)
+        assert op(clashing.limit(0)).count() == 0
+
+
 def test_clashing_columns_pass_through(clashing, bench, spark):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
     ops = (
