@@ -384,7 +384,7 @@ def trip_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def path_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_od = routes.paths_by_od(v.paths(spark, sf_dir))
     ap = stored_ap(spark, sf_dir)
-    matched = routes.path_match(routes.trip_traces(_own(spark, sf_dir), ap, by_od, routes.busy_devices(ap)))
+    matched = routes.path_match(routes.trip_traces(_own(spark, sf_dir), ap, by_od))
     return matched.select("event_id", "id", "os", "ds", "path_no", "transfers")
 
 

@@ -14,11 +14,10 @@ from pyspark.sql import functions as F
 
 from railflow.functions.time import epoch_seconds, seconds_between, time_text
 from railflow.scan import neighbour, running_sum
-from railflow.skew import hot_keys, is_hot, salted_join
+from railflow.skew import salted_join
 from railflow.staging import stage
 
 PAD_SECONDS = 300
-BUCKET_SECONDS = 3600
 AP_ORDER = ("ts", "station", "stay")
 
 
@@ -171,115 +170,51 @@ def busy_od(trips: DataFrame, transfer_stations: DataFrame) -> DataFrame:
     return counts.select("os", "ds", "cnt").orderBy(F.desc("cnt"), "os", "ds")
 
 
-def trip_ap(
-    trips: DataFrame, ap: DataFrame, pad: int = PAD_SECONDS, bucket: int = BUCKET_SECONDS
-) -> DataFrame:
-    """Device records strictly inside each trip's time window, widened by ``pad`` seconds.
-
-    The join key is (device, time bucket): a trip is copied to the buckets its window touches,
-    a record lies in one. A busy device is thereby spread over its buckets.
-    """
-    first = F.floor((epoch_seconds(F.col("ot")) - pad) / bucket)
-    final = F.floor((epoch_seconds(F.col("dt")) + pad) / bucket)
-    wanted = trips.withColumn("_b", F.explode(F.sequence(first, F.greatest(first, final))))
-    there = ap.select("ap_id", "ts", "station", "stay", F.floor(epoch_seconds(F.col("ts")) / bucket).alias("_b"))
-    second = epoch_seconds(F.col("ts"))  # whole seconds, as the records of busy devices are counted
-    inside = (second > epoch_seconds(F.col("ot")) - pad) & (second < epoch_seconds(F.col("dt")) + pad)
-    return wanted.join(there, ["ap_id", "_b"]).filter(inside).drop("_b")
-
+def trip_windows(trips: DataFrame, ap: DataFrame, pad: int = PAD_SECONDS) -> tuple[DataFrame, DataFrame]:
+    """Records numbered per device by time (``rank``, from 1), and trips with ``_lo`` and ``_hi``: the records strictly inside
+    the trip's time window, widened by ``pad`` seconds, are those ranked ``_lo + 1`` to ``_hi``.
 
-def _records_until(ap: DataFrame, hot: Sequence[int]) -> DataFrame:
-    """Records of busy devices counted up to every minute of their span.
+    One running count over records and window ends together gives both, so neither a busy device, nor a busy hour of it, nor a
+    record with a wrong date costs more than its own rows."""
+    records = ap.select("ap_id", epoch_seconds(F.col("ts")).alias("_at"), "ts", "station", "stay").filter("ap_id is not null and _at is not null")
+    first, last = epoch_seconds(F.col("ot")) - pad, epoch_seconds(F.col("dt")) + pad - 1  # up to these seconds
+    placed = stage(trips.withColumn("_t", F.monotonically_increasing_id()), "window-trips")
+    ends = F.explode(F.array(F.struct(F.lit(1).alias("end"), first.alias("at")), F.struct(F.lit(2).alias("end"), last.alias("at")))).alias("e")
+    probes = placed.filter("ap_id is not null").select("ap_id", "_t", ends).select("ap_id", F.col("e.at").alias("_at"), "_t", F.col("e.end").alias("_end")).filter("_at is not null")
+    rows = records.withColumn("_end", F.lit(0)).unionByName(probes, allowMissingColumns=True)
+    counted = running_sum(rows, "ap_id", ["_at", "_end"], F.when(F.col("_end") == 0, 1).otherwise(0).cast("bigint"), "rank")
+    counted = stage(counted, "ranked-records", by="_end")
+    lo, hi = (F.max(F.when(F.col("_end") == end, F.col("rank"))) for end in (1, 2))
+    spans = counted.filter("_end > 0").groupBy("_t").agg(lo.alias("_lo"), hi.alias("_hi")).filter("_hi > _lo")
+    return counted.filter("_end = 0").select("ap_id", "rank", "ts", "station", "stay"), placed.join(spans, "_t")
 
-    ``before`` counts the earlier minutes, ``seconds`` the records of this one by second. A
-    device has one row per minute, however many records it has.
-    """
-    second = epoch_seconds(F.col("ts"))
-    per_minute = (
-        ap.filter(is_hot(hot, "ap_id"))
-        .groupBy("ap_id", F.floor(second / 60).alias("minute"), (second % 60).alias("s"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("ap_id", "minute")
-        .agg(F.collect_list(F.struct("s", "n")).alias("seconds"), F.sum("n").alias("n"))
-    )
-    earlier = Window.partitionBy("ap_id").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
-    following = Window.partitionBy("ap_id").orderBy("minute")
-    counted = per_minute.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn(
-        "until", F.coalesce(F.lead("minute").over(following) - 1, F.col("minute"))
-    )
-    # fill the minutes up to the next one with records
-    filled = counted.withColumn("at", F.explode(F.sequence("minute", "until")))
-    none = F.array().cast("array<struct<s:bigint,n:bigint>>")
-    own = F.col("at") == F.col("minute")
-    return filled.select(
-        "ap_id",
-        F.col("at").alias("minute"),
-        F.when(own, F.col("before")).otherwise(F.col("before") + F.col("n")).alias("before"),
-        F.when(own, F.col("seconds")).otherwise(none).alias("seconds"),
-    )
-
-
-def sparse_windows(
-    trips: DataFrame, ap: DataFrame, limit: str, hot: Sequence[int], pad: int = PAD_SECONDS
-) -> DataFrame:
-    """Drop trips of busy devices with more than ``limit`` records in their window.
-
-    The exact number of records comes from two lookups per trip, so a device with very many
-    records and trips is never joined record by trip for traces that cannot match anyway.
-    """
-    if not hot:
-        return trips
-    running = stage(_records_until(ap, hot), "records_until")
-    ends = running.groupBy("ap_id").agg(F.min("minute").alias("_lo"), F.max("minute").alias("_hi"))
-    busy = trips.filter(is_hot(hot, "ap_id")).join(ends, "ap_id", "left")
-    for name, moment in (
-        ("_from", epoch_seconds(F.col("ot")) - pad),
-        ("_to", epoch_seconds(F.col("dt")) + pad - 1),
-    ):
-        inside = F.least(moment, F.col("_hi") * 60 + 59)
-        seen = running.select("ap_id", F.col("minute").alias("_m"), "before", "seconds")
-        busy = busy.withColumn("_at", inside).withColumn("_m", F.floor(F.col("_at") / 60))
-        upto = F.aggregate(
-            F.filter("seconds", lambda x: x["s"] <= F.col("_at") % 60), F.lit(0).cast("bigint"), lambda a, x: a + x["n"]
-        )
-        busy = (
-            busy.join(seen, ["ap_id", "_m"], "left")
-            .withColumn(name, F.coalesce(F.col("before") + upto, F.lit(0)))
-            .drop("before", "seconds", "_m", "_at")
-        )
-    fits = busy.filter((F.col("_to") - F.col("_from")).between(1, F.col(limit)))
-    return trips.filter(~is_hot(hot, "ap_id")).unionByName(fits.select(*trips.columns))
 
+def trip_ap(trips: DataFrame, ap: DataFrame, pad: int = PAD_SECONDS, at_most: str | None = None) -> DataFrame:
+    """Device records strictly inside each trip's time window, widened by ``pad`` seconds.
 
-def busy_devices(ap: DataFrame) -> list[int]:
-    """Devices with so many records that their traces must not be put together blindly."""
-    return hot_keys(ap, "ap_id", fraction=0.02)
+    An equi join on (device, rank): as many rows meet as the result has. ``at_most`` names a column of the trips: windows with
+    more records are left out before their records are fetched."""
+    records, windows = trip_windows(trips, ap, pad)
+    if at_most:
+        windows = windows.filter(F.col("_hi") - F.col("_lo") <= F.col(at_most))
+    wanted = windows.withColumn("rank", F.explode(F.sequence(F.col("_lo") + 1, F.col("_hi")))).drop("_lo", "_hi")
+    return wanted.join(records, ["ap_id", "rank"]).drop("rank")
 
 
-def trip_traces(
-    trips: DataFrame,
-    ap: DataFrame,
-    by_od: DataFrame,
-    busy: Sequence[int],
-    pad: int = PAD_SECONDS,
-    bucket: int = BUCKET_SECONDS,
-) -> DataFrame:
+def trip_traces(trips: DataFrame, ap: DataFrame, by_od: DataFrame, pad: int = PAD_SECONDS) -> DataFrame:
     """Trips with their device trace in time order and the valid paths of their OD.
 
-    A trace longer than the longest path of its OD cannot follow any; such trips of busy
-    devices are left out before the join, the rest when their trace is put together.
+    A trace longer than the longest path of its OD cannot follow any; such trips are left out before the join.
     """
     keyed = trips.select("event_id", "id", "ap_id", "os", "ds", "ot", "dt").join(
         by_od.select("os", "ds", "longest"), ["os", "ds"]
     )
-    kept = sparse_windows(keyed, ap, "longest", busy, pad)
     traces = (
-        trip_ap(kept, ap, pad, bucket)
-        .groupBy("event_id", "id", "os", "ds", "ot", "dt", "longest")
+        trip_ap(keyed, ap, pad, "longest")
+        .groupBy("_t", "event_id", "id", "os", "ds", "ot", "dt")
         .agg(F.sort_array(F.collect_list(F.struct(*AP_ORDER))).alias("trace"))
-        .filter(F.size("trace") <= F.col("longest"))
     )
-    return traces.drop("longest").join(by_od.select("os", "ds", "paths"), ["os", "ds"])
+    return traces.drop("_t").join(by_od.select("os", "ds", "paths"), ["os", "ds"])
 
 
 def path_match(traces: DataFrame) -> DataFrame:

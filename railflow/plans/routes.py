@@ -16,9 +16,8 @@ def route_ratio_job(ap: DataFrame, od_interval: DataFrame, paths: DataFrame) ->
 
 
 def _matched(trips: DataFrame, ap: DataFrame, cards: DataFrame, paths: DataFrame) -> DataFrame:
-    busy = routes.busy_devices(ap)
-    ap = salted_join(ap, cards.select("ap_id").distinct(), ["ap_id"], busy, "left_semi")
-    return routes.path_match(routes.trip_traces(trips, ap, routes.paths_by_od(paths), busy))
+    own = ap.join(cards.select("ap_id").distinct(), "ap_id", "left_semi")
+    return routes.path_match(routes.trip_traces(trips, own, routes.paths_by_od(paths)))
 
 
 def personal_matches(

@@ -1,15 +1,11 @@
 """Hot keys never change a result, fractional seconds included."""
 
-from datetime import datetime, timedelta
-
 import pytest
 from pyspark.sql import functions as F
 
 from railflow.functions.vectors import dense
-from railflow.operators import routes
 from railflow.skew import hot_keys
 
-DAY = datetime(2024, 1, 1)
 
 
 def test_more_than_a_thousand_hot_keys(spark):
@@ -21,20 +17,6 @@ def test_more_than_a_thousand_hot_keys(spark):
         spark.conf.unset("railflow.skew.minRows")
 
 
-def test_busy_devices_use_the_predicate_of_the_join(spark):
-    trips = spark.createDataFrame(
-        [(i, 1, "a", 0, 1, DAY + timedelta(seconds=3600 + 7.5 * i), DAY + timedelta(seconds=4000 + 7.5 * i)) for i in range(40)],
-        "event_id bigint, id bigint, ap_id string, os int, ds int, ot timestamp_ntz, dt timestamp_ntz",
-    )
-    ap = spark.createDataFrame(
-        [("a", DAY + timedelta(seconds=3000 + 100.5 * i), i % 3, 0) for i in range(20)], "ap_id string, ts timestamp_ntz, station int, stay int"
-    )
-    by_od = spark.createDataFrame([(0, 1, 7, [([0, 1], 1, 0)])], "os int, ds int, longest int, paths array<struct<st: array<int>, path_no: int, transfers: int>>")
-    plain = routes.trip_traces(trips, ap, by_od, []).select("event_id", "trace").collect()
-    busy = [r["_k"] for r in ap.select(F.xxhash64("ap_id").alias("_k")).distinct().collect()]
-    assert sorted(map(str, plain)) == sorted(map(str, routes.trip_traces(trips, ap, by_od, busy).select("event_id", "trace").collect()))
-
-
 def test_dense_vectors_are_linear_and_checked(spark):
     size = 313 * 48
     rows = spark.range(4).select(
