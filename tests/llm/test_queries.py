@@ -50,6 +50,57 @@ def test_pipeline_stages_on_their_own_input(spark):
     assert {r[0] for r in packed.select("doc_id").collect()} == ids[3]
 
 
+def test_pipeline_stages_by_brute_force(spark, tmp_path):
+    import random
+    import re
+
+    from test_contracts import WORD, _classes, _distance, _lower, _quality
+
+    random.seed(14)
+    prose = lambda n: " ".join("".join(random.choice("abcdefghij") for _ in range(random.randint(2, 8))) for _ in range(n))
+    notice, passage = "All rights reserved by the house.", prose(12)
+    bodies = [prose(100) for _ in range(8)]
+    rows = [(i, f"{notice}\n{x}" if i % 2 else x) for i, x in enumerate(bodies)]  # some lines go
+    words = bodies[2].split()
+    rows += [(20 + i, " ".join([*words[: 30 + i], "zzzzzzzzz", *words[31 + i :]])) for i in range(3)]  # near copies
+    rows += [(30, bodies[3]), (31, f"{bodies[4]}\n{notice}"), (32, prose(20))]  # all lines go; too short
+    rows += [(40, f"{prose(60)} {passage} {prose(30)}"), (41, "spam spam spam " * 40), (42, prose(5000))]
+    rows = [(d, t, "en", "s", len(t)) for d, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1)
+    sf = str(tmp_path)
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, passage)], "item_id bigint, text string").write.parquet(f"{sf}/benchmark.parquet")
+    now = {d: t for d, t, *_ in rows}
+    want = {"quality_rules": {d: t for d, t in now.items() if not _quality(t)[-1]}}
+    flat = [(d, i, x) for d, t in sorted(want["quality_rules"].items()) for i, x in enumerate(t.split("\n"))]
+
+    def close(i, j):
+        a, b = flat[i][2], flat[j][2]
+        may = min(2, int(0.1 * max(len(a), len(b)) + 1e-9))
+        return a == b or (abs(len(a) - len(b)) <= may and _distance(a, b) <= may)
+
+    roots, _ = _classes(len(flat), close)
+    left = {}
+    for k, (d, _, x) in enumerate(flat):
+        if roots[k] == k:
+            left.setdefault(d, []).append(x)
+    want["line_dedup"] = {d: "\n".join(x) for d, x in left.items()}
+    names = sorted(want["line_dedup"])
+    grams = [{tuple(w[i : i + 5]) for w in [WORD.findall(_lower(want["line_dedup"][d]))] for i in range(len(w) - 4)} for d in names]
+    roots, _ = _classes(len(names), lambda i, j: 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j]))
+    want["near_duplicates"] = {d: want["line_dedup"][d] for k, d in enumerate(names) if roots[k] == k}
+    want["benchmark"] = {d: t for d, t in want["near_duplicates"].items() if not re.search(rf"\b{' '.join(passage.split()[:10])}\b", t)}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf).collect()
+        assert {r.doc_id: r.text for r in got} == want[name], name
+        assert all(r.n_chars == len(r.text) for r in got)
+        docs = spark.createDataFrame(got, docs.schema).coalesce(1)
+    sizes = [len(want[n]) for n, _ in corpus_pipeline.STAGES[:-1]]
+    assert len(rows) > sizes[0] > sizes[1] > sizes[2] > sizes[3] and any(want["line_dedup"][d] != now[d] for d in want["line_dedup"])
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert {r.doc_id for r in packed.collect()} == set(want["benchmark"])
+
+
 SCHEMA = "conv_id bigint, turn bigint, role string, content string, call_id string, name string, arguments string, message string, position int"
 TOOLS: chat.Schemas = {"f": {"a": {"type": "integer", "required": True, "min": 1}, "b": {"type": "string", "max_length": 2}, "c": {"type": "number"}}}
 
