@@ -39,7 +39,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @_own_steps
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One line of each class of equal or nearly equal long lines stays."""
+    """One line of each class of equal or nearly equal lines stays."""
     return lines.without_repeated_lines(docs)
 
 
