@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from railflow.functions.profile import profile_udf
 from railflow.functions.time import seconds_of_day, trip_day
+from railflow.operators.trips import active_travellers
 from railflow.skew import hot_keys, salted_join
 
 BANDWIDTH = 1800
@@ -26,15 +27,15 @@ def time_profiles(
 ) -> DataFrame:
     """One row per traveller with more than ``min_days`` trip days: trips, days and density profile."""
     day = trip_day(F.col("ot"), F.col("dt"), day_key)
-    if day_key == "month":  # days 0..31 fit one bit each
-        days, merge = F.bit_or(F.expr("shiftleft(1L, _day)")), lambda c: F.bit_or(c)
-        size = F.bit_count
-    else:
-        days, merge = F.collect_set("_day"), lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-        size = F.size
+    if day_key == "month":  # days 0..31 fit one bit each, so one pass counts them too
+        days, n_days = F.bit_or(F.expr("shiftleft(1L, _day)")), F.bit_count(F.bit_or("_days")).cast("int")
+    else:  # dates are counted first, and only the trips of active travellers go on
+        active = active_travellers(trips, min_days, day_key).select("id", F.col("n_days").cast("int").alias("_days"))
+        trips = trips.join(active, "id")
+        days, n_days = F.first("_days"), F.max("_days")
     seconds = F.explode(F.array(seconds_of_day(F.col("ot")), seconds_of_day(F.col("dt"))))
     per_time = (
-        trips.select("id", day.alias("_day"), seconds.alias("t"))
+        trips.select("id", day.alias("_day"), *([] if day_key == "month" else ["_days"]), seconds.alias("t"))
         .groupBy("id", "t")
         .agg(F.count(F.lit(1)).alias("w"), days.alias("_days"))
     )
@@ -42,7 +43,7 @@ def time_profiles(
     per_time = per_time.repartition(int(trips.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     per_id = per_time.groupBy("id").agg(
         F.expr("sum(w) div 2").alias("n"),
-        size(merge("_days")).cast("int").alias("n_days"),
+        n_days.alias("n_days"),
         F.sort_array(F.collect_list(F.struct("t", "w"))).alias("times"),
     )
     active = per_id.filter(F.col("n_days") > min_days).select(

@@ -100,3 +100,27 @@ def test_fixture_counts_at_a_hundredth(spark):
     assert QUERIES["high_sampling"](spark, sf).count() == 7927
     assert QUERIES["subset_match"](spark, sf).count() == 7555
     assert QUERIES["path_match"](spark, sf).count() == 3702
+
+
+def test_densities_are_exact_whatever_the_way(spark):
+    import numpy as np
+
+    from railflow.functions import profile
+
+    rng = np.random.default_rng(1)
+    for n in (1, 40, 2300, 2500, 6000):  # summed directly up to 2351 times, convolved beyond
+        t = np.sort(rng.choice(profile.DAY_SECONDS, n, replace=False))
+        w = rng.integers(1, 100_000, n)
+        direct = np.stack([limb[np.abs(t[:, None] - t[None, :])] @ w.astype(float) for limb in profile._limbs(1800)])
+        assert (profile._weighted(t, w, 1800) == direct).all()
+        lag = (t[:, None] - t[None, :]) / 1800
+        plain = (np.exp(-0.5 * lag * lag) * w).sum(axis=1) / (np.sqrt(2 * np.pi) * w.sum() * 1800)
+        assert np.abs(profile._density(t, w, 1800) - plain).max() < 1e-17
+    whole = profile._density(np.arange(profile.DAY_SECONDS), np.ones(profile.DAY_SECONDS, int), 1800)
+    assert (whole == whole[::-1]).all() and whole.sum() < 1
+
+
+def test_profiles_by_date_equal_those_by_month_within_a_month(spark, make_trips):
+    rows = [(i, i % 4, i % 3, 1, at(1 + i % 21, 600 * (i % 90)), at(1 + i % 21, 600 * (i % 90) + 300)) for i in range(400)]
+    month, date = (habits.time_profiles(make_trips(rows), day_key=k).orderBy("id").collect() for k in ("month", "date"))
+    assert month == date and month

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from railflow.operators import predict
@@ -44,3 +45,25 @@ def test_merge_with_a_missing_flag(spark):
     rows = spark.createDataFrame([(1, 5.0, 1), (0, 3.0, 2), (1, 1.0, 2)], "flag int, cnt double, k int")
     assert [tuple(r) for r in predict.merge_tallies(rows).collect()] == [(1, 1.0), (2, 0.25)]
     assert predict.merge_tallies(rows.filter(F.lit(False))).count() == 0
+
+
+def test_vector_ranks_equal_sorting(spark):
+    rng = random.Random(5)
+    rows = [(e, rng.randrange(N), [float(rng.choice([0, 0, 1, 1, 2])) for _ in range(N)]) for e in range(60)]
+    rows += [(60, 3, [0.0] * N), (61, 11, [1.0] * N)]
+    df = spark.createDataFrame(rows, "event_id int, target int, v array<double>")
+    got = df.select("event_id", predict.vector_rank(F.col("v"), F.col("target")).alias("rank"), predict.vector_top(F.col("v"), 4).alias("top")).collect()
+    for (_, target, v), r in zip(rows, sorted(got), strict=True):
+        order = sorted(range(N), key=lambda i, v=v: (v[i], i), reverse=True)
+        assert r["rank"] == order.index(target) + 1 and r["top"] == order[:4]
+    with pytest.raises(Exception, match="outside"):
+        df.select(predict.vector_rank(F.col("v"), F.lit(N))).collect()
+    s = spark.createDataFrame([(1, 1, N)], "id int, event_id int, target int")
+    c = spark.createDataFrame([(1, 1, 0, 1.0)], "id int, event_id int, station int, value double")
+    with pytest.raises(Exception, match="outside"):
+        predict.target_ranks(s, c, N).collect()
+
+
+def test_markov_vector_falls_back_on_the_group(spark):
+    df = spark.createDataFrame([([0.0, 0.0], [0.2, 0.8]), ([1.0, 0.0], [0.2, 0.8])], "period array<double>, g array<double>")
+    assert [r[0] for r in df.select(predict.markov_vector(F.col("period"), F.col("g"))).collect()] == [[0.2, 0.8], [1.0, 0.0]]

@@ -26,58 +26,58 @@ def _rows(df):
 
 
 def test_stations(spark, text):
-    assert _rows(readers.read_stations(spark, text("1,己站,10.5,20.25,777,268"))) == [
-        (0, "己站", 10.5, 20.25)
-    ]
-    assert readers.read_stations(spark, text("7,a,1,2"), base=0).first()["station"] == 7
-    assert _rows(readers.read_station_tuples(spark, text("(270,八线庚站)"))) == [(270, "八线庚站", None, None)]
+    assert _rows(readers.read_stations(spark, text("42,Quay North,1.5,2.75,x,y"))) == [(41, "Quay North", 1.5, 2.75)]
+    assert readers.read_stations(spark, text("6,a,1,2"), base=0).first()["station"] == 6
+    assert _rows(readers.read_station_tuples(spark, text("(17,Mill Lane)"))) == [(17, "Mill Lane", None, None)]
 
 
 def test_trips_of_both_cities(spark, text):
     path = text(
-        "(900001,2021-03-05 21:49:27,甲站,21,2021-03-05 22:10:20,乙站,22)",
-        "(900002,2022-02-04 15:39:56,七线丙站,0.00,2022-02-04 15:40:47,七线丙站,3.00)",
-        "(1,garbage,a,21,2021-03-05 22:10:20,b,22)",
+        "(c-1,2030-11-02 04:05:06,Quay North,in,2030-11-02 04:31:00,Mill Lane,out)",
+        "(c-2,2031-01-09 23:50:01,Mill Lane,1.25,2031-01-10 00:02:03,Mill Lane,4.75)",
+        "(c-3,soon,a,in,2030-11-02 04:31:00,b,out)",
     )
     df = readers.read_trips(spark, path)
-    assert _rows(df.filter("id = '900001'").drop("event_id")) == [
-        ("900001", datetime(2021, 3, 5, 21, 49, 27), "甲站", datetime(2021, 3, 5, 22, 10, 20), "乙站")
+    assert _rows(df.filter("id = 'c-1'").drop("event_id")) == [
+        ("c-1", datetime(2030, 11, 2, 4, 5, 6), "Quay North", datetime(2030, 11, 2, 4, 31, 0), "Mill Lane")
     ]
     assert dict(df.dtypes)["ot"] == "timestamp_ntz"
     assert readers.bad_rows(df, "ot", "dt") == 1
 
 
 def test_taps_and_raw_taps(spark, text):
-    taps = readers.read_taps(spark, text("(900003,2022-02-03 09:08:54,四线丁站 ,地铁,3.00)"))
-    assert _rows(taps.drop("tap_id")) == [("900003", datetime(2022, 2, 3, 9, 8, 54), "四线丁站", 3.0)]
-    raw = readers.read_raw_taps(
-        spark,
-        text(
-            "900004,2022-02-03,07:51:08,一线戊站,地铁,0.00,非优惠",
-            "900004,2022-02-03,07:40:00,bus stop,公交,2.00,非优惠",
-        ),
-    )
-    assert _rows(raw.drop("tap_id")) == [("900004", datetime(2022, 2, 3, 7, 51, 8), "一线戊站", 0.0)]
+    taps = readers.read_taps(spark, text("(c-4,2030-05-06 10:11:12,Hill Top ,tram,6.50)"))
+    assert _rows(taps.drop("tap_id")) == [("c-4", datetime(2030, 5, 6, 10, 11, 12), "Hill Top", 6.5)]
+    raw = readers.read_raw_taps(spark, text("c-5,2030-05-07,13:14:15,Hill Top,tram,0.50,none", "c-5,2030-05-07,13:20:00,corner,bus,1.50,none"), mode="tram")
+    assert _rows(raw.drop("tap_id")) == [("c-5", datetime(2030, 5, 7, 13, 14, 15), "Hill Top", 0.5)]
+    subway = readers.read_raw_taps(spark, text(f"c-6,2030-05-08,01:02:03,Ford,{readers.SUBWAY},0,none"))
+    assert subway.first()["station"] == "Ford"
 
 
 def test_paths_traces_and_dictionaries(spark, text):
-    path = readers.read_paths(spark, text("1 2 5 # 1 V 0.0000 2.6050"))
-    assert _rows(path) == [(1, 5, [1, 2, 5], 1, 2.61)]
-    ap = readers.read_ap(spark, text("(000000000000,2021-04-04 16:44:45,辛站,7)", "(x,2021-04-04 16:44:45,辛站)"))
-    assert sorted(_rows(ap)) == [
-        ("000000000000", datetime(2021, 4, 4, 16, 44, 45), "辛站", 7),
-        ("x", datetime(2021, 4, 4, 16, 44, 45), "辛站", 0),
-    ]
-    assert _rows(readers.read_idmap(spark, text("(668367478,ECD09FC6C6C5,24.0,24,1.0)"))) == [
-        ("668367478", "ECD09FC6C6C5", 1.0)
-    ]
-    assert _rows(readers.read_od_interval(spark, text("(a,b,123)"))) == [("a", "b", 123)]
-    assert _rows(readers.read_transfer_stations(spark, text("辛站", "", "辛站"))) == [("辛站",)]
-    assert _rows(readers.read_tallies(spark, text("(1,2865,4)"))) == [(1, 2865.0, 4)]
-    known = spark.createDataFrame([(3, "辛站")], "station int, name string")
+    path = readers.read_paths(spark, text("4 8 15 # 2 V 0.5000 7.1250"))
+    assert _rows(path) == [(4, 15, [4, 8, 15], 2, 7.13)]
+    ap = readers.read_ap(spark, text("(dev-a,2030-07-08 09:10:11,Ford,33)", "(dev-b,2030-07-08 09:10:12,Ford)"))
+    assert sorted(_rows(ap)) == [("dev-a", datetime(2030, 7, 8, 9, 10, 11), "Ford", 33), ("dev-b", datetime(2030, 7, 8, 9, 10, 12), "Ford", 0)]
+    assert _rows(readers.read_idmap(spark, text("(c-7,dev-a,3,5,0.625)"))) == [("c-7", "dev-a", 0.625)]
+    assert _rows(readers.read_od_interval(spark, text("(Ford,Hill Top,777)"))) == [("Ford", "Hill Top", 777)]
+    assert _rows(readers.read_transfer_stations(spark, text("Ford", "", "Ford"))) == [("Ford",)]
+    assert _rows(readers.read_tallies(spark, text("(0,31,9)"))) == [(0, 31.0, 9)]
+    known = spark.createDataFrame([(3, "Ford")], "station int, name string")
     assert readers.name_to_code(ap, known).select("station").distinct().first()[0] == 3
 
 
+def test_dropped_names_come_with_the_coding(spark, text):
+    known = spark.createDataFrame([(3, "Ford"), (4, "Hill Top")], "station int, name string")
+    rows = readers.read_od_interval(spark, text("(Ford,Hill Top,777)", "(Ford,Moor,1)", "(Moor,Fen,2)", "(,Ford,3)"))
+    coded = readers.code_names(rows, known, {"os_name": "os", "ds_name": "ds"})
+    assert _rows(coded.rows.select("os", "ds", "sec")) == [(3, 4, 777)] and set(coded.rows.columns) == {"os", "ds", "sec"}
+    assert sorted(_rows(coded.dropped)) == [("", 1), ("Fen", 1), ("Moor", 2)]
+    assert (coded.counts["n_rows"], coded.counts["n_dropped"]) == (4, 3)
+    none = readers.code_names(rows.limit(0), known, {"os_name": "os", "ds_name": "ds"})
+    assert none.rows.count() == none.dropped.count() == none.counts["n_rows"] == 0
+
+
 def test_sample_text_round_trip(spark, tmp_path):
     s = spark.createDataFrame(
         [(4, [0.25, 0.12345], [0.0, 1.0], [2.0, 0.0], [0.0, 3.0], [1.0, 9.0], 1, 8, 17, 1, 0)],
@@ -114,7 +114,33 @@ def test_station_codes_are_dense_and_sorted(spark):
 
 
 def test_equal_lines_are_rows_of_their_own(spark, text):
-    line = "(7,2021-03-05 06:07:08,a,21,2021-03-05 06:17:08,b,22)"
-    df = readers.read_trips(spark, text(line, line, line))
-    assert df.count() == 3 and df.select("event_id").distinct().count() == 3
-    assert sorted(_rows(df.select("event_id"))) == sorted(_rows(readers.read_trips(spark, text(line, line, line)).select("event_id")))
+    line = "(7,2030-03-05 06:07:08,a,in,2030-03-05 06:17:08,b,out)"
+    at = text(*[line] * 50)
+    df = readers.read_trips(spark, at)
+    ids = sorted(_rows(df.select("event_id")))
+    assert len(ids) == len(set(ids)) == 50 and ids == sorted(_rows(readers.read_trips(spark, at).select("event_id")))
+    assert "Exchange" not in df._jdf.queryExecution().toString()
+
+
+def test_a_failed_overwrite_keeps_the_old_result(spark, tmp_path):
+    at = str(tmp_path / "table")
+    sinks.write_table(spark.range(5), at)
+    broken = spark.range(5).select(F.when(F.col("id") < 9, F.raise_error(F.lit("broken")).cast("bigint")).alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        sinks.write_table(broken, at, mode="overwrite")
+    assert spark.read.parquet(at).count() == 5
+    sinks.write_table(spark.read.parquet(at).filter("id < 2"), at, mode="overwrite")  # reads what it replaces
+    assert sorted(r[0] for r in spark.read.parquet(at).collect()) == [0, 1]
+    assert [p.name for p in tmp_path.iterdir()] == ["table"]
+
+
+def test_slots_are_few_files_and_busy_slots_are_split(spark, tmp_path):
+    rows = spark.range(0, 60_000, 1, 12).select("id", F.sha2(F.col("id").cast("string"), 256).alias("x"), F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 12).cast("int").alias("st"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "512k")
+    try:
+        sinks.write_by_slot(rows, str(tmp_path / "slots"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "slots").iterdir() if p.name.startswith("st=")}
+    assert files["st=0"] > 1 and len(files) == 4 and sum(files.values()) < 20  # 12 tasks of 4 slots each would be 48
+    assert spark.read.parquet(str(tmp_path / "slots")).count() == 60_000
