@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import math
-from itertools import product
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from railflow.functions.geo import EARTH_RADIUS_KM, haversine_m, min_max
+from railflow.scan import neighbour
 from railflow.staging import stage
 
-GROWTH = 4
-FULL_CELL = 64
-SAFE = 0.999999  # covers the rounding of a cell's edge
+RADIUS_M = EARTH_RADIUS_KM * 1000.0
+BITS = 21  # of an axis on the curve
+AXES = ("x", "y", "z")
 CELL = ("gx", "gy", "gz")
 
 
@@ -37,79 +35,83 @@ def minmax_gps(stations: DataFrame) -> DataFrame:
     return stations.select("station", "name", scaled("lon").alias("lon_norm"), scaled("lat").alias("lat_norm"))
 
 
-def _cells(cell: float) -> list[Column]:
-    """Cell of a point in a cubic grid around the globe, so no meridian or pole is an edge."""
-    radius = EARTH_RADIUS_KM * 1000.0
-    lat, lon = F.radians("lat"), F.radians("lon")
-    axes = (F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat))
-    return [F.floor(x * radius / cell).alias(name) for x, name in zip(axes, CELL, strict=True)]
+def _spread(x: Column) -> Column:
+    """The low 21 bits of ``x`` with two zero bits between each."""
+    for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
+        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+    return x
+
+
+def _curve(shift: Column) -> Column:
+    """Place on a space-filling curve of the cube around the globe, moved along its diagonal by ``shift`` quarters."""
+    step = 4 * RADIUS_M / (1 << BITS)  # the cube doubled, so that no shift leaves it
+    bits = [_spread(F.floor((F.col(c) + RADIUS_M + shift * (RADIUS_M / 2)) / step).cast("bigint")) for c in AXES]
+    return bits[0].bitwiseOR(F.shiftleft(bits[1], 1)).bitwiseOR(F.shiftleft(bits[2], 2))
+
 
+def _within_reach(spots: DataFrame) -> DataFrame:
+    """``name`` and ``reach``: a distance within which each spot has another one.
 
-def nearest_station(stations: DataFrame, cell_m: float | None = None) -> DataFrame:
-    """Nearest other station of each station, without comparing all pairs.
+    It is the distance to a neighbour on one of four curves; shifting the curve bounds it by a constant times the distance of the
+    nearest spot, wherever the edges of the curve's cells fall. One segmented scan sorts all four curves."""
+    curves = spots.select("first", "lat", "lon", *AXES, F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("curve"))
+    placed = curves.select("first", "lat", "lon", "curve", _curve(F.col("curve")).alias("place"))
+    met = neighbour(placed, "curve", ["place", "first"], ["first", "lat", "lon"], "before").filter("before is not null")
+    dist = haversine_m(F.col("lon"), F.col("lat"), F.col("before.lon"), F.col("before.lat"))
+    both = met.select(dist.alias("d"), F.explode(F.array("first", "before.first")).alias("name"))
+    return both.groupBy("name").agg(F.min("d").alias("reach"))
 
-    Points meet only the points of their own and the surrounding grid cells. A match closer than
-    one cell width is final, since anything outside those cells is farther (a chord is shorter
-    than its arc). The others try again on a grid ``GROWTH`` times as wide. They have no neighbour within the last
-    width, so only a bounded number of them fits into one wider cell. The first grid is fine
-    enough for ``FULL_CELL`` points a cell, however clustered they are. Work stays linear.
+
+def nearest_station(stations: DataFrame) -> DataFrame:
+    """Nearest other station of each station, without comparing all pairs and without rounds.
+
+    A neighbour on a space-filling curve bounds how far the nearest station can be. A station looks for others in the cells that a ball of that
+    radius touches, eight at most, of a cubic grid around the globe (so no meridian or pole is an edge) whose width is the power of two
+    from twice the radius on. Stations are in the grids of all widths that occur, a few dozen at most.
     Stations sharing one position are settled first, by name. Ties go to the smaller name.
     """
     points = stations.select("name", "lat", "lon").distinct()
+    lat, lon = F.radians("lat"), F.radians("lon")
+    places = (F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat))
     spots = stage(
-        points.groupBy("lat", "lon").agg(
-            F.count(F.lit(1)).alias("names"),
-            F.min("name").alias("first"),
-        ),
+        points.groupBy("lat", "lon")
+        .agg(F.count(F.lit(1)).alias("names"), F.min("name").alias("first"))
+        .select("*", *[(x * RADIUS_M).alias(c) for x, c in zip(places, AXES, strict=True)]),
         "spots",
     )
-    shared = points.join(spots.filter("names > 1"), ["lat", "lon"])
+    shared = points.join(spots.filter("names > 1").select("lat", "lon", "first"), ["lat", "lon"])
     second = shared.filter("name <> first").groupBy("lat", "lon").agg(F.min("name").alias("second"))
     at_zero = shared.join(second, ["lat", "lon"]).select(
         "name", F.when(F.col("name") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("nearest"),
         F.lit(0.0).alias("dist"),
     )
 
-    n = spots.count()
-    if n < 2:
-        return at_zero
-    extent = spots.select(*_cells(1.0)).agg(*[(F.max(c) - F.min(c)).alias(c) for c in CELL]).first()
-    span = max(*extent, 1) + 2.0
-
-    def fullest(width: float) -> int:
-        counts = spots.select(*_cells(width)).groupBy(*CELL).count()
-        return counts.agg(F.max("count")).first()[0]
-
-    cell = cell_m or max(1.0, span / math.sqrt(n))
-    while cell_m is None and cell > 0.01 and fullest(cell) > FULL_CELL:
-        cell /= 2 * GROWTH
-
-    steps = F.array(*[F.struct(*[F.lit(d).alias(c) for d, c in zip(o, CELL, strict=True)]) for o in product((-1, 0, 1), repeat=3)])
-    open_spots = spots.filter("names = 1").select(F.col("first").alias("name"), "lat", "lon")
-    found = at_zero
-    while True:
-        last = cell > span
-        wanted = stage(open_spots.select("*", *_cells(cell)).withColumn("o", F.explode(steps)).select(
-            "name", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), *[(F.col(c) + F.col(f"o.{c}")).alias(c) for c in CELL]
-        ), "wanted")
-        there = spots.select(F.col("first").alias("other"), "lat", "lon", *_cells(cell))
-        dist = haversine_m(F.col("a_lon"), F.col("a_lat"), F.col("lon"), F.col("lat"))
-        # an inner join, so Spark may build on the open points, which get few; their partial minima are shuffled
-        met = stage(
-            there.join(wanted, list(CELL))
-            .filter(F.col("other") != F.col("name"))
-            .groupBy("name", F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon"))
-            .agg(F.min(F.struct(dist.alias("dist"), F.col("other").alias("nearest"))).alias("m")),
-            "nearest",
-        )
-        alone = open_spots.join(met.select("name", "lat", "lon"), ["name", "lat", "lon"], "left_anti").withColumn("m", F.lit(None).cast(met.schema["m"].dataType))
-        tried = met.unionByName(alone)
-        done = tried.filter(F.col("m").isNotNull() & (F.lit(last) | (F.col("m.dist") <= SAFE * cell)))
-        found = found.unionByName(done.select("name", "m.nearest", "m.dist"))
-        open_spots = tried.filter(F.col("m").isNull() | (F.col("m.dist") > SAFE * cell)).select("name", "lat", "lon")
-        if last or open_spots.isEmpty():
-            return found
-        cell *= GROWTH
+    reach = _within_reach(spots)
+    radius = F.col("reach") * (1 + 1e-9) + 1e-6  # covers the rounding of distances
+    asked = stage(
+        spots.filter("names = 1")
+        .withColumnRenamed("first", "name")
+        .join(reach, "name")
+        .select("name", "lat", "lon", *AXES, radius.alias("reach"))
+        .withColumn("level", F.ceil(F.log2(F.col("reach") * 2)).cast("int")),
+        "reaches",
+    )
+    width = F.pow(F.lit(2.0), F.col("level"))
+    sides = [F.array_distinct(F.array(F.floor((F.col(c) - F.col("reach")) / width), F.floor((F.col(c) + F.col("reach")) / width))) for c in AXES]
+    cells = asked.select("name", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), "level", *[side.alias(c) for side, c in zip(sides, CELL, strict=True)])
+    for c in CELL:
+        cells = cells.withColumn(c, F.explode(c))
+    levels = [r["level"] for r in asked.select("level").distinct().collect()]  # powers of two between a micrometre and the globe
+    there = spots.select(F.col("first").alias("other"), "lat", "lon", *AXES, F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("level"))
+    there = there.select("other", "lat", "lon", "level", *[F.floor(F.col(x) / width).alias(c) for x, c in zip(AXES, CELL, strict=True)])
+    dist = haversine_m(F.col("a_lon"), F.col("a_lat"), F.col("lon"), F.col("lat"))
+    met = (
+        there.join(cells, ["level", *CELL])
+        .filter(F.col("other") != F.col("name"))
+        .groupBy("name")  # partial minima are shuffled, not pairs
+        .agg(F.min(F.struct(dist.alias("dist"), F.col("other").alias("nearest"))).alias("m"))
+    )
+    return at_zero.unionByName(met.select("name", "m.nearest", "m.dist"))
 
 
 def mean_nearest(stations: DataFrame) -> DataFrame:
