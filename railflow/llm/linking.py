@@ -78,11 +78,12 @@ def blocks(members: DataFrame, key: str, item: str, block: int) -> DataFrame:
         .drop("_n")
     )
     others = [c for c in rows.columns if c not in ("_g", "_part", "_other")]
-    return rows.repartition("_g").sortWithinPartitions("_g").select("_g", "_part", "_other", *others)
+    return rows.repartition("_g").sortWithinPartitions("_g", item).select("_g", "_part", "_other", *others)
 
 
-def pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of the pairs to check in a table of whole groups, some at a time."""
+def pairs(table: pa.Table, across: bool | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the pairs to check in a table of whole groups, some at a time; with ``across`` those of different
+    parts only, or (false) those of one part."""
     g, part, other = (np.asarray(table[c]) for c in ("_g", "_part", "_other"))
     single = part == other  # the group of one part with itself
     left, a, b, held = np.arange(len(g)), [], [], 0
@@ -94,7 +95,9 @@ def pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if not len(left):
             break
         i, j = left, left + lag
-        ok = (part[i] != part[j]) | single[i]
+        ok = part[i] != part[j]
+        if across is not True:
+            ok = ~ok if across is False else ok | single[i]
         a.append(i[ok])
         b.append(j[ok])
         held += len(a[-1])
@@ -127,41 +130,58 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, top: np.ndarray | None = None)
 Linked = Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray]
 
 
+def _grown(table: pa.Table, linked: Linked, top: np.ndarray, across: bool) -> np.ndarray:
+    """``top`` with the linked pairs of one part, or of different parts; pairs that are joined already are not checked."""
+    for a, b in pairs(table, across):
+        open_ = top[a] != top[b]
+        a, b = a[open_], b[open_]
+        ok = linked(table, a, b)
+        top = forest(len(top), a[ok], b[ok], top)
+    return top
+
+
+def _news(table: pa.Table, within: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Items whose root is news: in a group of two parts only the roots within a part, as the part's own group tells the
+    rest. So a group of n linked items has about n edges and not n for each of its parts."""
+    one = np.arange(len(top))
+    single = np.asarray(table["_part"]) == np.asarray(table["_other"])
+    return (top != one) & (single | (within == one))
+
+
 def edges_within(dealt: DataFrame, item: str, linked: Linked) -> DataFrame:
-    """Edges (``a`` < root ``b``) of a spanning forest of the linked pairs of each group of ``blocks``."""
+    """Edges (``a`` < root ``b``) that join what is linked within each group of ``blocks``."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
             ids = np.asarray(table[item])
-            top = np.arange(len(ids))
-            for a, b in pairs(table):
-                open_ = top[a] != top[b]
-                a, b = a[open_], b[open_]
-                ok = linked(table, a, b)
-                top = forest(len(ids), a[ok], b[ok], top)
-            own = np.flatnonzero(top != np.arange(len(ids)))
+            within = _grown(table, linked, np.arange(len(ids)), across=False)
+            top = _grown(table, linked, within, across=True)
+            own = np.flatnonzero(_news(table, within, top))
             yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[top[own]])], ["a", "b"])
 
     return dealt.mapInArrow(check, "a bigint, b bigint")
 
 
-def links_within(dealt: DataFrame, item: str, linked: Linked, weight: str) -> DataFrame:
-    """Per item and group: its verified links, counted with the partners' ``weight``, as ``n``, and an edge to
-    its root in the group's forest as ``root``."""
+def links_within(dealt: DataFrame, item: str, linked: Linked, weight: str, roots: bool = False) -> DataFrame:
+    """Per item and group: its verified links, counted with the partners' ``weight``, as ``n``, and (with ``roots``) an
+    edge to its root in the group as ``root``, where that is news, else itself."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
             ids, w = np.asarray(table[item]), np.asarray(table[weight])
             count = np.zeros(len(ids), np.int64)
-            top = np.arange(len(ids))
+            within = _grown(table, linked, np.arange(len(ids)), across=False) if roots else np.arange(len(ids))
+            top = within
             for a, b in pairs(table):
                 ok = linked(table, a, b)
                 a, b = a[ok], b[ok]
                 np.add.at(count, a, w[b])
                 np.add.at(count, b, w[a])
-                top = forest(len(ids), a, b, top)
+                if roots:
+                    top = forest(len(ids), a, b, top)
+            root = np.where(_news(table, within, top), top, np.arange(len(ids)))
             own = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[top[own]]), pa.array(count[own])], ["id", "root", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[root[own]]), pa.array(count[own])], ["id", "root", "n"])
 
     return dealt.mapInArrow(check, "id bigint, root bigint, n bigint")
 

@@ -242,7 +242,7 @@ def classes(
     grams = stage(_grams(docs, likely.withColumnRenamed("id", "h"), n), "grams")
     members = likely.withColumnRenamed("id", "h").join(grams, "h").join(sets.select("h", "copies"), "h")
     found = stage(
-        linking.links_within(linking.blocks(members, "root", "h", BLOCK), "h", _Exact(similarity), "copies"), "links"
+        linking.links_within(linking.blocks(members, "root", "h", BLOCK), "h", _Exact(similarity), "copies", roots=True), "links"
     )
     near = found.groupBy(F.col("id").alias("h")).agg(F.sum("n").alias("_near"))
     roots = linking.components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), "classes").withColumnRenamed("id", "h")
