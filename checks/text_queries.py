@@ -296,15 +296,36 @@ cast(any_value(n.traveller) as int) traveller from multi s left join base_multi
 group by s.id, s.event_id, s.os, s.target, s.ot, s.idx""")
 
 
-@query
-def text_personal_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal routes from text alone: trips, device records, the id map, stations and paths."""
+def _text_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All trips written with station names, read again and coded."""
     known = readers.read_stations(spark, _station_lines(spark, sf_dir))
     named = v.trips(spark, sf_dir)
     for end in ("os", "ds"):
         named = named.join(v.stations(spark, sf_dir).select(F.col("station").alias(end), F.col("name").alias(f"{end}_name")), end)
-    lines = _lines(named, "all-trips", "id", _time("ot"), "os_name", "21", _time("dt"), "ds_name", "22")
-    trips = stage(readers.code_names(readers.read_trips(spark, lines), known, {"os_name": "os", "ds_name": "ds"}).rows, "text-trips")
+    ordered = named.repartitionByRange("event_id").sortWithinPartitions("event_id")  # lines in the order of the trips
+    lines = _lines(ordered, "all-trips", "id", _time("ot"), "os_name", "21", _time("dt"), "ds_name", "22")
+    return stage(readers.code_names(readers.read_trips(spark, lines), known, {"os_name": "os", "ds_name": "ds"}).rows, "text-trips")
+
+
+@query
+def text_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From trips and stations in text to habits, last irregular trips, features and sample lines, read again."""
+    s = plans.last_irregular_samples(_text_trips(spark, sf_dir))
+    rows = readers.read_samples(spark, _sample_lines(plans.samples_base_dense(s, v.N), TAIL)).drop("traveller")
+    for kind in BASE_KINDS:
+        rows = rows.withColumn(kind, vector_text(_whole(kind, 100_000 if kind.startswith("group") else 1)))
+    return rows
+
+
+oracle("text_samples", f"""select {_HEADER}, {FLAGS}, {', '.join(_dense(k, 100000 if k.startswith('group') else 1) for k in BASE_KINDS)}
+from last s left join base_last f on f.event_id=s.event_id group by s.id, s.event_id, s.os, s.target, s.ot, s.idx""")
+
+
+@query
+def text_personal_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal routes from text alone: trips, device records, the id map, stations and paths."""
+    known = readers.read_stations(spark, _station_lines(spark, sf_dir))
+    trips = _text_trips(spark, sf_dir)
     ap = stage(readers.code_names(readers.read_ap(spark, _ap_lines(spark, sf_dir)), known, {"station_name": "station"}).rows, "text-ap")
     idmap = readers.read_idmap(spark, _lines(v.idmap(spark, sf_dir), "idmap", "id", "ap_id", "'x'", "score"))
     paths = path_numbers(readers.read_paths(spark, _path_lines(spark, sf_dir)))
