@@ -155,7 +155,7 @@ def edges_within(dealt: DataFrame, item: str, linked: Linked) -> DataFrame:
         for table in whole_groups(batches):
             ids = np.asarray(table[item])
             within = _grown(table, linked, np.arange(len(ids)), across=False)
-            top = _grown(table, linked, within, across=True)
+            top = _grown(table, linked, within.copy(), across=True)
             own = np.flatnonzero(_news(table, within, top))
             yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[top[own]])], ["a", "b"])
 
@@ -171,7 +171,7 @@ def links_within(dealt: DataFrame, item: str, linked: Linked, weight: str, roots
             ids, w = np.asarray(table[item]), np.asarray(table[weight])
             count = np.zeros(len(ids), np.int64)
             within = _grown(table, linked, np.arange(len(ids)), across=False) if roots else np.arange(len(ids))
-            top = within
+            top = within.copy()
             for a, b in pairs(table):
                 ok = linked(table, a, b)
                 a, b = a[ok], b[ok]

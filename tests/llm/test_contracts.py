@@ -533,3 +533,23 @@ def test_clashing_columns_pass_through(clashing, bench, spark):
         assert out.columns == clashing.columns
         assert out.filter(" or ".join(f"`{c}` <> '{c}'" for c in CLASHES)).count() == 0
         assert op(clashing.limit(0)).count() == 0
+
+
+def test_a_large_linked_group_has_few_edges(spark):
+    import numpy as np
+
+    from railflow.llm import linking
+
+    members = spark.range(400).select(F.lit(7).cast("bigint").alias("key"), (F.col("id") * 3 + 1).alias("h"), F.lit(1).cast("bigint").alias("copies"))
+    for near, groups in ((lambda a, b: np.ones(len(a), bool), 1), (lambda a, b: a % 4 == b % 4, 4), (lambda a, b: np.zeros(len(a), bool), 0)):
+        dealt = linking.blocks(members, "key", "h", 40)
+        linked = lambda table, a, b, near=near: near(np.asarray(table["h"])[a], np.asarray(table["h"])[b])
+        edges = linking.edges_within(dealt, "h", linked)
+        assert edges.count() <= 400 + 4 * 11 * 11
+        roots = linking.components(edges, "few")
+        assert roots.select("root").distinct().count() == groups
+        links = linking.links_within(dealt, "h", linked, "copies", roots=True)
+        n = links.groupBy("id").agg(F.sum("n").alias("n")).agg(F.min("n"), F.max("n"), F.count("id")).first()
+        assert tuple(n) == {1: (399, 399, 400), 4: (99, 99, 400), 0: (None, None, 0)}[groups]
+        again = linking.components(links.select(F.col("id").alias("a"), F.col("root").alias("b")), "again")
+        assert sorted(again.collect()) == sorted(roots.collect())
