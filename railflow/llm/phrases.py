@@ -361,7 +361,7 @@ def _counted(shards: DataFrame, min_count: int, totals: bool) -> DataFrame:
         if now is not None:
             yield emit(union)
 
-    return shards.repartitionByRange("range").sortWithinPartitions("range").mapInArrow(merge, COUNTED)
+    return shards.repartition("range").sortWithinPartitions("range").mapInArrow(merge, COUNTED)
 
 
 def count_phrases(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT) -> tuple[list[DataFrame], DataFrame]:
@@ -375,7 +375,7 @@ def count_phrases(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_
     totals = None
     for k in range(1, longest + 1):
         frequent = linking.membership_filter(found[-1], "h") if found else None
-        shards = stage(_shards(docs, k, longest, frequent, ranges), f"transducers-{k}")
+        shards = _shards(docs, k, longest, frequent, ranges)
         counted = stage(_counted(shards, min_count, k == 1), f"phrases-{k}")
         if totals is None:
             totals = counted.filter("phrase is null").groupBy("lang").agg(F.sum("f").alias("n"))
