@@ -29,22 +29,26 @@ class _Ranges:
         self.key, self.order = key, [*order, "_tie"]
         placed = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(key, *self.order)
         self.rows = stage(placed.withColumn("_part", F.spark_partition_id()), "ranges")
-        own = F.struct(F.col(key).alias("k"))  # in a struct a null key counts, and is the least
-        self.ends = self.rows.groupBy("_part").agg(F.min(own).alias("_lo"), F.max(own).alias("_hi"))
+        self.own = F.struct(F.col(key).alias("k"))  # in a struct a null key counts, and is the least
+        self.ends = self.summary()
         self.window = Window.partitionBy("_part", key).orderBy(*self.order)
 
+    def summary(self, *more: Column) -> DataFrame:
+        """One row per partition: its first and last key, and more aggregates of all its rows."""
+        return self.rows.groupBy("_part").agg(F.min(self.own).alias("_lo"), F.max(self.own).alias("_hi"), *more)
+
     def of_end(self, end: str) -> DataFrame:
         """The rows of each partition's first (``_lo``) or last (``_hi``) key."""
         ends = F.broadcast(self.ends.select("_part", F.col(f"{end}.k").alias("_k")))  # one row per partition
         return self.rows.join(ends, "_part").filter(F.col(self.key).eqNullSafe(F.col("_k"))).drop("_k")
 
     def take_over(self, handed: DataFrame, rows: DataFrame, following: bool = False) -> DataFrame:
-        """``rows`` with ``_carry``: the ``_handed`` of the partition before (or behind), for the rows of the key that both share."""
+        """``rows`` with ``_carry``: the ``_handed`` of the partition before (or behind), for the rows of the key that both share.
+        ``handed`` is a summary with that column."""
         near, own = ("_lo", "_hi") if following else ("_hi", "_lo")
         step = F.lead if following else F.lag
         told = step(F.struct(F.col(f"{near}.k").alias("k"), "_handed")).over(Window.orderBy("_part"))  # one row per partition
-        carried = self.ends.join(handed, "_part", "left").withColumn("_told", told)
-        shared = carried.filter(F.col("_told.k").eqNullSafe(F.col(f"{own}.k")) & F.col("_told").isNotNull())
+        shared = handed.withColumn("_told", told).filter(F.col("_told.k").eqNullSafe(F.col(f"{own}.k")) & F.col("_told").isNotNull())
         table = F.broadcast(shared.select(F.col("_part").alias("_p"), F.col(f"{own}.k").alias("_k"), F.col("_told._handed").alias("_carry")))
         return rows.join(table, (F.col("_part") == F.col("_p")) & F.col(self.key).eqNullSafe(F.col("_k")), "left").drop("_p", "_k")
 
@@ -52,9 +56,9 @@ class _Ranges:
 def neighbour(df: DataFrame, key: str, order: Sequence[str], cols: Sequence[str], name: str, following: bool = False) -> DataFrame:
     """Add ``name``: a struct of ``cols`` from the previous (or following) row of the same key."""
     ranges = _Ranges(df, key, order)
-    payload, at = F.struct(*cols), F.struct(*ranges.order)
-    edge = F.min_by(payload, at) if following else F.max_by(payload, at)
-    handed = ranges.of_end("_lo" if following else "_hi").groupBy("_part").agg(edge.alias("_handed"))
+    payload, at = F.struct(*cols), F.struct(ranges.own.alias("k"), *ranges.order)
+    edge = F.min_by(payload, at) if following else F.max_by(payload, at)  # the partition's first or last row
+    handed = ranges.summary(edge.alias("_handed"))
     within = ranges.rows.withColumn(name, (F.lead if following else F.lag)(payload).over(ranges.window))
     whole = ranges.take_over(handed, within, following)
     return whole.withColumn(name, F.coalesce(name, "_carry")).drop("_carry", *SORTED)
@@ -65,7 +69,7 @@ def running_sum(df: DataFrame, key: str, order: Sequence[str], value: Column, na
     ranges = _Ranges(df.withColumn("_v", value), key, order)
     sums = ranges.of_end("_hi").groupBy("_part").agg(F.sum("_v").alias("_s"))
     so_far = Window.partitionBy("_hi").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)  # partitions of one key
-    handed = sums.join(ranges.ends, "_part").select("_part", F.sum("_s").over(so_far).alias("_handed"))
+    handed = sums.join(ranges.ends, "_part").select("_part", "_lo", "_hi", F.sum("_s").over(so_far).alias("_handed"))
     within = ranges.rows.withColumn(name, F.sum("_v").over(ranges.window.rowsBetween(Window.unboundedPreceding, 0)))
     whole = ranges.take_over(handed, within)
     return whole.withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0))).drop("_carry", "_v", *SORTED)
@@ -80,7 +84,7 @@ def preceding(df: DataFrame, key: str, order: Sequence[str], cols: Sequence[str]
     tails = tail.groupBy("_part").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("_n")).alias("n"), payload.alias("x")))), lambda e: e["x"]).alias("_t"))
     so_far = Window.partitionBy("_hi").orderBy("_part").rowsBetween(1 - k, 0)  # k partitions hold k rows of the key
     joined = F.flatten(F.collect_list("_t").over(so_far))
-    handed = tails.join(ranges.ends, "_part").select("_part", _last(joined, k).alias("_handed"))
+    handed = tails.join(ranges.ends, "_part").select("_part", "_lo", "_hi", _last(joined, k).alias("_handed"))
     within = ranges.rows.withColumn(name, F.collect_list(payload).over(ranges.window.rowsBetween(-k, -1)))
     whole = ranges.take_over(handed, within)
     more = F.when(F.col("_carry").isNull(), F.col(name)).otherwise(_last(F.concat("_carry", name), k))
