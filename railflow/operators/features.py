@@ -19,6 +19,8 @@ from railflow.scan import preceding
 from railflow.skew import global_index, salted_join
 
 KEY = ("id", "event_id")
+SAMPLES_PER_TASK = 4_000  # each gives some dozens to hundreds of feature values
+CELLS_PER_TASK = 200_000
 
 
 def history_cells(trips: DataFrame, samples: DataFrame, hot: Sequence[int], per_traveller: int = 1) -> DataFrame:
@@ -43,8 +45,17 @@ def history_cells(trips: DataFrame, samples: DataFrame, hot: Sequence[int], per_
     ).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def _sample_cells(samples: DataFrame, cells: DataFrame) -> DataFrame:
-    """Cells before each sample, next to the sample's own fields."""
+def sample_tasks(samples: DataFrame, cells: DataFrame) -> int:
+    """Tasks for steps that make many rows of each sample. Samples and cells pack so well that partitions merged by their
+    size would hold any number of them; both should be written stages, whose rows cost little to count."""
+    least = samples.sparkSession.sparkContext.defaultParallelism
+    return max(least, -(-samples.count() // SAMPLES_PER_TASK), -(-cells.count() // CELLS_PER_TASK))
+
+
+def _sample_cells(samples: DataFrame, cells: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Cells before each sample, next to the sample's own fields; with ``tasks`` in that many partitions by traveller."""
+    if tasks:
+        samples, cells = samples.repartition(tasks, "id"), cells.repartition(tasks, "id")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("ot", "event_id")) - 1
     s = samples.select(
         "id", "event_id", F.col("os").alias("s_os"), period_of_day(F.col("ot")).alias("s_period"), rank.alias("_rank")
@@ -52,7 +63,7 @@ def _sample_cells(samples: DataFrame, cells: DataFrame) -> DataFrame:
     return cells.join(s, "id").filter(F.col("seg") <= F.col("_rank"))
 
 
-def personal_features(samples: DataFrame, cells: DataFrame, kinds: Iterable[str]) -> DataFrame:
+def personal_features(samples: DataFrame, cells: DataFrame, kinds: Iterable[str], tasks: int | None = None) -> DataFrame:
     """Personal counts per station for the wanted feature kinds.
 
     period: destinations in the same period of the day; origin: destinations from the same
@@ -76,32 +87,32 @@ def personal_features(samples: DataFrame, cells: DataFrame, kinds: Iterable[str]
         for rule, end in rules[kind]
     ]
     return (
-        _sample_cells(samples, cells)
+        _sample_cells(samples, cells, tasks)
         .select(*KEY, "cnt", F.explode(F.array_compact(F.array(*entries))).alias("e"))
         .groupBy(*KEY, "e.feature", "e.station")
         .agg(F.sum("cnt").cast("double").alias("value"))
     )
 
 
-def history_length(samples: DataFrame, cells: DataFrame) -> DataFrame:
+def history_length(samples: DataFrame, cells: DataFrame, tasks: int | None = None) -> DataFrame:
     """Samples that have a history, with ``idx``, the number of earlier trips."""
-    length = _sample_cells(samples, cells).groupBy(*KEY).agg(F.sum("cnt").alias("idx"))
+    length = _sample_cells(samples, cells, tasks).groupBy(*KEY).agg(F.sum("cnt").alias("idx"))
     return samples.join(length, list(KEY))
 
 
-def group_day_feature(samples: DataFrame, shares: DataFrame) -> DataFrame:
-    """All-day destination shares of the sample's origin."""
+def group_day_feature(samples: DataFrame, shares: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """All-day destination shares of the sample's origin, with the samples' columns ``carry``."""
     share = shares.select("os", F.col("ds").alias("station"), F.col("ratio").alias("value"))
-    return samples.select(*KEY, "os").join(share, "os").select(
-        *KEY, F.lit("group_day").alias("feature"), "station", "value"
+    return samples.select(*KEY, *carry, "os").join(share, "os").select(
+        *KEY, *carry, F.lit("group_day").alias("feature"), "station", "value"
     )
 
 
-def group_hour_feature(samples: DataFrame, hour_shares: DataFrame) -> DataFrame:
-    """Destination shares of the sample's origin in its entry hour."""
+def group_hour_feature(samples: DataFrame, hour_shares: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Destination shares of the sample's origin in its entry hour, with the samples' columns ``carry``."""
     share = hour_shares.select("hour", "os", F.col("ds").alias("station"), F.col("ratio").alias("value"))
-    return samples.select(*KEY, "os", F.hour("ot").alias("hour")).join(share, ["hour", "os"]).select(
-        *KEY, F.lit("group_hour").alias("feature"), "station", "value"
+    return samples.select(*KEY, *carry, "os", F.hour("ot").alias("hour")).join(share, ["hour", "os"]).select(
+        *KEY, *carry, F.lit("group_hour").alias("feature"), "station", "value"
     )
 
 
@@ -139,18 +150,38 @@ def sample_header(samples: DataFrame, holidays: Iterable[int] = HOLIDAYS) -> Dat
     )
 
 
+def _header(header: DataFrame) -> Column:
+    return F.struct(*[c for c in header.columns if c not in KEY]).alias("header")
+
+
+def headed(samples: DataFrame, header: DataFrame) -> DataFrame:
+    """Samples with the other columns of their header in the struct ``header``."""
+    return samples.join(header.select(*KEY, _header(header)), list(KEY))
+
+
+def headed_cells(cells: DataFrame, header: DataFrame, tasks: int) -> DataFrame:
+    """The same for cells, of which a sample has many: they stay in their partitions by traveller, where a traveller's few
+    headers meet them at once."""
+    own = header.repartition(tasks, "id").groupBy("id").agg(F.collect_list(F.struct("event_id", _header(header))).alias("headers"))
+    mine = F.filter("headers", lambda h: h["event_id"] == F.col("event_id"))
+    return cells.join(own, "id").withColumn("h", F.explode(mine)).select(*cells.columns, "h.header")
+
+
 def share_vectors(shares: DataFrame, keys: Sequence[str], name: str, n_stations: int, value: str = "ratio") -> DataFrame:
     """One row per origin group with its shares as a vector (the table has at most one row per station pair and group)."""
     entries = F.collect_list(F.struct(F.col("ds").alias("station"), F.col(value).alias("value")))
     return shares.groupBy(*keys).agg(dense(entries, n_stations).alias(name))
 
 
-def dense_samples(header: DataFrame, cells: DataFrame, kinds: Sequence[str], n_stations: int) -> DataFrame:
+def dense_samples(header: DataFrame, cells: DataFrame, kinds: Sequence[str], n_stations: int, tasks: int | None = None) -> DataFrame:
     """Add a vector of ``n_stations`` values per personal feature kind to each sample."""
     grouped = cells.groupBy(*KEY).agg(
         *[F.collect_list(F.when(F.col("feature") == k, F.struct("station", "value"))).alias(k) for k in kinds]
     )
-    joined = header.join(grouped, list(KEY), "left")
+    own = header
+    if tasks:  # vectors pack well too
+        own, grouped = own.repartition(tasks, *KEY), grouped.repartition(tasks, *KEY)
+    joined = own.join(grouped, list(KEY), "left")
     return joined.select(*header.columns, *[dense(F.col(k), n_stations).alias(k) for k in kinds])
 
 

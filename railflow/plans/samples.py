@@ -32,10 +32,14 @@ class SampleSet:
 
     @cached_property
     def rows(self) -> DataFrame:
-        return stage(feat.history_length(self.drawn, self.cells), "rows")
+        return stage(feat.history_length(self.drawn, self.cells, self.tasks), "rows")
+
+    @cached_property
+    def tasks(self) -> int:
+        return feat.sample_tasks(self.drawn, self.cells)
 
     def personal(self, *kinds: str) -> DataFrame:
-        return feat.personal_features(self.drawn, self.cells, kinds)
+        return feat.personal_features(self.drawn, self.cells, kinds, self.tasks)
 
 
 def last_irregular_samples(trips: DataFrame, **habit_options) -> SampleSet:
@@ -59,23 +63,31 @@ def _shares(trips: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stage(flows.od_share(trips), "od_share"), stage(flows.od_hour_share(trips), "od_hour_share")
 
 
-def base_cells(s: SampleSet) -> DataFrame:
-    """The five feature kinds of ``BASE_KINDS``, long."""
+def base_cells(s: SampleSet, header: DataFrame) -> DataFrame:
+    """The five feature kinds of ``BASE_KINDS``, long, behind the columns of ``header`` (of the samples). The headers are joined
+    to the samples, or to cells where they lie, so no shuffle holds a row per feature value."""
     share, hour_share = _shares(s.trips)
-    day = feat.group_day_feature(s.rows, share)
-    hour = feat.group_hour_feature(s.rows, hour_share)
-    return day.unionByName(hour).unionByName(s.personal("period", "origin", "visits"))
+    samples = feat.headed(s.rows, header)
+    day = feat.group_day_feature(samples, share, ["header"])
+    hour = feat.group_hour_feature(samples, hour_share, ["header"])
+    personal = feat.headed_cells(s.personal(*PERSONAL), header, s.tasks)
+    return day.unionByName(hour).unionByName(personal).select(*feat.KEY, "header.*", "feature", "station", "value")
+
 
+def _numbered_header(s: SampleSet, holidays: Iterable[int], numbered: bool) -> DataFrame:
+    header = feat.sample_header(s.rows, holidays)
+    return header.join(feat.traveller_number(s.drawn), "id") if numbered else header
 
-def samples_base(s: SampleSet, holidays: Iterable[int] = HOLIDAYS) -> DataFrame:
-    """Five-feature samples, one row per non-zero feature value."""
-    return feat.sample_header(s.rows, holidays).join(base_cells(s), list(feat.KEY))
 
+def samples_base(s: SampleSet, holidays: Iterable[int] = HOLIDAYS, numbered: bool = False) -> DataFrame:
+    """Five-feature samples, one row per non-zero feature value; ``numbered``: with the traveller number."""
+    return base_cells(s, _numbered_header(s, holidays, numbered))
 
-def samples_base_dense(s: SampleSet, n_stations: int, holidays: Iterable[int] = HOLIDAYS) -> DataFrame:
+
+def samples_base_dense(s: SampleSet, n_stations: int, holidays: Iterable[int] = HOLIDAYS, numbered: bool = False) -> DataFrame:
     """One row per sample with five vectors; group vectors are joined whole, one per origin."""
     share, hour_share = _shares(s.trips)
-    header = feat.sample_header(s.rows, holidays).join(
+    header = _numbered_header(s, holidays, numbered).join(
         s.rows.select(*feat.KEY, F.hour("ot").alias("hour")), list(feat.KEY)
     )
     grouped = (
@@ -83,7 +95,7 @@ def samples_base_dense(s: SampleSet, n_stations: int, holidays: Iterable[int] =
         .join(feat.share_vectors(hour_share, ["hour", "os"], "group_hour", n_stations), ["hour", "os"])
         .drop("hour")
     )
-    return feat.dense_samples(grouped, s.personal(*PERSONAL), PERSONAL, n_stations)
+    return feat.dense_samples(grouped, s.personal(*PERSONAL), PERSONAL, n_stations, s.tasks)
 
 
 def extended_samples(trips: DataFrame, **habit_options) -> tuple[SampleSet, DataFrame]:
@@ -122,17 +134,21 @@ def samples_ext_dense(trips: DataFrame, n_stations: int, **habit_options) -> Dat
         .withColumn("crowd", F.coalesce("crowd", zeros))
         .drop("day", "slot")
     )
-    return feat.dense_samples(header, s.personal(*PERSONAL_EXTENDED), PERSONAL_EXTENDED, n_stations)
+    return feat.dense_samples(header, s.personal(*PERSONAL_EXTENDED), PERSONAL_EXTENDED, n_stations, s.tasks)
+
+
+def _number_last(rows: DataFrame) -> DataFrame:
+    return rows.select("id", *[c for c in rows.columns if c not in ("id", "traveller")], "traveller")
 
 
 def samples_multi(s: SampleSet) -> DataFrame:
     """Multi-sample rows with the traveller number."""
-    return samples_base(s).join(feat.traveller_number(s.drawn), "id")
+    return _number_last(samples_base(s, numbered=True))
 
 
 def samples_multi_dense(s: SampleSet, n_stations: int, holidays: Iterable[int] = HOLIDAYS) -> DataFrame:
     """One row per sample with five vectors and the traveller number."""
-    return samples_base_dense(s, n_stations, holidays).join(feat.traveller_number(s.drawn), "id")
+    return _number_last(samples_base_dense(s, n_stations, holidays, numbered=True))
 
 
 def markov_ranks(s: SampleSet, n_stations: int) -> DataFrame:
