@@ -30,7 +30,7 @@ from railflow.staging import stage
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 1_500_000  # distinct words a worker keeps; beyond it the cache starts anew
+CACHE_WORDS = 800_000  # distinct words a worker keeps; beyond it those that came only once go
 GRID = 512  # least steps of the knapsack program
 LENGTHS = 64  # different lengths per token of a step: few lengths are kept apart
 STEP = 0.1
@@ -54,14 +54,23 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_str(tokenizer_json)
-        self._clear()
-
-    def _clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.count = np.zeros(0, np.int32)
+        self.again = np.zeros(0, bool)  # looked up again since it came, or since the last ``_trim``
         self.end = np.zeros(1, np.int32)  # in bytes
         self.ids = np.zeros(0, np.uint32)
 
+    def _trim(self) -> None:
+        """Keep the latest words that were looked up again, half as many as fit at most."""
+        kept = np.flatnonzero(self.again)[-(CACHE_WORDS // 2) :]
+        place = np.full(len(self.count), -1, np.int64)
+        place[kept] = np.arange(len(kept))
+        self.ids = self.spell(kept).copy()
+        self.count = self.count[kept]
+        self.end = np.concatenate([np.zeros(1, np.int32), 4 * np.cumsum(self.count, dtype=np.int32)])
+        self.again = np.zeros(len(kept), bool)
+        self.index = {w: at for w, i in self.index.items() if (at := int(place[i])) >= 0}
+
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words end to end, and how many each has; words hold no white space."""
         ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
@@ -77,9 +86,10 @@ class WordIds:
     def lookup(self, words: list[bytes]) -> np.ndarray:
         """Table index of each word."""
         if len(self.index) > CACHE_WORDS:
-            self._clear()
+            self._trim()
         known = self.index.get
         found = np.array([known(w, -1) for w in words], np.int64)
+        self.again[found[found >= 0]] = True
         new = np.flatnonzero(found < 0)
         if len(new):
             spelt = [words[i] for i in new.tolist()]
@@ -88,6 +98,7 @@ class WordIds:
             self.index.update(zip(spelt, found[new].tolist(), strict=True))
             self.end = np.concatenate([self.end, self.end[-1] + 4 * np.cumsum(counts).astype(np.int32)])
             self.count = np.concatenate([self.count, counts.astype(np.int32)])
+            self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
             self.ids = np.concatenate([self.ids, ids])
         return found
 

@@ -27,6 +27,7 @@ from railflow.llm import textscan as ts
 from railflow.staging import stage
 
 MAX_TRAIN = 20_000
+SLICE_BYTES = 1 << 18  # some dozens of arrays of a slice's length are alive at once
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: What rules may ask for: ratios that do not grow with the text, and the length.
 FEATURES = [
@@ -112,7 +113,7 @@ def statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in ts.slices(batch.column(1)):
+            for s in ts.slices(batch.column(1), SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), *map(pa.array, _stats(s))], names)
 
     doc = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("doc"), F.col("text").alias("_text"))

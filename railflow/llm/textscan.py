@@ -180,6 +180,7 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
         hi = min(hi, len(column))
         yield Slice(lo, raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
         lo = hi
+    pa.default_memory_pool().release_unused()  # else a worker keeps the room of several batches
 
 
 def with_doc(docs: DataFrame, whole: bool = False) -> DataFrame:
