@@ -38,6 +38,10 @@ def test_entry_has_all_queries():
 
 def test_pipeline_stages_on_their_own_input(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long = min((r for r in docs.filter("lang = 'en'").collect() if len((r.text or "").split()) >= 300), key=lambda r: r.doc_id)
+    words = long.text.split()[:300]  # its own near copies: the tables may have none that are left after line dedup
+    near = [(10**9 + i, " ".join([*words[: 50 + i], f"{'xyz'[i] * 9}", *words[51 + i :]]), "en", "own", 0) for i in range(3)]
+    docs = docs.unionByName(spark.createDataFrame(near, docs.schema))
     ids = []
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
